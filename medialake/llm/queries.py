@@ -4,18 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import bloom_cascade, wu_manber
+from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, html_text, packing, parity_join, toxic_neighbours, wu_manber
 from medialake.llm.common import table
 
 
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
 def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_tree_scoring_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extraction_report(table(spark, sf_dir, "pages"))
+
+
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_neighbours.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.judge(table(spark, sf_dir, "pages"), bloom_cascade.CONTRACT_RULES, keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_wu_manber_decontamination, op6_bloom_cascade_url_filter)}
+def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.neighbours_report(table(spark, sf_dir, "embeddings"))
+
+
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_sum_of_squares_packing, op2_wu_manber_decontamination, op3_tree_scoring_extraction, op4_crf_language, op5_nearest_toxicity,
+    op6_bloom_cascade_url_filter, op8_adaptive_dimension_scan, op9_parity_sketch_join, op10_contextual_pii,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE = {"op2_wu_manber_decontamination": wu_manber.ORACLE_SQL, "op6_bloom_cascade_url_filter": bloom_cascade.ORACLE_SQL}
+ORACLE = {
+    "op2_wu_manber_decontamination": wu_manber.ORACLE_SQL,
+    "op6_bloom_cascade_url_filter": bloom_cascade.ORACLE_SQL,
+    "op9_parity_sketch_join": parity_join.ORACLE_SQL,
+}
