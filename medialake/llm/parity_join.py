@@ -318,7 +318,7 @@ def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     members = met.where(F.col("first").isNull()).select("key", F.col("other").alias("digest")).join(of_class, "digest")
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    unsure = written(members.join(open_keys, "key", "left_semi").select("digest", "component").distinct().join(classes.select("digest", "id", "n"), "digest"), "unsure")
+    unsure = written(members.join(open_keys, "key", "left_semi").select("digest", "component").distinct().join(classes, "digest"), "unsure")
     if not unsure.isEmpty():
         more = written(_verified(documents, classes, _by_prefix(documents, unsure, **how), **how), "links")
         if not more.isEmpty():
@@ -330,7 +330,7 @@ def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
     """Pairs of digests of different components that share one of their rarest shingles."""
-    texts = _wanted(documents, unsure.select(F.col("id").alias("doc_id")), doc_id, text).join(unsure.withColumnRenamed("id", "doc_id"), "doc_id").select("text", "digest", "component", "n")
+    texts = _wanted(documents, unsure.select(F.col("id").alias("doc_id")), doc_id, text).join(unsure.select(F.col("id").alias("doc_id"), "digest", "component", "n"), "doc_id").select("text", "digest", "component", "n")
     schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +348,14 @@ def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: st
     frequency = each.groupBy("shingle").agg(F.count("*").alias("df"))
     most = F.floor(F.lit(q - p) * (F.col("n") + F.floor(F.lit(q) * F.col("n") / F.lit(p))) / F.lit(q + p)).cast("int")
     rarest = each.join(frequency.where(F.col("df") > 1), "shingle", "left").groupBy("digest", "component", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
-    prefix = written(rarest.select("digest", "component", "n", F.explode(F.slice("s", F.lit(1), most + 1)).alias("x")).where(F.col("x.df") > 1).select("digest", "component", "n", F.col("x.shingle").alias("shingle")), "prefixes")
-    left, right = prefix.toDF("a", "ca", "na", "shingle"), prefix.toDF("b", "cb", "nb", "shingle")
-    near = (F.col("ca") < F.col("cb")) & (F.lit(q) * F.least("na", "nb") >= F.lit(p) * F.greatest("na", "nb"))
-    return left.join(right, "shingle").where(near).select("a", "b").distinct()
+    prefix = rarest.select("digest", "component", "n", F.explode(F.slice("s", F.lit(1), most + 1)).alias("x")).where(F.col("x.df") > 1).select("digest", "component", "n", F.col("x.shingle").alias("shingle"))
+    prefix = written(prefix.join(unsure.select("digest", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SHORT)]), "digest"), "prefixes")
+    left = prefix.select("shingle", *[F.col(c).alias(f"a_{c}") for c in prefix.columns if c != "shingle"])
+    right = prefix.select("shingle", *[F.col(c).alias(f"b_{c}") for c in prefix.columns if c != "shingle"])
+    near = (F.col("a_component") < F.col("b_component")) & (F.lit(q) * F.least("a_n", "b_n") >= F.lit(p) * F.greatest("a_n", "b_n"))
+    distance = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SHORT)), F.lit(0))
+    near &= F.lit(q + p) * distance <= F.lit(q - p) * (F.col("a_n") + F.col("b_n"))
+    return left.join(right, "shingle").where(near).select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b")).distinct()
 
 
 def jaccard_report(documents: DataFrame) -> DataFrame:
