@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, html_text, packing, parity_join, toxic_neighbours, wu_manber
+from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, html_text, katz, packing, parity_join, toxic_neighbours, wu_manber
 from medialake.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.judge(table(spark, sf_dir, "pages"), bloom_cascade.CONTRACT_RULES, keep=["page_id"])
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.language_model_report(table(spark, sf_dir, "documents"))
+
+
 def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.neighbours_report(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +50,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_sum_of_squares_packing, op2_wu_manber_decontamination, op3_tree_scoring_extraction, op4_crf_language, op5_nearest_toxicity,
-    op6_bloom_cascade_url_filter, op8_adaptive_dimension_scan, op9_parity_sketch_join, op10_contextual_pii,
+    op6_bloom_cascade_url_filter, op7_katz_backoff, op8_adaptive_dimension_scan, op9_parity_sketch_join, op10_contextual_pii,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
