@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packed)]
 
-#: Toxicity, personal data and packing can't be expressed in SQL; tests compare each stage with its operator by brute force.
+#: Toxicity, personal data and packing can't be expressed in SQL; tests hold the second and third stage against brute force, packing against a round trip.
 ORACLE_SQL = None
 
 
