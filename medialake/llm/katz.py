@@ -54,7 +54,7 @@ END, START = " ", "  "
 #: Words that every task knows, at most.
 HOT = 1 << 18
 #: Tokens that a task sends together, and tokens of a bucket on average.
-CHUNK, BUCKET = 2_000_000, 4_000_000
+CHUNK, BUCKET = 1_500_000, 1_000_000
 #: Words whose codes a task remembers.
 MEMO = 1_000_000
 
