@@ -54,9 +54,9 @@ END, START = " ", "  "
 #: Words that every task knows, at most.
 HOT = 1 << 18
 #: Tokens that a task sends together, and tokens of a bucket on average.
-CHUNK, BUCKET = 1_500_000, 1_000_000
+CHUNK, BUCKET = 1_000_000, 1_000_000
 #: Words whose codes a task remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 
 _U = np.uint64
 _COLD, _START = _U(1 << 63), _U(1 << 62)
