@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from medialake.llm import katz
-from medialake.llm.common import table
+from medialake.llm.common import held_out, table
 from tests.oracle import SF
 
 
@@ -44,9 +45,12 @@ def p_of(h, w, u, unknown, model):
     return ps[w] if w in ps else alpha * u.get(w, unknown)
 
 
-@pytest.mark.parametrize("sf", [SF])
-def test_whole_table(spark, sf):
-    docs = table(spark, sf, "documents")
+@pytest.mark.parametrize(("hot", "bucket"), [(katz.HOT, katz.BUCKET), (300, 3000)])
+def test_whole_table(spark, monkeypatch, hot, bucket):
+    """Also with few frequent words and many buckets, so that rare words and split contexts occur."""
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    docs = table(spark, SF, "documents")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     lines, uni, n, u, unknown, model = plain(texts)
     for h in list(model)[:50]:
@@ -61,6 +65,18 @@ def test_whole_table(spark, sf):
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 7 == 2)
 
 
+def test_tables(spark, monkeypatch):
+    """Pair counts and contexts' weights as the plain model has them."""
+    monkeypatch.setattr(katz, "HOT", 300)
+    docs = table(spark, SF, "documents")
+    lines, *_, model = plain([(r["doc_id"], r["text"]) for r in docs.collect()])
+    _, fitted, kinds = katz.score(docs, ~held_out("doc_id", 7, 2), pairs_too=True)
+    assert kinds.where(F.col("kind") == katz.PAIR).count() == sum(len(ps) for ps, _ in model.values())
+    assert sorted(r["c"] for r in fitted.unigrams.collect()) == sorted(Counter(w for x, r in zip(lines, docs.collect()) if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for w in x[1:]).values())
+    got = sorted(r["alpha"] for r in fitted.contexts.collect())
+    assert len(got) == len(model) and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, sorted(alpha for _, alpha in model.values())))
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "a  B a", 1), (3, "", 1)], "doc_id long, text string, score int")
     rows = katz.language_model_report(docs).collect()
