@@ -2,22 +2,21 @@
 
 1. *Examples.* At most ``EXAMPLES`` labelled documents of each class (those of
    the smallest hashes of their ids), with their whole texts.
-2. *Terms.* Words whose frequency in the examples depends on the class
-   (chi-square and odds ratio), at most ``TERMS``. Their document frequencies
-   are counted over the texts of all documents, one row a term and task before
-   the shuffle.
-3. *Index.* The examples' unit vectors in an inverted index: examples that share
-   their heaviest term stand together in blocks of ``BLOCK``; a term's postings
-   are kept by block with the block's largest weight.
-4. *Search.* For a document, blocks are taken by falling upper bound (the sum of
-   the query's weights times the block's largest ones) until none can hold a
-   nearer example than the ``K`` found. That's exact.
+2. *Terms.* Every word of the examples. Its document frequency is counted over
+   the texts of all documents, one row a term and task before the shuffle. Its
+   weight is the inverse document frequency times 1 + the square root of its
+   chi-square with the class: words that tell the classes apart weigh more, none
+   is left out.
+3. *Index.* The examples' unit vectors in an inverted index: a term's examples
+   and weights stand together.
+4. *Search.* A document's cosines to all examples are summed over its terms'
+   postings; the ``K`` nearest are taken. That's exact.
 5. *Votes.* The neighbours vote with the square of their cosine, against a weak
    prior; the vote is calibrated by an isotonic curve fitted on the examples
    themselves (each without itself), weighted to the classes' true shares.
 
-The examples and terms are bounded by parameters, so the index is; it's sent to
-every worker. Documents are scored where they're read.
+The examples are bounded by a parameter, so are their words and the index; it's
+sent to every worker. Documents are scored where they're read.
 
 Defined results: a text that is null, empty or without any term has no
 neighbours and the calibrated score of the prior; without labelled examples the
@@ -31,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,12 +44,10 @@ from pyspark.sql import types as T
 from medialake.llm.common import held_out
 
 EXAMPLES = 2000
-TERMS = 4096
-BLOCK = 64
 K = 15
-#: A term's chi-square (one degree of freedom) and odds ratio at least, and the examples that have it.
-CHI2, ODDS, LEAST = 12.0, 4.0, 4
 PRIOR_WEIGHT = 0.05
+#: Documents whose evidence is held at once.
+CHUNK = 1000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,59 +58,44 @@ def word_counts(text: str | None) -> Counter:
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors of examples."""
+    """Inverted index over unit vectors of examples."""
 
-    idf: dict[str, float]
+    weight: dict[str, float]
     ids: list
     labels: np.ndarray
-    #: term -> {block -> (places in the block, weights)} and term -> largest weight by block
-    postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    largest: dict[str, np.ndarray] = field(default_factory=dict)
+    #: term -> its row; a row's examples (rising) and weights are those from its start to the next one's
+    rows: dict[str, int] = field(default_factory=dict)
+    starts: list[int] = field(default_factory=list)
+    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def vector(self, counts: Counter) -> dict[str, float]:
-        idf = self.idf
-        if len(counts) < len(idf):
-            weights = {w: (1 + math.log(n)) * idf[w] for w, n in counts.items() if w in idf}
-        else:
-            weights = {w: (1 + math.log(counts[w])) * x for w, x in idf.items() if w in counts}
+        weight = self.weight
+        weights = {w: (1 + math.log(n)) * weight[w] for w, n in counts.items() if w in weight}
         norm = math.sqrt(sum(x * x for x in weights.values()))
         return {w: x / norm for w, x in sorted(weights.items())} if norm else {}
 
-    @property
-    def n_blocks(self) -> int:
-        return -(-len(self.ids) // BLOCK)
-
     def add(self, vectors: list[dict[str, float]]) -> None:
-        by: dict[str, dict[int, tuple[list, list]]] = {}
-        for i, v in enumerate(vectors):
-            for w, x in v.items():
-                places, weights = by.setdefault(w, {}).setdefault(i // BLOCK, ([], []))
-                places.append(i % BLOCK)
-                weights.append(x)
-        for w, blocks in by.items():
-            self.postings[w] = {b: (np.array(p), np.array(x)) for b, (p, x) in blocks.items()}
-            self.largest[w] = np.zeros(self.n_blocks)
-            for b, (_, x) in self.postings[w].items():
-                self.largest[w][b] = x.max()
+        self.rows = {w: i for i, w in enumerate(dict.fromkeys(w for v in vectors for w in v))}
+        row = np.array([self.rows[w] for v in vectors for w in v], np.int64)
+        order = np.argsort(row, kind="stable")
+        self.examples = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v) for v in vectors])[order]
+        self.weights = np.array([x for v in vectors for x in v.values()])[order]
+        self.starts = np.searchsorted(row[order], np.arange(len(self.rows) + 1)).tolist()
 
     def nearest(self, query: dict[str, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, nearest first, as (cosine, example)."""
-        terms = [(w, q) for w, q in query.items() if w in self.largest]
+        terms = [(slice(self.starts[r], self.starts[r + 1]), q) for w, q in query.items() if (r := self.rows.get(w)) is not None]
         if not terms:
             return []
-        bounds = sum(q * self.largest[w] for w, q in terms)
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) >= k and bounds[b] + 1e-9 < found[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for w, q in terms:
-                if (own := self.postings[w].get(int(b))) is not None:
-                    scores[own[0]] += q * own[1]
-            found += [(float(scores[i]), int(b) * BLOCK + int(i)) for i in np.flatnonzero(scores) if b * BLOCK + i != without]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return found
+        scores = np.bincount(np.concatenate([self.examples[own] for own, _ in terms]), np.concatenate([q * self.weights[own] for own, q in terms]), len(self.ids))
+        if without >= 0:
+            scores[without] = 0
+        near = np.flatnonzero(scores > 0)
+        if len(near) > k:
+            near = near[scores[near] >= np.partition(scores[near], -k)[-k]]
+        near = near[np.argsort(-scores[near], kind="stable")][:k]
+        return list(zip(scores[near].tolist(), near.tolist()))
 
     def vote(self, found: list[tuple[float, int]], prior: float) -> float:
         weight = sum(s * s for s, _ in found)
@@ -146,26 +129,18 @@ class Model:
         return float(np.clip(np.interp(self.index.vote(found, self.prior), *self.curve), 0, 1)), found
 
 
-def choose_terms(with_term: dict[str, tuple[int, int]], n_toxic: int, n_other: int, limit: int = TERMS) -> list[str]:
-    """The terms that tell the classes apart; ``with_term`` has the toxic and other examples with each."""
-    scored = []
-    n = n_toxic + n_other
-    for term, (a, b) in with_term.items():
-        c, d = n_toxic - a, n_other - b
-        if a + b < LEAST or not n_toxic or not n_other:
-            continue
-        chi2 = n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n_toxic * n_other)
-        odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-        if chi2 >= CHI2 and max(odds, 1 / odds) >= ODDS:
-            scored.append((-chi2, term))
-    return [t for _, t in sorted(scored)[:limit]]
+def class_factor(a: int, b: int, n_toxic: int, n_other: int) -> float:
+    """1 for a word that's as frequent in either class, more the more its frequency depends on it; ``a`` toxic and ``b`` other examples have it."""
+    c, d = n_toxic - a, n_other - b
+    return 1 + math.sqrt((n_toxic + n_other) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n_toxic * n_other))
 
 
 def document_frequencies(documents: DataFrame, text: str, terms: list[str]) -> tuple[dict[str, int], int]:
     """In how many of all documents each term is, and their number."""
-    wanted = frozenset(terms)
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         found: Counter = Counter()
         n = 0
         for batch in batches:
@@ -175,8 +150,9 @@ def document_frequencies(documents: DataFrame, text: str, terms: list[str]) -> t
                     found.update(wanted.intersection(_WORD.findall(value.lower())))
         yield pa.RecordBatch.from_pydict({"term": pa.array([*found, None], pa.string()), "n": pa.array([*found.values(), n], pa.int64())})
 
-    rows = documents.select(F.col(text)).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in rows}
+    rows = documents.select(F.col(text)).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(*(rows.column(c).to_pylist() for c in ("term", "n"))))
+    shared.destroy()
     total = counts.pop(None, 0)
     return counts, total
 
@@ -201,18 +177,16 @@ def fit(documents: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", te
 
     vectors = written(sample.select("_id", "_y", "_t").mapInArrow(counted, "_id string, _y long, _w array<string>, _n array<long>"), "toxicity-examples")
     sizes = {r["_y"]: r["count"] for r in vectors.groupBy("_y").count().collect()}
-    candidates = vectors.select(F.explode("_w").alias("w"), "_y").groupBy("w").agg(F.sum("_y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    a, b, n1, n0 = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double"), float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    odds = (a + 0.5) * (F.lit(n0) - b + 0.5) / ((b + 0.5) * (F.lit(n1) - a + 0.5))
-    # All candidates that could pass, the strongest first: no more than the limit reaches the driver.
-    rows = candidates.where((odds >= ODDS) | (odds <= 1 / ODDS)).orderBy(F.desc(F.abs(F.log(odds)) * F.sqrt("n")), "w").limit(4 * TERMS).collect()
-    terms = choose_terms({r["w"]: (r["a"], r["n"] - r["a"]) for r in rows}, int(n1), int(n0))
-    df, total = document_frequencies(documents, text, terms)
-    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in terms}
-    known = F.filter(F.arrays_zip("_w", "_n"), lambda x: F.array_contains(F.array(*map(F.lit, terms)), x["_w"])) if terms else F.expr("array()").cast("array<struct<_w:string,_n:long>>")
-    kept = vectors.select("_id", "_y", known.alias("v")).collect()
-    index = Index(idf, [], np.array([]))
-    made = [(r["_id"], r["_y"], index.vector(Counter({x["_w"]: x["_n"] for x in r["v"]}))) for r in kept]
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    words = vectors.select(F.explode("_w").alias("w"), "_y").groupBy("w").agg(F.sum("_y").alias("a"), F.count("*").alias("n")).toArrow()
+    with_term = {w: (a, n - a) for w, a, n in zip(*(words.column(c).to_pylist() for c in ("w", "a", "n")))}
+    df, total = document_frequencies(documents, text, list(with_term))
+    weight = {w: (math.log((1 + total) / (1 + df.get(w, 0))) + 1) * class_factor(a, b, n1, n0) for w, (a, b) in with_term.items()}
+    index = Index(weight, [], np.array([]))
+    made = []
+    for batch in vectors.toArrow().to_batches(max_chunksize=CHUNK):
+        for i, y, own, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            made.append((i, y, index.vector(Counter(dict(zip(map(sys.intern, own), counts))))))
     made.sort(key=lambda m: (max(m[2], key=lambda w: (m[2][w], w), default=""), m[1], m[0]))
     index.ids, index.labels = [m[0] for m in made], np.array([m[1] for m in made])
     index.add([m[2] for m in made])
@@ -233,7 +207,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: list[
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to, m = to_arrow_schema(schema), shared.value
-        for batch in batches:
+        for batch in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
             judged = [m.judge(t) for t in batch.column(len(kept)).to_pylist()]
             found = [[{"example": m.index.ids[i], "cosine": s, "label": int(m.index.labels[i])} for s, i in near] for _, near in judged]
             columns = [batch.column(i).cast(to.field(i).type) for i in range(len(kept))]

@@ -46,3 +46,32 @@ def test_edge_cases(spark):
     assert {r["predicted"] for r in rows if r["doc_id"] < 40 and r["doc_id"] % 2 == 0} == {0}
     assert {r["score"] for r in tn.toxicity_report(docs, labels.limit(0)).collect()} == {0.0}
     assert tn.toxicity_report(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_word_of_the_examples_counts(spark):
+    """A tell-tale word of two examples finds them, and the neighbours are those of all cosines over all words."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(60)], k=12)) for _ in range(120)] + ["quibblesnark", "quibblesnark zounds"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "quibblesnark indeed", "unheard"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0 or i >= 120)) for i in range(len(texts))], "doc_id long, label int")
+    model = tn.fit(docs, labels)
+    got = {r["doc_id"]: r["evidence"] for r in tn.score(docs, model, keep=["doc_id"]).collect()}
+    assert {e["example"] for e in got[122]} == {"120", "121"} and all(e["label"] == 1 for e in got[122]) and got[123] == []
+    counts = [tn.word_counts(r["text"]) for r in docs.orderBy("doc_id").collect()]
+    words = {w for c in counts[: len(texts)] for w in c}
+    toxic, n = [i % 9 == 0 or i >= 120 for i in range(len(texts))], len(texts)
+
+    def weight(w):
+        a, b = (sum(w in c for c, t in zip(counts, toxic) if t == y) for y in (True, False))
+        chi2 = n * (a * (n - sum(toxic) - b) - b * (sum(toxic) - a)) ** 2 / ((a + b) * (n - a - b) * sum(toxic) * (n - sum(toxic)))
+        return (np.log((1 + len(counts)) / (1 + sum(w in c for c in counts))) + 1) * (1 + np.sqrt(chi2))
+
+    order = sorted(words)
+    weights = np.array([weight(w) for w in order])
+    matrix = np.array([[(1 + np.log(c[w])) if c[w] else 0 for w in order] for c in counts]) * weights
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    cosines = matrix @ matrix[: len(texts)].T
+    for i, row in enumerate(cosines):
+        want = sorted((x for x in row if x > 0), reverse=True)[: tn.K]
+        assert np.allclose([e["cosine"] for e in got[i]], want)
+        assert np.allclose([row[int(e["example"])] for e in got[i]], want)
