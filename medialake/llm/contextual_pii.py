@@ -13,8 +13,8 @@
    of its words in the corpus (plus one). An instance's confidence is that of
    its best pattern.
 5. *Discovery.* An instance after a pattern of ``CONFIDENCE`` or more is found,
-   though no seed rule knows it. At most ``PATTERNS`` patterns, the best
-   supported ones, make the model that is sent to the workers.
+   though no seed rule knows it. All supported patterns are scored; the confident
+   ones, however many, make the model that is sent to the workers.
 
 Counts are added up in each task before they're shuffled; texts are never.
 
@@ -27,9 +27,11 @@ overlap, the one that begins first stays, then the longer.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,9 @@ from pyspark.sql import types as T
 from medialake.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, ROUNDS, CONFIDENCE, PATTERNS = 3, 3, 0.6, 20_000
+SUPPORT, ROUNDS, CONFIDENCE = 3, 3, 0.6
+#: Bits of the filter by which a task leaves out words that are in no pattern.
+FILTER_BITS = 1 << 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -161,45 +165,70 @@ def _mentions(documents: DataFrame, text: str) -> DataFrame:
     return found.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
-def _occurrences(documents: DataFrame, text: str, patterns: list[str]) -> DataFrame:
-    """(pattern, total): how often the words of each pattern occur in all texts."""
-    wanted = frozenset(patterns)
-    ones, twos = {p for p in wanted if " " not in p}, {tuple(p.split(" ")) for p in wanted if " " in p}
-    seconds = frozenset(b for _, b in twos)
+def _occurrences(documents: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the words of each pattern occur in all texts.
+
+    Tasks count the words and pairs that pass a filter of fixed size, which lets
+    every pattern through and few others; the join leaves those out.
+    """
+    bit = (F.crc32(F.col("pattern").cast("binary")) % FILTER_BITS).cast("int").alias("bit")
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    at = patterns.select(bit).distinct().toArrow().column(0).to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    shared = documents.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+
+        def passes(words: str) -> bool:
+            b = zlib.crc32(words.encode()) % FILTER_BITS
+            return bool(own[b >> 3] >> (b & 7) & 1)
+
+        known: dict[str, bool] = {}
         counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["pattern", "total"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 words = ["^", "^", *(value or "").lower().split()]
                 here = Counter(words)
-                counts.update({w: here[w] for w in ones & here.keys()} if len(here) > len(ones) else {w: here[w] for w in here if w in ones})
-                if not seconds.isdisjoint(here):
-                    counts.update(f"{a} {b}" for a, b in zip(words, words[1:]) if b in seconds and (a, b) in twos)
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["pattern", "total"])
+                if len(known) > 100_000:
+                    known.clear()
+                for w in here:
+                    if w not in known:
+                        known[w] = passes(w)
+                ones = {w: n for w, n in here.items() if known[w]}
+                counts.update(ones)
+                # Whatever stands after a pair stands after its second word, so that is a pattern with as much support.
+                counts.update(p for a, b in zip(words, words[1:]) if b in ones and passes(p := f"{a} {b}"))
+                if len(counts) > 200_000:
+                    yield flush()
+        yield flush()
 
-    return documents.select(F.col(text)).mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    counted = documents.select(F.col(text)).mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return counted.join(patterns, "pattern", "left_semi")
 
 
-def learn(documents: DataFrame, *, text: str = "text", support: int = SUPPORT, rounds: int = ROUNDS, confidence: float = CONFIDENCE, patterns: int = PATTERNS) -> dict[tuple[str, str], float]:
-    """Confident patterns: (words, kind) -> confidence; at most ``patterns`` of them."""
+def learn(documents: DataFrame, *, text: str = "text", support: int = SUPPORT, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> dict[tuple[str, str], float]:
+    """Confident patterns: (words, kind) -> confidence."""
     mentions = written(_mentions(documents, text), "pii-mentions")
-    supported = mentions.groupBy("pattern", "kind").agg(F.count("*").alias("values"), F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("values") >= support)
-    # Only patterns that some chain of shared instances ties to seeds can ever score.
-    supported = supported.orderBy(F.desc("seeds"), F.desc("values"), "pattern", "kind").limit(patterns).select("pattern", "kind")
+    supported = mentions.groupBy("pattern", "kind").agg(F.count("*").alias("values")).where(F.col("values") >= support).select("pattern", "kind")
     supported = written(supported, "pii-patterns")
-    names = [r["pattern"] for r in supported.select("pattern").distinct().collect()]
-    if not names:
+    if supported.isEmpty():
         return {}
-    totals = _occurrences(documents, text, names)
-    edges = mentions.join(F.broadcast(supported), ["pattern", "kind"]).join(F.broadcast(totals), "pattern")
+    totals = _occurrences(documents, text, supported.select("pattern").distinct())
+    edges = mentions.join(supported, ["pattern", "kind"]).join(totals, "pattern")
     edges = written(edges, "pii-edges")
     instances = edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).select("kind", "value", F.col("seed").cast("double").alias("confidence"))
     scored = None
     for _ in range(rounds):
         scored = edges.join(instances, ["kind", "value"]).groupBy("pattern", "kind").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("confidence")) / (F.first("total") + 1)).alias("score"))
         scored = written(scored, "pii-scores")
-        instances = edges.join(F.broadcast(scored), ["pattern", "kind"]).groupBy("kind", "value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("score")).alias("confidence"))
+        instances = edges.join(scored, ["pattern", "kind"]).groupBy("kind", "value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("score")).alias("confidence"))
     return {(r["pattern"], r["kind"]): r["score"] for r in scored.where(F.col("score") >= confidence).collect()}
 
 

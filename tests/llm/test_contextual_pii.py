@@ -50,3 +50,17 @@ def test_patterns_discover_and_spare(spark):
     assert (10, "email:21:37") in got and (11, "") in got and got.count((13, "")) == 2 and (12, "") in got
     assert pii.personal_data_report(docs.limit(0)).count() == 0
     assert pii.mask_text("a b@c.d e", [(2, 7, "email", True)]) == "a <email> e"
+
+
+def test_no_supported_pattern_is_dropped(spark):
+    """A pattern without seeds of its own, reached by shared instances, is scored beside 20,100 with seeds."""
+    rows = [(d, " ".join(f"w{i} u{i}{x}@h.co" for i in range(d * 201, d * 201 + 201) for x in "abc")) for d in range(100)]
+    rows += [(1000 + i, f"reach s{i}@mail.co") for i in range(30)]
+    rows += [(2000 + i, f"reach n{i}@intranet") for i in range(9)] + [(3000 + i, f"zz: n{i}@intranet") for i in range(9)]
+    rows += [(4000, "zz: other@host")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data_report(docs.where("doc_id >= 100")).collect()}
+    assert got[4000] == "email:4:14"
+    model = pii.learn(docs)
+    assert ("zz:", "email") in model and sum(p[0].startswith("w") for p in model) == 20_100
+    assert abs(model["w7", "email"] - 3 / 4) < 1e-9
