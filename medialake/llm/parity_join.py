@@ -18,11 +18,12 @@ all blocks two linked documents agree in are empty has a chance below 1e-9).
 *Join.* Documents of equal sets are one class from the start. Classes meet in
 their block keys, sorted, as a stream: each meets the first of its key. Links
 are verified on the shingles, after a comparison of sizes and of a short parity
-sketch. Where a key's classes don't all become one component, the classes
-concerned meet again by prefix filtering: in order of rarity, sets within ``D``
-share one of their ``D + 1`` rarest shingles; only classes of different
-components are compared. So no link between components is lost, and the pairs
-inside a group of near copies aren't listed.
+sketch. Where a key's classes don't all become one component, those of different
+components are compared with each other, by sizes and short sketches inside the
+key's group; a key with more than ``GROUP`` classes is too large for that, so its
+classes meet again by prefix filtering: in order of rarity, sets within ``D``
+share one of their ``D + 1`` rarest shingles. So no link between components is
+lost, and the pairs inside a group of near copies aren't listed.
 
 Shingles, sets and blocks are compared by 64-bit hashes.
 
@@ -53,8 +54,12 @@ REFINED = 24
 #: 64-bit words of the short parity sketch.
 SHORT = 16
 MEMO = 1_500_000
-#: Bits of the map of wanted ids that is sent to the workers.
-ID_BITS = 1 << 23
+#: Bits of the map of wanted ids that is sent to the workers, at least and at most (32 MB).
+ID_BITS = 1 << 23, 1 << 28
+#: Members of a key that are compared directly; more go by their rarest shingles.
+GROUP = 1000
+#: For each so many pairs, a class's pairs are dealt to one part more.
+PAIRS = 50_000
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -162,34 +167,64 @@ def short_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def sketches(documents: DataFrame, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
-    """Per row: ``doc_id, n, digest, keys, sketch``; the last two once for each set and task."""
-    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def _sketched(documents: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """Per row: ``doc_id, n, digest, sketch``; the last once for each set and task."""
+    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        to, shingles, bands, seen = to_arrow_schema(schema), Shingler(width), Bands(p, q), set()
+        to, shingles, seen = to_arrow_schema(schema), Shingler(width), set()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                n, digests, keys, short = [], [], [], []
-                for value in part.column(1).to_pylist():
-                    s = shingles(value)
-                    n.append(len(s))
-                    digests.append(digest(s))
-                    if len(s) and digests[-1] not in seen:
-                        seen.add(digests[-1])
-                        keys.append(block_keys(s, bands).view(np.int64))
-                        short.append(short_sketch(s))
-                    else:
-                        keys.append(None)
-                        short.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(to.field(0).type), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, to.field(3).type), pa.array(short, to.field(4).type)], schema=to)
+            n, digests, short = [], [], []
+            for value in batch.column(1):
+                s = shingles(value.as_py())
+                n.append(len(s))
+                digests.append(digest(s))
+                new = len(s) > 0 and digests[-1] not in seen
+                if new:
+                    seen.add(digests[-1])
+                short.append(short_sketch(s) if new else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(to.field(0).type), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), pa.array(short, to.field(3).type)], schema=to)
 
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _keyed(documents: DataFrame, text: str, width: int, p: int, q: int) -> DataFrame:
+    """(key, digest): the join keys of every set, once for each task.
+
+    They go straight into the shuffle; what is written of a document (``_sketched``) has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, bands, seen = Shingler(width), Bands(p, q), set()
+        keys, digests, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(digests))], names=["key", "digest"])
+            keys.clear()
+            digests.clear()
+            return out
+
+        for batch in batches:
+            for value in batch.column(0):
+                s = shingles(value.as_py())
+                own = digest(s)
+                if not len(s) or own in seen:
+                    continue
+                seen.add(own)
+                keys.append(block_keys(s, bands).view(np.int64))
+                digests.append(np.full(len(keys[-1]), own, np.int64))
+                held += len(keys[-1])
+                if held > 100_000:
+                    yield flush()
+                    held = 0
+        if keys:
+            yield flush()
+
+    return documents.select(F.col(text).alias("text")).mapInArrow(run, "key long, digest long")
+
+
 def _meetings(rows: DataFrame) -> DataFrame:
     """From (key, digest) rows: ``first`` and ``other`` of each key, and all members (first null) of keys with three or more.
 
@@ -243,14 +278,18 @@ def _meetings(rows: DataFrame) -> DataFrame:
 
 
 def _wanted(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text) of documents whose id may be in ``ids``: a map of hashed ids of fixed size leaves out most others before the join."""
-    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)).cast("int").alias("b")).distinct()
+    """(doc_id, text) of documents whose id may be in ``ids``, a written table: a map of hashed ids leaves out most others before the join.
+
+    The map has 32 bits an id within ``ID_BITS``; beyond the upper bound more of the other documents reach the join, which leaves them out.
+    """
+    size = min(max(ID_BITS[0], 1 << (32 * ids.count()).bit_length()), ID_BITS[1])
+    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int").alias("b")).distinct()
     words = bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b") % 32)).alias("v"))
-    table = np.zeros(ID_BITS // 32, np.uint32)
-    found = words.toPandas()
-    table[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
+    table = np.zeros(size // 32, np.uint32)
+    found = words.toArrow()
+    table[found["w"].to_numpy().astype(np.int64)] = found["v"].to_numpy().astype(np.uint32)
     shared = documents.sparkSession.sparkContext.broadcast(table)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(ID_BITS)).cast("int").alias("b"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(size)).cast("int").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -261,29 +300,94 @@ def _wanted(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> Dat
     return rows.mapInArrow(run, rows.drop("b").schema)
 
 
+def _texts_of(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, digest, text) of the classes ``ids`` (id, digest), one row a class unless rows of one id differ."""
+    return written(_wanted(documents, ids.select(F.col("id").alias("doc_id")), doc_id, text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "digest", "text").dropDuplicates(), "jaccard-texts")
+
+
 def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b: digests) that link, as (a, b) of class ids."""
+    """The pairs (a, b: digests) that link, as (a, b) of class ids.
+
+    The pairs of an ``a`` are dealt to parts. ``a``'s text goes once to each of
+    its parts and is followed there by the texts of its ``b``, so that no
+    pair carries two texts and a class with many pairs is many tasks' work.
+    """
     c = classes.select("digest", "n", "sketch", F.col("id"))
     both = pairs.join(c.toDF("a", "na", "sa", "ida"), "a").join(c.toDF("b", "nb", "sb", "idb"), "b")
     most = F.floor(F.lit(q - p) * (F.col("na") + F.col("nb")) / F.lit(q + p))
     distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
     may = written(both.where((F.abs(F.col("na") - F.col("nb")) <= most) & (distance <= most)).select("a", "b", "ida", "idb"), "jaccard-pairs")
-    texts = written(_wanted(documents, may.select(F.explode(F.array("ida", "idb")).alias("doc_id")), doc_id, text).dropDuplicates(["doc_id", "text"]), "jaccard-texts")
-    joined = may.join(texts.toDF("ida", "ta"), "ida").join(texts.toDF("idb", "tb"), "idb").select("a", "b", "ida", "idb", "ta", "tb")
-    schema = T.StructType([joined.schema["ida"], joined.schema["idb"]])
+    parts = 16 + may.count() // PAIRS
+    ids = written(may.select(F.explode(F.array(F.struct(F.col("ida").alias("id"), F.col("a").alias("digest")), F.struct(F.col("idb").alias("id"), F.col("b").alias("digest")))).alias("x")).select("x.*").distinct(), "jaccard-ids")
+    texts = _texts_of(documents, ids, doc_id, text)
+    dealt = may.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
+    nothing = F.lit(None).cast(texts.schema["doc_id"].dataType)
+    pivots = dealt.select("a", "part", "ida").distinct().join(texts.toDF("ida", "a", "text"), ["ida", "a"]).select("a", "part", F.col("a").alias("own"), "ida", nothing.alias("idb"), "text")
+    others = dealt.join(texts.toDF("idb", "b", "text"), ["idb", "b"]).select("a", "part", F.col("b").alias("own"), "ida", "idb", "text")
+    rows = pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("idb").isNotNull())
+    schema = T.StructType([rows.schema["ida"], rows.schema["idb"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
+        pivot, x = None, np.zeros(0, np.uint64)
         for batch in batches:
+            a, own, there = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).is_valid().to_pylist()
             keep = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(batch.num_rows):
-                x, y = shingles(batch.column(4)[i].as_py()), shingles(batch.column(5)[i].as_py())
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(q * same >= p * (len(x) + len(y) - same) and digest(x) == a[i] and digest(y) == b[i])
-            yield batch.select([2, 3]).filter(pa.array(keep, pa.bool_()))
+                y = shingles(batch.column(5)[i].as_py())
+                keep.append(False)
+                if digest(y) != own[i]:
+                    continue  # another text of the same id
+                if not there[i]:
+                    pivot, x = a[i], y
+                elif pivot == a[i]:
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[-1] = q * same >= p * (len(x) + len(y) - same)
+            yield batch.select([3, 4]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, schema).toDF("a", "b").distinct()
+
+
+def _compared(members: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b: digests) of different components that meet in a key and may link by their sizes and short sketches.
+
+    ``members``: (key, digest, component as long, n, sketch), at most ``GROUP`` of a key, sorted by key within partitions that keep a key together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(keys, columns):
+            a, b = [], []
+            edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(1 << 62) else keys[0] + 1))
+            d, c, n, s = columns
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)]):
+                for i in range(lo, hi - 1):
+                    j = slice(i + 1, hi)
+                    most = (q - p) * (n[i] + n[j]) // (q + p)
+                    near = np.flatnonzero((c[j] != c[i]) & (np.abs(n[j] - n[i]) <= most))
+                    if len(near):
+                        near += i + 1
+                        near = near[np.bitwise_count(s[near] ^ s[i]).sum(axis=1, dtype=np.int64) <= most[near - i - 1]]
+                        a.append(np.full(len(near), d[i]))
+                        b.append(d[near])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [batch.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, SHORT)]
+            if rest is not None:
+                keys, columns = np.concatenate([rest[0], keys]), [np.concatenate(x) for x in zip(rest[1], columns)]
+            whole = int(np.searchsorted(keys, keys[-1]))  # where the last key, which may go on, begins
+            if whole:
+                yield pairs(keys[:whole], [x[:whole] for x in columns])
+            rest = keys[whole:], [x[whole:] for x in columns]
+        if rest is not None:
+            yield pairs(*rest)
 
-    return joined.mapInArrow(run, schema).toDF("a", "b")
+    return members.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,22 +411,27 @@ def components(links: DataFrame) -> DataFrame:
 def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     how = {"doc_id": doc_id, "text": text, "width": width, "p": p, "q": q}
-    sketched = written(sketches(documents, doc_id, text, width, p, q), "sketches")
+    sketched = written(_sketched(documents, doc_id, text, width), "sketches")
     classes = written(sketched.where(F.col("n") > 0).groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes")
-    keyed = sketched.select(F.explode("keys").alias("key"), "digest").repartition("key").sortWithinPartitions("key", "digest")
+    keyed = _keyed(documents, text, width, p, q).repartition("key").sortWithinPartitions("key", "digest")
     met = written(_meetings(keyed), "meetings")
     pairs = met.where(F.col("first").isNotNull()).select(F.col("first").alias("a"), F.col("other").alias("b")).distinct()
     links = written(_verified(documents, classes, pairs, **how), "links")
     labels = components(links)
-    # Keys whose members aren't all of one component yet.
+    # Keys whose members aren't all of one component yet; of keys with the same members, one.
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    members = met.where(F.col("first").isNull()).select("key", F.col("other").alias("digest")).join(of_class, "digest")
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    unsure = written(members.join(open_keys, "key", "left_semi").select("digest", "component").distinct().join(classes, "digest"), "unsure")
-    if not unsure.isEmpty():
-        more = written(_verified(documents, classes, _by_prefix(documents, unsure, **how), **how), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    members = written(met.where(F.col("first").isNull()).select("key", F.col("other").alias("digest")).join(of_class, "digest"), "members")
+    same = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same).where(F.col("lo") != F.col("hi")).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
+    unsure = written(members.join(open_keys.select("key", "m"), "key"), "unsure")
+    few = unsure.where(F.col("m") <= GROUP).select("key", "digest", F.xxhash64("component").alias("component")).join(classes.select("digest", "n", "sketch"), "digest")
+    compared = _compared(few.select("key", "digest", "component", "n", "sketch").repartition("key").sortWithinPartitions("key"), p, q)
+    many = written(unsure.where(F.col("m") > GROUP).select("digest", "component").distinct().join(classes, "digest"), "unsure-many")
+    if not many.isEmpty():
+        compared = compared.unionByName(_by_prefix(documents, many, **how)).distinct()
+    more = written(_verified(documents, classes, compared, **how), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = sketched.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -330,21 +439,22 @@ def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
     """Pairs of digests of different components that share one of their rarest shingles."""
-    texts = _wanted(documents, unsure.select(F.col("id").alias("doc_id")), doc_id, text).join(unsure.select(F.col("id").alias("doc_id"), "digest", "component", "n"), "doc_id").select("text", "digest", "component", "n")
-    schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    texts = _texts_of(documents, unsure.select("id", "digest"), doc_id, text).drop("doc_id").join(unsure.select("digest", "component", "n"), "digest").select("text", "digest", "component", "n")
+    schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         to, shingles = to_arrow_schema(schema), Shingler(width)
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
-            there = pa.array([digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist())], pa.bool_())
-            columns = [batch.column(i).cast(to.field(i - 1).type) for i in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], to.field(3).type)], schema=to).filter(there)
+            own = batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                s = shingles(batch.column(0)[i].as_py())
+                if digest(s) == own[i]:
+                    at = pa.array(np.full(len(s), i))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(j).take(at).cast(to.field(j - 1).type) for j in (1, 2, 3)], pa.array(s.view(np.int64))], schema=to)
 
-    rows = written(texts.mapInArrow(run, schema).dropDuplicates(["digest"]), "unsure-sets")
-    each = rows.select("digest", "component", "n", F.explode("shingles").alias("shingle"))
+    each = texts.mapInArrow(run, schema)
     frequency = each.groupBy("shingle").agg(F.count("*").alias("df"))
     most = F.floor(F.lit(q - p) * (F.col("n") + F.floor(F.lit(q) * F.col("n") / F.lit(p))) / F.lit(q + p)).cast("int")
     rarest = each.join(frequency.where(F.col("df") > 1), "shingle", "left").groupBy("digest", "component", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
@@ -355,7 +465,7 @@ def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: st
     near = (F.col("a_component") < F.col("b_component")) & (F.lit(q) * F.least("a_n", "b_n") >= F.lit(p) * F.greatest("a_n", "b_n"))
     distance = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SHORT)), F.lit(0))
     near &= F.lit(q + p) * distance <= F.lit(q - p) * (F.col("a_n") + F.col("b_n"))
-    return left.join(right, "shingle").where(near).select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b")).distinct()
+    return left.join(right, "shingle").where(near).select(F.least("a_digest", "b_digest").alias("a"), F.greatest("a_digest", "b_digest").alias("b")).distinct()
 
 
 def jaccard_report(documents: DataFrame) -> DataFrame:

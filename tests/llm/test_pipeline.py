@@ -1,5 +1,6 @@
 """Every stage on its own input, and the whole run."""
 
+import random
 import re
 
 import corpus_pipeline as cp
@@ -44,3 +45,24 @@ def test_clashing_columns_and_edge_cases(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = out
     assert cp.packed(spark, docs, SF).select("doc_id").distinct().count() == 3
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated and null ids: of each group of near copies one row stays, and no other row goes."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=80)) for _ in range(6)]
+    near = [t + " tail" for t in base]
+    rows = [(5, base[0]), (5, base[1]), (4, near[0]), (None, near[1]), (None, base[2]), (None, near[2]), (7, base[3]), (7, near[3]), (7, near[3]), (8, base[4]), (9, None), (9, None), (None, ""), (2, base[5])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, number int").repartition(4)
+    out = cp.near_duplicates(spark, docs, SF).collect()
+    groups = brute([(k, t) for k, (_, t) in enumerate(rows)], 5, 8, 10)
+    members = {}
+    for k, (_, c) in groups.items():
+        members.setdefault(c, []).append(k)
+    kept = {r["number"] for r in out}
+    assert len(kept) == len(out) == len(members)
+    for own in members.values():
+        (k,) = kept & set(own)
+        ids = [rows[i][0] for i in own]
+        assert rows[k][0] == min((i for i in ids if i is not None), default=None)
