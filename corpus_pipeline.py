@@ -19,34 +19,53 @@ def _rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that look like labelled toxic ones go."""
+    """Documents that look like labelled toxic ones go.
+
+    A null or empty text has no words to be judged by and stays; rows of a null or repeated id are judged by their own
+    text; an empty table stays empty.
+    """
     model = toxic_neighbours.learn(docs, table(spark, sf_dir, "labels"))
     return toxic_neighbours.score(_rows(docs, "text"), model, keep=["_row"]).where(F.col("score") < 0.5).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 on five-word shingles, the one with the smallest id stays."""
-    classes = written(parity_join.linked_classes(docs).select("doc_id", "component_id"), "kept")
-    kept = docs.join(classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = classes.groupBy("doc_id").count().where(F.col("count") > 1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Of documents linked at 0.8 on five-word shingles, the row with the smallest id stays.
+
+    Rows are linked by a number of their own, so an id that occurs with several texts loses only the copies among them,
+    and a null id (which comes last) can go as well; of rows with the same id the first of the table stays. Texts
+    without words are linked with nothing and stay.
+    """
+    numbered = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_number")), "numbered")
+    texts = numbered.select("_number", F.col("_row.text").alias("text"))
+    classes = written(parity_join.linked_classes(texts, doc_id="_number").select(F.col("doc_id").alias("_number"), "component_id"), "row-classes")
+    named = classes.join(numbered.select("_number", F.col("_row.doc_id").alias("id")), "_number")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_number"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._number").alias("_number"))
+    gone = classes.join(kept, "_number", "left_anti").select("_number")
+    return numbered.join(gone, "_number", "left_anti").select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go.
+
+    A null or wordless text has no window and stays; each row of a repeated or null id is judged by itself.
+    """
     hits = wu_manber.find_hits(_rows(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["_row"])
     return hits.where(F.col("n_hit") == 0).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    """Personal data is replaced by its kind; ``n_chars`` follows the text.
+
+    No row goes. A null text stays null (its ``n_chars`` becomes null, too); ids aren't read.
+    """
     found = contextual_pii.find(_rows(docs, "text"), contextual_pii.learn(docs), keep=["_row"], mask=True)
     new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return found.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens' places in training sequences."""
+    """The tokens' places in training sequences: every row's text and end token, a null text being empty."""
     return packing.packing_report(docs)
 
 
