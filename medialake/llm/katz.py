@@ -4,8 +4,10 @@ Counts of words and of pairs of words are taken over all training documents.
 Counts up to ``LARGEST`` are discounted by Good and Turing's estimate; what the
 pairs after a context lose goes to the words not seen after it, in proportion
 to their unigram probability, by a weight that makes the context's
-probabilities sum to one exactly. Unigrams lose to one unknown word in the same
-way. A token is evaluated recursively: the pair if it was seen, else the
+probabilities sum to one exactly. A context of more than ``LARGEST`` tokens sets
+half a count aside besides, so one whose counts are all large backs off, too, and
+what a seen pair is worth needs no more than its own and its context's count.
+Unigrams lose to one unknown word in the same way. A token is evaluated recursively: the pair if it was seen, else the
 context's weight times the unigram, else the unknown word.
 
 *Unigrams* are counted first and written as a table. The ``HOT`` most frequent
@@ -15,11 +17,13 @@ and nothing has to be looked up for them.
 *Pairs* are dealt into buckets by their context; a context with a large share of
 all tokens is dealt by both words. A task sends a bucket its distinct pairs and
 the rows they come from, packed, so a pair of any frequency is one entry a
-chunk. A bucket adds up the counts, so it knows of each token whether the pair
+chunk (at worst an entry a pair, which is what an ordinary shuffle of pairs
+sends). A bucket adds up the counts, so it knows of each token whether the pair
 was seen and how often, and writes what the scores still need into a table
 partitioned by kind: per row, the numbers of seen tokens by count; the
-contexts' sums; the contexts and rare words that rows backed off to. The last
-are joined to contexts and unigrams as ordinary rows.
+contexts' sums; the contexts of the row's unseen pairs and its rare words. The
+last are joined to contexts and unigrams as ordinary rows; the dealt contexts,
+``HOT`` at most, are broadcast there.
 
 Words are compared by 63-bit hashes.
 
@@ -60,7 +64,7 @@ MEMO = 400_000
 
 _U = np.uint64
 _COLD, _START = _U(1 << 63), _U(1 << 62)
-ROW, PARTIAL, CONTEXT, BACKOFF, RARE, RARE_PAIR, PAIR = range(7)
+ROW, PARTIAL, CONTEXT, BACKOFF, RARE, RARE_PAIR, PAIR, HOT_BACKOFF = range(8)
 _CLASSES = [f"c{r}" for r in range(1, LARGEST + 1)]
 
 
@@ -182,6 +186,11 @@ class Shared:
         return (_mix(salted ^ _U(0x632BE59BD9B4E019)) >> _U(33)) % _U(self.buckets)
 
 
+def _split_hashes(shared: Shared) -> list[int]:
+    """The words' hashes of the split contexts."""
+    return shared.hash(shared.split).view(np.int64).tolist()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays by byte planes, compressed."""
     parts = []
@@ -297,11 +306,14 @@ def _sums(at: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarr
 
 
 def _judged(shared: Shared, blobs: list[bytes], with_pairs: bool) -> Iterator[dict]:
-    """A bucket's pairs, counted, as columns of the table of kinds."""
+    """A bucket's pairs, counted, as columns of the table of kinds.
+
+    The tokens' rows stay packed; one chunk's are unpacked at a time.
+    """
     hot = len(shared.hashes)
-    hs, ws, cs, parts = [], [], [], []
+    hs, ws, cs = [], [], []
     for blob in blobs:
-        first, bits, steps, w, times, docs, rare = _unpack(blob, *_KINDS)
+        _, bits, steps, w, times, docs, rare = _unpack(blob, *_KINDS)
         h = np.cumsum(steps, dtype=np.uint32)
         train = np.unpackbits(bits)
         for local, codes in ((h, hs), (w, ws)):
@@ -311,7 +323,6 @@ def _judged(shared: Shared, blobs: list[bytes], with_pairs: bool) -> Iterator[di
             codes.append(own)
         begins = np.cumsum(times, dtype=np.int64) - times
         cs.append(np.add.reduceat(train[docs].astype(np.int64), begins))
-        parts.append((int(first[0]), len(w), times, docs))
     h_codes, h_at = np.unique(np.concatenate(hs), return_inverse=True)
     w_codes, w_at = np.unique(np.concatenate(ws), return_inverse=True)
     del hs, ws
@@ -340,25 +351,26 @@ def _judged(shared: Shared, blobs: list[bytes], with_pairs: bool) -> Iterator[di
     if with_pairs:
         yield {"kind": PAIR, "h": whole_h[h[seen]], "w": shared.hash(w_codes[w[seen]]).view(np.int64), "n": c[seen]}
     # What a token adds by itself: the logarithm of large counts, over the context's; or of a frequent word's probability.
-    no_loss = ~split & (sum(classes) == 0)
     total = np.maximum(hc, 1).astype(float)
-    over = np.where(no_loss & (hc > 0), np.log10(np.maximum(total - 0.5, 0.5) / total), 0.0) - np.log10(total)
+    over = np.log10(np.where(hc > LARGEST, (total - 0.5) / total, 1.0) / total)
     with np.errstate(divide="ignore"):
         value = np.where(seen, np.where(c > LARGEST, np.log10(np.maximum(c, 1)), 0.0) + over[h], np.where(frequent[w], np.log10(p[w]), 0.0))
     level = np.where(c > LARGEST, 0, c)
     asks = ~seen & (hc > 0)[h]
     start = 0
-    for first, n, times, docs in parts:
+    for blob in blobs:
+        base, _, _, words, times, docs, _ = _unpack(blob, *_KINDS)
+        first, n = int(base[0]), len(words)
         pair = np.repeat(at[start : start + n], times)
         start += n
         size = int(docs.max()) + 1
         by = np.bincount(docs.astype(np.int64) * (LARGEST + 1) + level[pair], minlength=size * (LARGEST + 1)).reshape(size, LARGEST + 1)
         some = np.bincount(docs, minlength=size) > 0
         yield {"kind": PARTIAL, "row": first + np.flatnonzero(some), "x": _sums(docs, size, value[pair])[some], **{k: by[some, i + 1] for i, k in enumerate(_CLASSES)}}
-        wanted = asks[pair] | (split[h[pair]] & seen[pair])
-        who, back = np.unique(docs[wanted].astype(np.uint64) << _U(32) | h[pair[wanted]].astype(np.uint64), return_inverse=True)
-        unseen = ~seen[pair[wanted]]
-        yield {"kind": BACKOFF, "row": first + (who >> _U(32)).astype(np.int64), "h": whole_h[(who & _U(0xFFFFFFFF)).astype(np.int64)], "n": _sums(back, len(who), unseen).astype(np.int64), "k": _sums(back, len(who), ~unseen).astype(np.int64)}
+        for kind, wanted in ((BACKOFF, asks & ~split[h]), (HOT_BACKOFF, asks & split[h])):
+            wanted = wanted[pair]
+            who, back = np.unique(docs[wanted].astype(np.uint64) << _U(32) | h[pair[wanted]].astype(np.uint64), return_inverse=True)
+            yield {"kind": kind, "row": first + (who >> _U(32)).astype(np.int64), "h": whole_h[(who & _U(0xFFFFFFFF)).astype(np.int64)], "n": _sums(back, len(who)).astype(np.int64)}
         cold = ~frequent[w[pair]]
         who, back = np.unique(docs[cold].astype(np.uint64) << _U(32) | w[pair[cold]].astype(np.uint64), return_inverse=True)
         yield {"kind": RARE, "row": first + (who >> _U(32)).astype(np.int64), "w": whole_w[(who & _U(0xFFFFFFFF)).astype(np.int64)], "n": _sums(back, len(who)).astype(np.int64), "k": _sums(back, len(who), ~seen[pair[cold]]).astype(np.int64)}
@@ -439,21 +451,22 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
     rare = of(RARE_PAIR).select("h", "w").join(unigrams.select("w", "p"), "w").select("h", F.lit(0).cast("long").alias("n"), F.col("p").alias("x"), *none)
     sums = stats.unionByName(rare).groupBy("h").agg(*[F.sum(k).alias(k) for k in ("n", "x", *_CLASSES)])
     lost = reduce(lambda a, b: a + b, [F.col(k) * F.lit(r * (1 - factors[r])) for r, k in enumerate(_CLASSES, 1)])
-    few = reduce(lambda a, b: a + b, [F.col(k) for k in _CLASSES]) > 0
-    # A context whose counts are all above LARGEST loses nothing: half a count is then taken off in proportion.
-    contexts = sums.select("h", F.when(few, F.lit(1.0)).otherwise((F.col("n") - 0.5) / F.col("n")).alias("scale"), (F.when(few, lost).otherwise(F.lit(0.5)) / F.col("n") / (1 - F.col("x"))).alias("alpha"))
+    scaled = sums.withColumn("scale", F.when(F.col("n") > LARGEST, (F.col("n") - 0.5) / F.col("n")).otherwise(F.lit(1.0)))
+    contexts = scaled.select("h", "scale", ((1 - F.col("scale") * (1 - lost / F.col("n"))) / (1 - F.col("x"))).alias("alpha"))
+    dealt_out = spark.range(1).select(F.explode(F.from_json(F.lit(str(_split_hashes(known.value))), "array<bigint>")).alias("h"))
+    few_contexts = F.broadcast(contexts.join(F.broadcast(dealt_out), "h"))
 
     zero, nought = F.lit(0).cast("long"), F.lit(0.0)
     part = lambda df, ident, n, k, b, s: df.select("row", ident.alias("doc_id"), n.alias("n"), k.alias("k"), b.alias("b"), s.alias("s"))
     nobody = F.lit(None).cast(id_field.dataType)
     by_class = reduce(lambda a, b: a + b, [F.col(k) * F.lit(float(np.log10(r * factors[r]))) for r, k in enumerate(_CLASSES, 1)])
-    backed = of(BACKOFF).select("row", "h", "n", "k").join(contexts, "h")
+    backed = of(BACKOFF).select("row", "h", "n").join(contexts, "h").unionByName(of(HOT_BACKOFF).select("row", "h", "n").join(few_contexts, "h"))
     looked = of(RARE).select("row", "w", "n", "k").join(unigrams, "w", "left")
     base = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
     every = (
         part(of(ROW), F.col("doc_id"), F.col("n"), F.col("k"), F.col("x"), nought)
         .unionByName(part(of(PARTIAL), nobody, zero, zero, nought, F.col("x") + by_class))
-        .unionByName(part(backed, nobody, zero, zero, nought, F.col("n") * F.log10("alpha") + F.col("k") * F.log10("scale")))
+        .unionByName(part(backed, nobody, zero, zero, nought, F.col("n") * F.log10("alpha")))
         .unionByName(part(looked, nobody, zero, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(zero), base, F.col("k") * F.log10(F.coalesce("p", F.lit(unknown)))))
     )
     out = every.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("k").alias("n_known"), F.sum("b").alias("base_score"), F.sum("s").alias("score"))

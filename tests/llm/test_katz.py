@@ -34,7 +34,7 @@ def plain(texts):
     model = {}
     for h, ds in by.items():
         hc = sum(bi[h, w] for w in ds)
-        scale = 1.0 if 1 - sum(ds.values()) / hc > 1e-12 else (hc - 0.5) / sum(ds.values())
+        scale = (hc - 0.5) / hc if hc > katz.LARGEST else 1.0
         ps = {w: d * scale / hc for w, d in ds.items()}
         model[h] = (ps, (1 - sum(ps.values())) / (1 - sum(u[w] for w in ps)))
     return lines, uni, n, u, unknown, model
