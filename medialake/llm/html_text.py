@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, each by its whole name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,16 +43,22 @@ DROPPED_TAGS = frozenset("script style textarea title xmp iframe noembed noframe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start of one of these ends an open paragraph.
 ENDS_P = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}
+#: A paragraph outside one of these isn't ended by a start inside it.
+ENDS_NO_P = ("td", "th", "table", "button", "object", "caption")
 #: A start of the key ends an open element of the value, if no element of the third column is between.
 CLOSES = {
     "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
-#: Words of a class, id or role that mark what is not the article, and those that speak for it.
+#: Words of a class, id or role that mark what is not the article, and those that speak for it. A name counts as a whole:
+#: besides marking words it may have only such that say where or what kind of box it is, so related-work or share-prices don't.
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert alertdialog".split())
 LIKELY = frozenset("article body content entry main post story text".split())
 ALWAYS_UNLIKELY = frozenset("ad ads advert advertisement comment comments disqus replies sponsored cookie".split())
+PLACES = frozenset("area articles bar bars block bottom box btn button buttons center col column container fixed footer global has header icon icons inline inner items js layout left link links list main module news outer page panel posts primary right row secondary section site slot stories sub thread top unit wrap wrapper zone".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+#: Characters of a menu's links on average, at most; longer ones are a list of references.
+MENU_LABEL = 24
 BASE = {"article": 10, "main": 10, "section": 5, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "ol": -3, "ul": -3, "dl": -3, "form": -3, "th": -5}
 
 
@@ -65,31 +73,41 @@ class Element:
         return self.links / self.chars if self.chars else 0.0
 
 
-def _unlikely(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is left out, and the points its names give."""
-    if tag in DROPPED_TAGS:
+def _unlikely(tag: str, attributes: str, in_article: bool) -> tuple[bool, float]:
+    """Whether an element is left out, and the points its names give. The header of an article is part of it."""
+    if tag in DROPPED_TAGS and not (tag == "header" and in_article):
         return True, 0
     if not attributes or attributes.isspace():
         return False, 0
-    words: set[str] = set()
+    names: list[list[str]] = []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return tag not in ("html", "body"), 0
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(value))
+            names += [[w.lower() for w in _WORD.findall(x)] for x in value.split()]
     if tag in ("html", "body", "main"):
         return False, 0
-    likely = bool(words & LIKELY)
-    if words & ALWAYS_UNLIKELY or words & UNLIKELY and not likely and tag != "article":
-        return True, 0
+    likely = any(w in LIKELY for words in names for w in words)
+    for words in names:
+        marked = [w for w in words if w in UNLIKELY]
+        if marked and all(w in UNLIKELY or w in PLACES or w in LIKELY for w in words):
+            if any(w in ALWAYS_UNLIKELY for w in marked):
+                return True, 0
+            plain = tag != "article" and not any(w in LIKELY and w not in PLACES for w in words)
+            if plain and not (tag == "header" and in_article) and not any(o is not words and o and all(w in LIKELY for w in o) for o in names):
+                return True, 0
     return False, 25 * likely
 
 
 def parse(html: str) -> Element:
-    """The tree of what may be the article."""
+    """The tree of what may be the article.
+
+    The places of open elements are kept by tag, so finding what a tag ends takes the same time at any depth.
+    """
     root = Element("html", None)
     open_: list[Element] = [root]
+    places: dict[str, list[int]] = {}
     left_out = 0  # how many open elements at the end of ``open_`` belong to a part that is left out
     at, n = 0, len(html)
 
@@ -97,11 +115,19 @@ def parse(html: str) -> Element:
         if not left_out and s:
             open_[-1].parts.append(unescape(s) if "&" in s else s)
 
+    def begin(element: Element) -> None:
+        places.setdefault(element.tag, []).append(len(open_))
+        open_.append(element)
+
     def close_to(i: int) -> None:
         nonlocal left_out
-        gone = len(open_) - i
-        del open_[i:]
-        left_out = max(0, left_out - gone)
+        left_out = max(0, left_out - (len(open_) - i))
+        while len(open_) > i:
+            places[open_.pop().tag].pop()
+
+    def last(tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -117,29 +143,19 @@ def parse(html: str) -> Element:
             break
         tag, ending, attributes = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if ending:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    close_to(i)
-                    break
+            if i := last((tag,)):
+                close_to(i)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    close_to(i)
-                    break
-                if open_[i].tag in ("td", "th", "table", "button", "object", "caption"):
-                    break
+        if tag in ENDS_P and (i := last(("p",))) > last(ENDS_NO_P):
+            close_to(i)
         if tag in CLOSES:
             ended, stop = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in stop:
+            while (i := last(ended)) > last(stop):
+                close_to(i)
+                if tag != "tr":
                     break
-                if open_[i].tag in ended:
-                    close_to(i)
-                    if tag != "tr":
-                        break
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             if not left_out and tag in ("br", "hr"):
                 open_[-1].parts.append(" " if tag == "br" else Element("hr", open_[-1]))
@@ -149,16 +165,16 @@ def parse(html: str) -> Element:
             at = end.end() if end else n
             continue
         if left_out:
-            open_.append(Element(tag, None))
+            begin(Element(tag, None))
             left_out += 1
             continue
-        out, points = _unlikely(tag, attributes)
+        out, points = _unlikely(tag, attributes, bool(places.get("article")))
         element = Element(tag, open_[-1], BASE.get(tag, 0) + points)
         if out:
             left_out = 1
         else:
             open_[-1].parts.append(element)
-        open_.append(element)
+        begin(element)
     return root
 
 
@@ -220,8 +236,8 @@ def _lines(element: Element, lines: list[str]) -> None:
             else:
                 if p.tag in BLOCKS:
                     flush()
-                    if p.tag in ("ul", "ol", "div", "section", "table", "dl") and p.n_links >= 3 and p.density() > 0.66:
-                        continue  # a menu inside the article
+                    if p.tag in ("ul", "ol", "div", "section", "table", "dl") and p.n_links >= 3 and p.density() > 0.95 and p.links <= MENU_LABEL * p.n_links:
+                        continue  # a menu inside the article: nothing but short links
                 stack.append((p, iter(p.parts)))
                 break
         else:
