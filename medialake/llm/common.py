@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` names it; only a local session without that
     setting (tests) gets a temporary folder, which is then set for the session.
+    On a cluster, where a folder of the driver's own would be shared with nobody,
+    its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -31,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -46,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(keep: Iterable[str] | None, outputs: Iterable[str]) -> list[str]:
+    """The columns to carry through; one named like an output is left out."""
+    taken = set(outputs)
+    return [c for c in dict.fromkeys(keep or []) if c not in taken]
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
