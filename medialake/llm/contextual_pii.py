@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medialake.llm.common import written
+from medialake.llm.common import carried, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, ROUNDS, CONFIDENCE = 3, 3, 0.6
@@ -56,7 +57,9 @@ _LIKE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,5}[)./\x20-]{1,2}[0-9]{2,5}(?:[./\x20-][0-9]{2,6}){1,4}(?![0-9A-Za-z])"),
 }
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _NOT_WHITE = re.compile("[0-9]"), re.compile(r"\S+")
+#: Characters at its end that a very long word is known by.
+LONG_WORD = 256
 
 
 def luhn(digits: str) -> bool:
@@ -129,14 +132,28 @@ def like_spans(text: str | None, seeds: list[tuple[int, int, str]]) -> list[tupl
     return out
 
 
-def words_before(text: str, start: int) -> list[str]:
-    """The patterns at a place: the word before it, and the two before it."""
-    words = text[max(0, start - 128) : start].lower().split()
-    if start > 128:
-        words = words[-2:] if len(words) > 2 else words[1:]
-    one = words[-1] if words else "^"
-    two = " ".join(["^", "^", *words][-2:])
-    return [one, two]
+def contexts(text: str, starts: list[int]) -> list[list[str]]:
+    """The patterns at each place: the word before it, and the two words before it.
+
+    A word goes up to the place itself; one of more than ``LONG_WORD``
+    characters is known by its last ones, so that a text without white space
+    isn't copied for every place in it.
+    """
+    if not starts:
+        return []
+    words = [(m.start(), m.end()) for m in _NOT_WHITE.finditer(text)]
+    begins = [b for b, _ in words]
+    out = []
+    for at in starts:
+        i = bisect_left(begins, at)  # words that begin before the place
+        own = [_known_by(text[max(b, min(e, at) - LONG_WORD) : min(e, at)].lower()) for b, e in words[max(0, i - 2) : i]]
+        two = ["^", "^", *own][-2:]
+        out.append([own[-1] if own else "^", " ".join(two)])
+    return out
+
+
+def _known_by(word: str) -> str:
+    return word[-LONG_WORD:]
 
 
 def _mentions(documents: DataFrame, text: str) -> DataFrame:
@@ -155,8 +172,8 @@ def _mentions(documents: DataFrame, text: str) -> DataFrame:
             for value in batch.column(0).to_pylist():
                 seeds = base_spans(value)
                 for own, seed in ((seeds, True), (like_spans(value, seeds), False)):
-                    for s, e, k in own:
-                        counts.update((p, k, value[s:e].lower(), seed) for p in words_before(value, s))
+                    for (s, e, k), patterns in zip(own, contexts(value, [x[0] for x in own])):
+                        counts.update((p, k, value[s:e].lower(), seed) for p in patterns)
             if len(counts) > 200_000:
                 yield flush()
         yield flush()
@@ -194,7 +211,7 @@ def _occurrences(documents: DataFrame, text: str, patterns: DataFrame) -> DataFr
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                words = ["^", "^", *(value or "").lower().split()]
+                words = ["^", "^", *map(_known_by, (value or "").lower().split())]
                 here = Counter(words)
                 if len(known) > 100_000:
                     known.clear()
@@ -234,7 +251,7 @@ def learn(documents: DataFrame, *, text: str = "text", support: int = SUPPORT, r
 
 def find(documents: DataFrame, model: dict[tuple[str, str], float], *, text: str = "text", keep: list[str] | None = None, mask: bool = False) -> DataFrame:
     """``keep`` columns with ``spans`` (start, end, kind, seed; by start, then kind) and, with ``mask``, ``masked``: the text with ``<kind>`` for each run of spans."""
-    kept = [c for c in keep or []]
+    kept = carried(keep, ("spans", "masked"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("seed", T.BooleanType())])
     schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField("spans", T.ArrayType(span))] + [T.StructField("masked", T.StringType())] * mask)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -247,7 +264,8 @@ def find(documents: DataFrame, model: dict[tuple[str, str], float], *, text: str
             spans, masked = [], []
             for value in batch.column(len(kept)).to_pylist():
                 seeds = base_spans(value)
-                more = [s for s in like_spans(value, seeds) if any((p, s[2]) in known for p in words_before(value, s[0]))] if known else []
+                like = like_spans(value, seeds) if known else []
+                more = [s for s, own in zip(like, contexts(value, [x[0] for x in like])) if any((p, s[2]) in known for p in own)]
                 own = sorted([(*s, True) for s in seeds] + [(*s, False) for s in more], key=lambda s: (s[0], KINDS.index(s[2])))
                 spans.append([{"start": s, "end": e, "kind": k, "seed": seed} for s, e, k, seed in own])
                 if mask:

@@ -35,11 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medialake.llm.common import held_out
+from medialake.llm.common import carried, held_out
 
 DOCUMENTS = 200
 TABLE = 1 << 16
@@ -52,15 +53,15 @@ MEMO = 1_000_000
 BLOCK, AT_ONCE = 64, 200_000
 FLOOR = -25.0
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _WIDE = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words of a text; none if it has no letter."""
+    """The words of a text, letters with their combining marks; none if it has no letter."""
     if not text:
         return []
-    words = _WORD.findall(text.lower())
-    return words if words and any(c.isalpha() for c in text) else []
+    text = text.lower()
+    return (_WORD if text.isascii() else _WIDE).findall(text)
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -320,14 +321,18 @@ class Judge:
 
 
 def sample(documents: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` documents of each language."""
-    rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    languages = sorted(r[0] for r in rows.groupBy(lang).count().select(lang).collect())
-    out: list[tuple[str, str]] = []
-    for value in languages:
-        own = rows.where(F.col(lang) == value).select(F.xxhash64(doc_id).alias("_h"), F.col(doc_id).cast("string").alias("_d"), F.col(text).alias("_t"))
-        out += [(value, r["_t"]) for r in own.orderBy("_h", "_d").limit(per_language).collect()]
-    return out
+    """At most ``per_language`` documents of each language, those of the smallest hashes of their ids.
+
+    Ids alone are ranked, in one pass that keeps ``per_language`` a language in
+    each task; then the chosen texts are fetched. Languages are labels of which
+    there are few: the sample and the model hold each of them.
+    """
+    rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(lang).alias("l"), F.xxhash64(doc_id).alias("h"), F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "d"))
+    chosen = rows.select("l", "h", "d").withColumn("k", rank).where(F.col("k") <= per_language).select("l", "h", F.coalesce("d", F.lit("")).alias("e")).distinct()
+    found = rows.withColumn("e", F.coalesce("d", F.lit(""))).join(F.broadcast(chosen), ["l", "h", "e"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "d", "t"))
+    return [(r["l"], r["t"]) for r in found.withColumn("k", rank).where(F.col("k") <= per_language).orderBy("l", "k").select("l", "t").collect()]
 
 
 def fit(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCUMENTS) -> Model | None:
@@ -336,7 +341,7 @@ def fit(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
 
 def label(documents: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with ``lang_pred``, ``score`` and ``letters`` (expected letters of each language)."""
-    kept = list(keep or [])
+    kept = carried(keep, ("lang_pred", "score", "letters"))
     schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.MapType(T.StringType(), T.DoubleType()))])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -186,7 +186,6 @@ def pack(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
     ``tokens`` has the ids as little-endian unsigned 32-bit numbers; pieces of a
     sequence lie one after another from offset 0.
     """
-    path = tokenizer or default_tokenizer()
     long = T.LongType()
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("start", long), T.StructField("length", long), T.StructField("tokens", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long)])
 
@@ -201,7 +200,7 @@ def pack(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
                 yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
         out, held = [], 0
-        for i, window in enumerate(pack_rows(rows(), tokenizer_of(path), capacity, end_id)):
+        for i, window in enumerate(pack_rows(rows(), tokenizer_of(tokenizer or default_tokenizer()), capacity, end_id)):
             offset = 0
             for key, start, tokens, total in window:
                 out.append((key, start, len(tokens) // 4, tokens, total, first + i, offset))

@@ -7,10 +7,13 @@
    weight is the inverse document frequency times 1 + the square root of its
    chi-square with the class: words that tell the classes apart weigh more, none
    is left out.
-3. *Index.* The examples' unit vectors in an inverted index: a term's examples
-   and weights stand together.
-4. *Search.* A document's cosines to all examples are summed over its terms'
-   postings; the ``K`` nearest are taken. That's exact.
+3. *Index.* The examples' unit vectors in a block-max inverted index: a term's
+   examples and weights stand together, cut at blocks of ``BLOCK`` examples (which
+   are in an order that puts like ones together), each with its largest weight.
+4. *Search.* The blocks' largest weights bound what a document's cosine to any
+   example of a block can be. Blocks are scored in the order of these bounds,
+   ``AT_ONCE`` at first, then twice as many each time, until no other block's
+   bound reaches the ``K``-th largest cosine so far. That's exact.
 5. *Votes.* The neighbours vote with the square of their cosine, against a weak
    prior; the vote is calibrated by an isotonic curve fitted on the examples
    themselves (each without itself), weighted to the classes' true shares.
@@ -41,11 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medialake.llm.common import held_out
+from medialake.llm.common import carried, held_out, written
 
 EXAMPLES = 2000
 K = 15
 PRIOR_WEIGHT = 0.05
+BLOCK, AT_ONCE = 32, 8
 #: Documents whose evidence is held at once.
 CHUNK = 1000
 
@@ -58,14 +62,18 @@ def word_counts(text: str | None) -> Counter:
 
 @dataclass
 class Index:
-    """Inverted index over unit vectors of examples."""
+    """Block-max inverted index over unit vectors of examples."""
 
     weight: dict[str, float]
     ids: list
     labels: np.ndarray
-    #: term -> its row; a row's examples (rising) and weights are those from its start to the next one's
+    #: term -> its row; a row's entries (one a block) are those from its start to the next one's
     rows: dict[str, int] = field(default_factory=dict)
     starts: list[int] = field(default_factory=list)
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: an entry's examples (rising) and weights are those from its offset to the next one's
+    offsets: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -79,23 +87,43 @@ class Index:
         self.rows = {w: i for i, w in enumerate(dict.fromkeys(w for v in vectors for w in v))}
         row = np.array([self.rows[w] for v in vectors for w in v], np.int64)
         order = np.argsort(row, kind="stable")
+        row = row[order]
         self.examples = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v) for v in vectors])[order]
         self.weights = np.array([x for v in vectors for x in v.values()])[order]
-        self.starts = np.searchsorted(row[order], np.arange(len(self.rows) + 1)).tolist()
+        block = self.examples // BLOCK
+        begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.offsets = np.append(begins, len(row))
+        self.blocks = block[begins].astype(np.int64)
+        self.largest = np.maximum.reduceat(self.weights, begins) if len(begins) else np.zeros(0)
+        self.starts = np.searchsorted(row[begins], np.arange(len(self.rows) + 1)).tolist()
 
     def nearest(self, query: dict[str, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, nearest first, as (cosine, example)."""
-        terms = [(slice(self.starts[r], self.starts[r + 1]), q) for w, q in query.items() if (r := self.rows.get(w)) is not None]
+        terms = [(self.starts[r], self.starts[r + 1], q) for w, q in query.items() if (r := self.rows.get(w)) is not None]
         if not terms:
             return []
-        scores = np.bincount(np.concatenate([self.examples[own] for own, _ in terms]), np.concatenate([q * self.weights[own] for own, q in terms]), len(self.ids))
-        if without >= 0:
-            scores[without] = 0
-        near = np.flatnonzero(scores > 0)
-        if len(near) > k:
-            near = near[scores[near] >= np.partition(scores[near], -k)[-k]]
-        near = near[np.argsort(-scores[near], kind="stable")][:k]
-        return list(zip(scores[near].tolist(), near.tolist()))
+        entries = np.concatenate([np.arange(a, b) for a, b, _ in terms])
+        q = np.repeat([x for _, _, x in terms], [b - a for a, b, _ in terms])
+        block = self.blocks[entries]
+        bounds = np.bincount(block, q * self.largest[entries])
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        best, near, at, size = np.zeros(0), np.zeros(0, np.int64), 0, AT_ONCE
+        while at < len(order) and not (len(best) == k and bounds[order[at]] < best[-1] * (1 - 1e-9)):
+            chosen = np.zeros(len(bounds), bool)
+            chosen[order[at : at + size]] = True
+            at, size = at + size, 2 * size
+            own = chosen[block]
+            first, last = self.offsets[entries[own]], self.offsets[entries[own] + 1]
+            lengths = last - first
+            places = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            scores = np.bincount(self.examples[places], np.repeat(q[own], lengths) * self.weights[places])
+            found = np.flatnonzero(scores > 0)
+            found = found[found != without]
+            near, best = np.concatenate([near, found]), np.concatenate([best, scores[found]])
+            kept = np.lexsort((near, -best))[:k]
+            near, best = near[kept], best[kept]
+        return list(zip(best.tolist(), near.tolist()))
 
     def vote(self, found: list[tuple[float, int]], prior: float) -> float:
         weight = sum(s * s for s, _ in found)
@@ -173,8 +201,6 @@ def fit(documents: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", te
             words = [word_counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], names=["_id", "_y", "_w", "_n"])
 
-    from medialake.llm.common import written
-
     vectors = written(sample.select("_id", "_y", "_t").mapInArrow(counted, "_id string, _y long, _w array<string>, _n array<long>"), "toxicity-examples")
     sizes = {r["_y"]: r["count"] for r in vectors.groupBy("_y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -198,7 +224,7 @@ def fit(documents: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", te
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with ``score`` and ``evidence`` (the nearest examples, their cosines and labels)."""
-    kept = list(keep or [])
+    kept = carried(keep, ("score", "evidence"))
     evidence = T.ArrayType(T.StructType([T.StructField("example", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     shared = documents.sparkSession.sparkContext.broadcast(model)

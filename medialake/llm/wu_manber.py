@@ -11,27 +11,35 @@ is one pattern). All patterns of one length form a searcher with
   block and first word;
 * a direct comparison of the words, which alone decides.
 
-Every document is searched by itself, so there is no shuffle. The benchmark is
-the stated pattern set: it's read in blocks of bounded size (``block_chars``),
-each broadcast by itself, so its tables never exceed that bound at once on a
-worker; a document's hits in all blocks are merged where it's read.
+Every document is searched by itself. The benchmark is dealt into blocks of
+about ``block_chars`` characters by a hash of its items' ids. Each block is a
+pass over the documents: the block's texts are broadcast, every worker builds
+their tables once, and the broadcast is taken back before the next, so a worker
+and the driver never hold more than one block. With one block there is no shuffle;
+with more, each pass writes the rows it hits, and a row's hits are merged.
 
 Defined results: a null or wordless text has no words and no hits; a null or
 wordless benchmark item gives no pattern; repeated items share a pattern and
 all count; a repeated document row is returned as often as it occurs; other
-columns of either table are ignored, unless named in ``keep``.
+columns of either table are ignored, unless named in ``keep``, where one named
+like an output is left out; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medialake.llm.common import carried, written
+
 WINDOW = 10
 BLOCK = 2
 #: Characters of benchmark text whose tables are broadcast at a time (some 100 MB of tables).
@@ -99,37 +107,31 @@ def patterns_of(items: list[tuple[object, str | None]], window: int = WINDOW) ->
     return {m: {p: sorted(ids) for p, ids in by.items()} for m, by in found.items()}
 
 
-def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of at most ``block_chars`` characters (or one item)."""
-    block: list[tuple[object, str]] = []
-    size = 0
-    for item, text in benchmark.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator(prefetchPartitions=True):
-        if block and size + len(text) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
-    if block:
-        yield block
+#: The searchers of the block that a worker has last built, by the block's name.
+_BUILT: dict[str, list[Searcher]] = {}
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
-    """Per document row: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans``.
+def _searchers(name: str, items: Broadcast, window: int) -> list[Searcher]:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = [Searcher(m, by) for m, by in patterns_of(items.value, window).items()]
+    return _BUILT[name]
+
+
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> list[DataFrame]:
+    """The benchmark's (id, text) in blocks of about ``block_chars`` characters; one empty block if it has no text."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull() & F.col("item").isNotNull())
+    chars = items.agg(F.sum(F.char_length("text").cast("long"))).head()[0] or 0
+    n = -(-chars // block_chars) or 1
+    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i) for i in range(n)]
 
-    ``spans`` has the [start, end) word ranges that are hit. ``keep`` names
-    further columns of ``documents`` to carry through.
-    """
-    spark = documents.sparkSession
-    searchers = []
-    for block in pattern_blocks(benchmark, item_id, item_text, block_chars):
-        searchers.append(spark.sparkContext.broadcast([Searcher(m, by) for m, by in patterns_of(block, window).items()]))
-    kept = [doc_id, *(c for c in keep or [] if c not in (doc_id, text))]
-    carried = documents.select(*kept, text) if text not in (keep or []) else documents.select(*kept, text)
-    with_text = text in (keep or [])
-    id_type = benchmark.schema[item_id].dataType
-    out_fields = [documents.schema[c] for c in kept] + ([documents.schema[text]] if with_text else [])
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType(out_fields + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(id_type)), T.StructField("spans", T.ArrayType(span))])
+
+def _searched(documents: DataFrame, carried_columns: list[str], text: str, block: DataFrame, window: int, only_hits: bool) -> tuple[DataFrame, Broadcast]:
+    """``carried_columns``, ``n_words``, ``n_hit``, ``items``, ``spans`` of one pass."""
+    items = documents.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in block.toLocalIterator()])
+    name = uuid.uuid4().hex
+    schema = T.StructType([*[documents.schema[c] for c in carried_columns], *_outputs(block.schema["item"].dataType)])
+    n = len(carried_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,15 +139,14 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_
         to = to_arrow_schema(schema)
         for batch in batches:
             n_words, n_hit, items_out, spans_out = [], [], [], []
-            for value in batch.column(len(kept)).to_pylist():
+            for value in batch.column(n).to_pylist():
                 words = words_of(value)
-                hit, items = bytearray(len(words)), set()
-                for each in searchers:
-                    for s in each.value:
-                        s.search(words, hit, items)
+                hit, found = bytearray(len(words)), set()
+                for s in _searchers(name, items, window):
+                    s.search(words, hit, found)
                 n_words.append(len(words))
                 n_hit.append(hit.count(1))
-                items_out.append(sorted(items))
+                items_out.append(sorted(found))
                 spans, at = [], hit.find(1)
                 while at >= 0:
                     end = hit.find(0, at)
@@ -153,11 +154,50 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_
                     spans.append({"start": at, "end": end})
                     at = hit.find(1, end)
                 spans_out.append(spans)
-            columns = [batch.column(i) for i in range(len(kept) + with_text)]
-            columns += [pa.array(x, to.field(i + len(columns)).type) for i, x in enumerate([n_words, n_hit, items_out, spans_out])]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to)], schema=to)
+            columns = [batch.column(i).cast(to.field(i).type) for i in range(n)]
+            out = pa.RecordBatch.from_arrays([*columns, *[pa.array(x, to.field(n + i).type) for i, x in enumerate([n_words, n_hit, items_out, spans_out])]], schema=to)
+            yield out.filter(pa.array([x > 0 for x in n_hit], pa.bool_())) if only_hits else out
+
+    return documents.select(*carried_columns, F.col(text).alias("_text")).mapInArrow(run, schema), items
+
 
-    return carried.mapInArrow(run, schema)
+def _outputs(item_type: T.DataType) -> list[T.StructField]:
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", T.ArrayType(span))]
+
+
+def _merged(spans: Column) -> Column:
+    """Spans of several passes as the spans of their union, in order."""
+    grown = F.aggregate(
+        F.array_sort(spans), F.array().cast("array<struct<start: bigint, end: bigint>>"),
+        lambda out, s: F.when((F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
+    )
+    return F.when(F.size(spans) == 0, F.array().cast("array<struct<start: bigint, end: bigint>>")).otherwise(grown)
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
+    """Per document row: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans``.
+
+    ``spans`` has the [start, end) word ranges that are hit. ``keep`` names
+    further columns of ``documents`` to carry through.
+    """
+    names = ["n_words", "n_hit", "items", "spans"]
+    kept = carried([doc_id, *(keep or [])], names)
+    blocks = _passes(benchmark, item_id, item_text, block_chars)
+    if len(blocks) == 1:
+        return _searched(documents, kept, text, blocks[0], window, False)[0]
+    rows = written(documents.select(F.struct(*kept).alias("_kept"), F.col(text).alias("_words"), F.monotonically_increasing_id().alias("_number")), "wu-manber-rows")
+    found = []
+    for block in blocks:
+        hits, items = _searched(rows, ["_number"], "_words", block, window, True)
+        found.append(written(hits, "wu-manber-hits"))
+        items.unpersist(blocking=True)
+    hits = reduce(DataFrame.unionByName, found).groupBy("_number").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"))
+    none = _searched(rows, ["_kept", "_number"], "_words", blocks[0].limit(0), window, False)[0].select("_kept", "_number", "n_words")
+    joined = none.join(hits, "_number", "left")
+    items, spans = (F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("items", "spans"))
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long")).alias("n_hit")
+    return joined.select(*[F.col("_kept").getField(c).alias(c) for c in kept], "n_words", n_hit, items, spans)
 
 
 def item_digest(items: list) -> str:

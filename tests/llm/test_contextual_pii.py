@@ -1,7 +1,9 @@
 """Personal data: seeds against the plain expressions, and patterns that find what no rule knows."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +44,66 @@ def test_whole_table(spark):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in want) for k in pii.KINDS]
 
 
+def plain_spans(texts):
+    """All spans by a plain reading of the definition: dictionaries, whole texts, no tables."""
+    mentions, totals = Counter(), Counter()
+    cut = lambda t: [w[-pii.LONG_WORD :] for w in t.lower().split()]
+    before = lambda t, at: ["^", "^", *cut(t[:at])][-2:]
+    for t in texts:
+        words = ["^", "^", *cut(t or "")]
+        totals.update(words)
+        totals.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+        seeds = pii.base_spans(t)
+        for own, seed in ((seeds, 1.0), (pii.like_spans(t, seeds), 0.0)):
+            for s, e, k in own:
+                b = before(t, s)
+                mentions.update({(b[1], k, t[s:e].lower(), seed): 1})
+                mentions.update({(" ".join(b), k, t[s:e].lower(), seed): 1})
+    values, edges, seeds = {}, Counter(), {}
+    for (p, k, v, seed), n in mentions.items():
+        values.setdefault((p, k), set()).add(v)
+        edges[p, k, v] += n
+        seeds[p, k, v] = max(seeds.get((p, k, v), 0.0), seed)
+    edges = {x: n for x, n in edges.items() if len(values[x[:2]]) >= pii.SUPPORT}
+    start = {}
+    for p, k, v in edges:
+        start[k, v] = max(start.get((k, v), 0.0), seeds[p, k, v])
+    confidence, scores = dict(start), {}
+    for _ in range(pii.ROUNDS):
+        scores = {}
+        for (p, k, v), n in edges.items():
+            scores[p, k] = scores.get((p, k), 0.0) + n * confidence[k, v]
+        scores = {(p, k): min(1.0, s / (totals[p] + 1)) for (p, k), s in scores.items()}
+        confidence = dict(start)
+        for p, k, v in edges:
+            confidence[k, v] = max(confidence[k, v], scores[p, k])
+    good = {x for x, s in scores.items() if s >= pii.CONFIDENCE}
+    out = []
+    for t in texts:
+        own = pii.base_spans(t)
+        own += [(s, e, k) for s, e, k in pii.like_spans(t, own) if (before(t, s)[1], k) in good or (" ".join(before(t, s)), k) in good]
+        out.append(",".join(f"{k}:{s}:{e}" for s, e, k in sorted(own, key=lambda x: (x[0], pii.KINDS.index(x[2])))))
+    return out, good
+
+
+def test_spans_against_plain_bootstrap(spark):
+    """Every span, also those that only the second round reaches, long words, and a place far from any white space."""
+    rng = random.Random(8)
+    words = ["mail:", "call", "host", "from", "the", "card", "no.", "x" * 300, "y" * 1000]
+    def value():
+        return rng.choice([f"u{rng.randrange(30)}@mail.example.com", f"u{rng.randrange(9)}@intranet", f"10.0.{rng.randrange(300)}.7", f"+1 555 {rng.randrange(100, 999)} 1234", f"(0{rng.randrange(10, 40)}) 555-{rng.randrange(1000, 9999)}", f"{rng.randrange(10**11, 10**12)}"])
+    likely = {"mail:": lambda: rng.choice([f"u{rng.randrange(30)}@mail.example.com", f"u{rng.randrange(9)}@intranet"]), "x" * 300: lambda: f"10.0.{rng.randrange(300)}.7", "call": lambda: f"+1 555 {rng.randrange(100, 999)} 1234"}
+    def pair():
+        w = rng.choice(words)
+        return w, likely[w]() if w in likely and rng.random() < 0.95 else rng.choice(["is", "was", value()])
+    texts = ["  ".join(x for _ in range(rng.randint(0, 12)) for x in pair()) for _ in range(150)] + [None, "", "z" * 5000 + "a@b.c," + "w" * 200 + "@q"]
+    want, good = plain_spans(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert set(pii.learn(docs)) == good and len(good) > 3
+    assert [r["spans"] for r in sorted(pii.personal_data_report(docs).collect(), key=lambda r: r["doc_id"])] == want
+    assert sum(w.count(",") for w in want) > sum(max(0, len(pii.base_spans(t)) - 1) for t in texts)
+
+
 def test_patterns_discover_and_spare(spark):
     rows = [(i, f"Hello there. Reach me under mail: user{i}@mail.example.com or the office.") for i in range(6)]
     rows += [(10, "Reach me under mail: someone@intranet please"), (11, "see someone@there now"), (12, None), (13, ""), (13, "")]

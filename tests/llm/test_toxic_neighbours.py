@@ -20,8 +20,33 @@ def test_search_is_exact():
     for _ in range(100):
         q = index.vector(Counter(rng.choices(terms, k=6)))
         every = sorted(((sum(q[w] * v.get(w, 0) for w in q), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        got = index.nearest(q)
-        assert np.allclose([s for s, _ in got], [s for s, _ in every[: tn.K]])
+        for k, without in ((tn.K, -1), (1, every[0][1]), (600, -1)):
+            want = [x for x in every if x[0] > 0 and x[1] != without][:k]
+            got = index.nearest(q, k, without)
+            assert len(got) == len(want) and np.allclose([s for s, _ in got], [s for s, _ in want])
+            assert all(abs(sum(q[w] * vectors[i].get(w, 0) for w in q) - s) < 1e-12 for s, i in got)
+
+
+def test_votes_and_calibration():
+    """A vote by hand; the rising curve against every rising step function on a grid, in weighted squares."""
+    import itertools
+
+    index = tn.Index({}, [], np.array([1, 0, 1]))
+    p, c = 0.2, tn.PRIOR_WEIGHT
+    assert abs(index.vote([(0.5, 0), (0.3, 1)], p) - (0.25 + c * p) / (0.34 + c)) < 1e-12 and abs(index.vote([], p) - p) < 1e-12
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y, w = rng.integers(0, 5, 9) / 5, rng.integers(0, 2, 9).astype(float), rng.random(9) + 0.1
+        knots, values = tn.isotonic(x, y, w)
+        assert (np.diff(values) >= 0).all() and set(knots) <= set(x)
+        places = np.unique(x)
+        means = [np.average(y[x == v], weights=w[x == v]) for v in places]
+        cost = lambda f: sum(w[x == v].sum() * (m - z) ** 2 for v, m, z in zip(places, means, f))
+        grid = np.linspace(0, 1, 9)
+        least = min(cost(f) for f in itertools.product(grid, repeat=len(places)) if list(f) == sorted(f))
+        # With many observations a quarter of one on either side of a pool changes nothing.
+        many = tn.isotonic(x, y, w * 1e9)
+        assert cost(np.interp(places, *many)) <= least + 1e-6
 
 
 def test_held_out_accuracy(spark):
