@@ -7,13 +7,16 @@
    weight is the inverse document frequency times 1 + the square root of its
    chi-square with the class: words that tell the classes apart weigh more, none
    is left out.
-3. *Index.* The examples' unit vectors in a block-max inverted index: a term's
-   examples and weights stand together, cut at blocks of ``BLOCK`` examples (which
-   are in an order that puts like ones together), each with its largest weight.
-4. *Search.* The blocks' largest weights bound what a document's cosine to any
-   example of a block can be. Blocks are scored in the order of these bounds,
-   ``AT_ONCE`` at first, then twice as many each time, until no other block's
-   bound reaches the ``K``-th largest cosine so far. That's exact.
+3. *Index.* The examples' unit vectors in a block-max inverted index. Examples
+   are put in an order that has like ones together and cut into blocks of
+   ``BLOCK``. A term of few examples has a list of them with its weights; one of
+   more than a ``HEAD``-th of them has its weights block by block, with each
+   block's largest.
+4. *Search.* The lists are added up. With the largest weights of the other terms
+   they bound what a document's cosine to any example of a block can be. The
+   ``AT_ONCE`` blocks of the largest bounds are scored first, then all whose bound
+   reaches the ``K``-th largest cosine of those; the others are skipped. That's
+   exact. ``BATCH`` documents are worked on together.
 5. *Votes.* The neighbours vote with the square of their cosine, against a weak
    prior; the vote is calibrated by an isotonic curve fitted on the examples
    themselves (each without itself), weighted to the classes' true shares.
@@ -36,7 +39,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,7 @@ from medialake.llm.common import carried, held_out, written
 EXAMPLES = 2000
 K = 15
 PRIOR_WEIGHT = 0.05
-BLOCK, AT_ONCE = 32, 8
+BLOCK, AT_ONCE, HEAD, BATCH = 8, 8, 16, 128
 #: Documents whose evidence is held at once.
 CHUNK = 1000
 
@@ -60,76 +63,108 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+#: Numbers of terms and their values.
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors of examples."""
+    """Block-max inverted index over unit vectors of examples; the most frequent terms have the smallest numbers."""
 
-    weight: dict[str, float]
+    terms: dict[str, int]
+    weight: np.ndarray
     ids: list
     labels: np.ndarray
-    #: term -> its row; a row's entries (one a block) are those from its start to the next one's
-    rows: dict[str, int] = field(default_factory=dict)
-    starts: list[int] = field(default_factory=list)
-    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: an entry's examples (rising) and weights are those from its offset to the next one's
-    offsets: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        weight = self.weight
-        weights = {w: (1 + math.log(n)) * weight[w] for w, n in counts.items() if w in weight}
-        norm = math.sqrt(sum(x * x for x in weights.values()))
-        return {w: x / norm for w, x in sorted(weights.items())} if norm else {}
-
-    def add(self, vectors: list[dict[str, float]]) -> None:
-        self.rows = {w: i for i, w in enumerate(dict.fromkeys(w for v in vectors for w in v))}
-        row = np.array([self.rows[w] for v in vectors for w in v], np.int64)
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        self.examples = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v) for v in vectors])[order]
-        self.weights = np.array([x for v in vectors for x in v.values()])[order]
-        block = self.examples // BLOCK
-        begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.offsets = np.append(begins, len(row))
-        self.blocks = block[begins].astype(np.int64)
-        self.largest = np.maximum.reduceat(self.weights, begins) if len(begins) else np.zeros(0)
-        self.starts = np.searchsorted(row[begins], np.arange(len(self.rows) + 1)).tolist()
-
-    def nearest(self, query: dict[str, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of the largest positive cosine, nearest first, as (cosine, example)."""
-        terms = [(self.starts[r], self.starts[r + 1], q) for w, q in query.items() if (r := self.rows.get(w)) is not None]
-        if not terms:
-            return []
-        entries = np.concatenate([np.arange(a, b) for a, b, _ in terms])
-        q = np.repeat([x for _, _, x in terms], [b - a for a, b, _ in terms])
-        block = self.blocks[entries]
-        bounds = np.bincount(block, q * self.largest[entries])
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best, near, at, size = np.zeros(0), np.zeros(0, np.int64), 0, AT_ONCE
-        while at < len(order) and not (len(best) == k and bounds[order[at]] < best[-1] * (1 - 1e-9)):
-            chosen = np.zeros(len(bounds), bool)
-            chosen[order[at : at + size]] = True
-            at, size = at + size, 2 * size
-            own = chosen[block]
-            first, last = self.offsets[entries[own]], self.offsets[entries[own] + 1]
-            lengths = last - first
-            places = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            scores = np.bincount(self.examples[places], np.repeat(q[own], lengths) * self.weights[places])
-            found = np.flatnonzero(scores > 0)
-            found = found[found != without]
-            near, best = np.concatenate([near, found]), np.concatenate([best, scores[found]])
-            kept = np.lexsort((near, -best))[:k]
-            near, best = near[kept], best[kept]
-        return list(zip(best.tolist(), near.tolist()))
+    #: example x frequent term, whole blocks; and frequent term x block
+    head: np.ndarray
+    largest: np.ndarray
+    #: a rarer term's examples and weights are those from its offset to the next one's
+    offsets: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def build(cls, weight: dict[str, float], frequency: dict[str, int], examples: list[tuple[object, int, list[str], np.ndarray]]) -> Index:
+        """``examples``: (id, label, terms, counts); ``frequency``: in how many examples a term is."""
+        order = sorted(weight, key=lambda w: (-frequency[w], w))
+        terms, values = {w: i for i, w in enumerate(order)}, np.array([weight[w] for w in order])
+        n_head = sum(1 for w in order if frequency[w] * HEAD > len(examples))
+        made = [(x, y, unit(np.fromiter(map(terms.__getitem__, own), np.int64, len(own)), counts, values)) for x, y, own, counts in examples]
+        made.sort(key=lambda m: (int(m[2][0][np.argmax(m[2][1])]) if len(m[2][0]) else -1, m[1], str(m[0])))
+        blocks = -(-len(made) // BLOCK)
+        head = np.zeros((blocks * BLOCK, n_head))
+        for i, (_, _, (own, v)) in enumerate(made):
+            often = own < n_head
+            head[i, own[often]] = v[often]
+        every = np.concatenate([m[2][0] for m in made] or [np.zeros(0, np.int64)])
+        who = np.repeat(np.arange(len(made), dtype=np.int32), [len(m[2][0]) for m in made])
+        values_of = np.concatenate([m[2][1] for m in made] or [np.zeros(0)])
+        by = np.argsort(every, kind="stable")
+        by = by[np.searchsorted(every[by], n_head) :]
+        offsets = np.searchsorted(every[by], np.arange(n_head, len(order) + 1))
+        return cls(terms, values, [m[0] for m in made], np.array([m[1] for m in made]), head, head.reshape(blocks, BLOCK, n_head).max(axis=1).T.copy(), offsets, who[by], values_of[by])
+
+    def own_vectors(self) -> list[Vector]:
+        """The examples' vectors, from the index."""
+        rare = np.repeat(np.arange(len(self.offsets) - 1) + self.head.shape[1], np.diff(self.offsets))
+        order = np.argsort(self.examples, kind="stable")
+        edges = np.searchsorted(self.examples[order], np.arange(len(self.ids) + 1))
+        out = []
+        for i in range(len(self.ids)):
+            often, part = np.flatnonzero(self.head[i]), order[edges[i] : edges[i + 1]]
+            out.append((np.concatenate([often, rare[part]]), np.concatenate([self.head[i, often], self.weights[part]])))
+        return out
+
+    def vector(self, counts: Counter) -> Vector:
+        found = [(t, n) for w, n in counts.items() if (t := self.terms.get(w)) is not None]
+        own = np.array(found, np.int64).reshape(-1, 2)
+        return unit(own[:, 0], own[:, 1], self.weight)
+
+    def search(self, queries: list[Vector], k: int = K, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the ``k`` examples of the largest positive cosine, nearest first, as (cosine, example)."""
+        out = []
+        (m, n_head), n_blocks = self.head.shape, len(self.head) // BLOCK
+        for begin in range(0, len(queries), BATCH):
+            part = queries[begin : begin + BATCH]
+            q, tail = np.zeros((len(part), n_head)), np.zeros((len(part), m))
+            for i, (own, v) in enumerate(part):
+                often = own < n_head
+                q[i, own[often]] = v[often]
+                rare, v = own[~often] - n_head, v[~often]
+                first, lengths = self.offsets[rare], self.offsets[rare + 1] - self.offsets[rare]
+                places = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                tail[i] = np.bincount(self.examples[places], np.repeat(v, lengths) * self.weights[places], m)
+                if without:
+                    tail[i, without[begin + i]] = -np.inf
+            scores = np.full(tail.shape, -np.inf)
+            bounds = q @ self.largest + tail.reshape(len(part), n_blocks, BLOCK).max(axis=2)
+            first = np.zeros(bounds.shape, bool)
+            np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :AT_ONCE], True, axis=1)
+            self._score(q, tail, first, scores)
+            kth = np.sort(scores, axis=1)[:, -k] if k <= m else np.full(len(part), -np.inf)
+            self._score(q, tail, (bounds >= kth[:, None] - 1e-9) & (bounds > 0) & ~first, scores)
+            for own in scores:
+                near = np.flatnonzero(own > 0)
+                near = near[np.argsort(-own[near], kind="stable")][:k]
+                out.append(list(zip(own[near].tolist(), near.tolist())))
+        return out
+
+    def _score(self, q: np.ndarray, tail: np.ndarray, wanted: np.ndarray, scores: np.ndarray) -> None:
+        for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+            who, own = np.flatnonzero(wanted[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            scores[who, own] = q[who] @ self.head[own].T + tail[who, own]
 
     def vote(self, found: list[tuple[float, int]], prior: float) -> float:
         weight = sum(s * s for s, _ in found)
         return (sum(s * s * self.labels[i] for s, i in found) + PRIOR_WEIGHT * prior) / (weight + PRIOR_WEIGHT)
 
 
+def unit(own: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Vector:
+    """A text's weighted terms as a unit vector."""
+    v = (1 + np.log(counts)) * weight[own]
+    return own, v / np.sqrt(v @ v) if len(v) else v
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising curve nearest to the points, by pooling adjacent violators."""
     pools: list[list[float]] = []
@@ -150,11 +185,12 @@ class Model:
     prior: float
     curve: tuple[np.ndarray, np.ndarray] | None
 
-    def judge(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         if self.index is None or self.curve is None:
-            return self.prior, []
-        found = self.index.nearest(self.index.vector(word_counts(text)))
-        return float(np.clip(np.interp(self.index.vote(found, self.prior), *self.curve), 0, 1)), found
+            return [(self.prior, [])] * len(texts)
+        found = self.index.search([self.index.vector(word_counts(t)) for t in texts])
+        votes = np.interp([self.index.vote(f, self.prior) for f in found], *self.curve)
+        return list(zip(np.clip(votes, 0, 1).tolist(), found))
 
 
 def class_factor(a: int, b: int, n_toxic: int, n_other: int) -> float:
@@ -173,9 +209,9 @@ def document_frequencies(documents: DataFrame, text: str, terms: list[str]) -> t
         n = 0
         for batch in batches:
             n += batch.num_rows
-            for value in batch.column(0).to_pylist():
-                if value:
-                    found.update(wanted.intersection(_WORD.findall(value.lower())))
+            for value in batch.column(0):
+                if value.is_valid:
+                    found.update(wanted.intersection(_WORD.findall(value.as_py().lower())))
         yield pa.RecordBatch.from_pydict({"term": pa.array([*found, None], pa.string()), "n": pa.array([*found.values(), n], pa.int64())})
 
     rows = documents.select(F.col(text)).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -198,8 +234,9 @@ def fit(documents: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", te
     # The sample is bounded: its distinct words with their counts are what reaches the driver.
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], names=["_id", "_y", "_w", "_n"])
+            for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
+                words = [word_counts(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.int64()), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], names=["_id", "_y", "_w", "_n"])
 
     vectors = written(sample.select("_id", "_y", "_t").mapInArrow(counted, "_id string, _y long, _w array<string>, _n array<long>"), "toxicity-examples")
     sizes = {r["_y"]: r["count"] for r in vectors.groupBy("_y").count().collect()}
@@ -208,17 +245,14 @@ def fit(documents: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_id", te
     with_term = {w: (a, n - a) for w, a, n in zip(*(words.column(c).to_pylist() for c in ("w", "a", "n")))}
     df, total = document_frequencies(documents, text, list(with_term))
     weight = {w: (math.log((1 + total) / (1 + df.get(w, 0))) + 1) * class_factor(a, b, n1, n0) for w, (a, b) in with_term.items()}
-    index = Index(weight, [], np.array([]))
     made = []
     for batch in vectors.toArrow().to_batches(max_chunksize=CHUNK):
         for i, y, own, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            made.append((i, y, index.vector(Counter(dict(zip(map(sys.intern, own), counts))))))
-    made.sort(key=lambda m: (max(m[2], key=lambda w: (m[2][w], w), default=""), m[1], m[0]))
-    index.ids, index.labels = [m[0] for m in made], np.array([m[1] for m in made])
-    index.add([m[2] for m in made])
-    votes = np.array([index.vote(index.nearest(m[2], without=i), prior) for i, m in enumerate(made)])
+            made.append((i, y, list(map(sys.intern, own)), np.array(counts, np.int64)))
+    index = Index.build(weight, {w: a + b for w, (a, b) in with_term.items()}, made)
+    votes = np.array([index.vote(f, prior) for f in index.search(index.own_vectors(), without=list(range(len(made))))])
     share = {1: prior / max(n1, 1), 0: (1 - prior) / max(n0, 1)}
-    weights = np.array([share[int(y)] for y in index.labels]) * len(made)
+    weights = np.array([share[int(y)] for y in index.labels]) * len(index.ids)
     return Model(index, prior, isotonic(votes, index.labels.astype(float), weights))
 
 
@@ -234,7 +268,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", keep: list[
 
         to, m = to_arrow_schema(schema), shared.value
         for batch in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
-            judged = [m.judge(t) for t in batch.column(len(kept)).to_pylist()]
+            judged = m.judge(batch.column(len(kept)).to_pylist())
             found = [[{"example": m.index.ids[i], "cosine": s, "label": int(m.index.labels[i])} for s, i in near] for _, near in judged]
             columns = [batch.column(i).cast(to.field(i).type) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([s for s, _ in judged], pa.float64()), pa.array(found, to.field(len(kept) + 1).type)], schema=to)

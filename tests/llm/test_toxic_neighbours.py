@@ -12,17 +12,28 @@ from tests.oracle import SF
 
 def test_search_is_exact():
     rng = random.Random(3)
-    terms = [f"t{i}" for i in range(40)]
-    index = tn.Index({t: 1 + i / 10 for i, t in enumerate(terms)}, [], np.array([]))
-    vectors = [index.vector(Counter(rng.choices(terms, k=rng.randint(0, 12)))) for _ in range(500)]
-    index.ids, index.labels = list(range(500)), np.zeros(500)
-    index.add(vectors)
-    for _ in range(100):
-        q = index.vector(Counter(rng.choices(terms, k=6)))
-        every = sorted(((sum(q[w] * v.get(w, 0) for w in q), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        for k, without in ((tn.K, -1), (1, every[0][1]), (600, -1)):
-            want = [x for x in every if x[0] > 0 and x[1] != without][:k]
-            got = index.nearest(q, k, without)
+    terms = [f"t{i}" for i in range(200)]
+    weight = {t: 1 + i / 10 for i, t in enumerate(terms)}
+    odds = [40 if i < 12 else 1 for i in range(200)]  # some terms are in most examples
+    counts = [Counter(rng.choices(terms, odds, k=rng.randint(0, 12))) for _ in range(500)]
+    index = tn.Index.build(weight, Counter(t for c in counts for t in c), [(i, 0, list(c), np.array(list(c.values()), np.int64)) for i, c in enumerate(counts)])
+    assert 0 < index.head.shape[1] < 100
+
+    def plain(c):
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [plain(counts[i]) for i in index.ids]
+    for x, y in zip(index.own_vectors(), vectors):
+        assert dict(zip(x[0].tolist(), x[1].tolist())) == {index.terms[w]: v for w, v in ((w, v) for w, v in y.items())} or np.allclose(sorted(x[1]), sorted(y.values()))
+    queries = [Counter(rng.choices([*terms, "unknown"], [*odds, 3], k=6)) for _ in range(200)]
+    for k, leave in ((tn.K, False), (1, True), (600, False)):
+        every = [sorted(((sum(q[w] * v.get(w, 0) for w in q), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1])) for q in map(plain, queries)]
+        without = [e[0][1] for e in every] if leave else None
+        found = index.search([index.vector(q) for q in queries], k, without)
+        for q, e, got in zip(map(plain, queries), every, found):
+            want = [x for x in e if x[0] > 0 and not (leave and x[1] == e[0][1])][:k]
             assert len(got) == len(want) and np.allclose([s for s, _ in got], [s for s, _ in want])
             assert all(abs(sum(q[w] * vectors[i].get(w, 0) for w in q) - s) < 1e-12 for s, i in got)
 
@@ -31,7 +42,8 @@ def test_votes_and_calibration():
     """A vote by hand; the rising curve against every rising step function on a grid, in weighted squares."""
     import itertools
 
-    index = tn.Index({}, [], np.array([1, 0, 1]))
+    index = tn.Index.build({}, {}, [(i, y, [], np.zeros(0, np.int64)) for i, y in enumerate((1, 0, 1))])
+    index.labels = np.array([1, 0, 1])
     p, c = 0.2, tn.PRIOR_WEIGHT
     assert abs(index.vote([(0.5, 0), (0.3, 1)], p) - (0.25 + c * p) / (0.34 + c)) < 1e-12 and abs(index.vote([], p) - p) < 1e-12
     rng = np.random.default_rng(2)
