@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; when there are more, it starts anew.
-MEMO = 1_500_000
+MEMO = 400_000
 FLUSH_BYTES = 8 << 20
 
 #: Texts of these characters alone are split at white space and looked up word by word.

@@ -53,7 +53,7 @@ P, Q = 8, 10
 REFINED = 24
 #: 64-bit words of the short parity sketch.
 SHORT = 16
-MEMO = 1_500_000
+MEMO = 400_000
 #: Bits of the map of wanted ids that is sent to the workers, at least and at most (32 MB).
 ID_BITS = 1 << 23, 1 << 28
 #: Members of a key that are compared directly; more go by their rarest shingles.
