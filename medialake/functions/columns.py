@@ -44,7 +44,7 @@ def fold(s: Column) -> Column:
 
 
 def split_custom_tags(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, "[,，；;]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(s, "[,，；;]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def natural_key(s: Column) -> Column:
@@ -161,6 +161,11 @@ def mean_hash(pixels: Column) -> Column:
     return F.array_join(F.transform(d, lambda x: F.when(x >= mean, "1").otherwise("0")), "")
 
 
+def bit_code(bits: Column) -> Column:
+    """A string of at most 64 bits as a BIGINT."""
+    return F.conv(bits, 2, -10).cast("long")
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing characters, up to the shorter string's end."""
     n = F.least(F.char_length(a), F.char_length(b))
@@ -209,3 +214,79 @@ def even_pick(items: Column, k: int) -> Column:
 
 def any_column(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+# -- facts of a media row -------------------------------------------------------------------------------------------------
+def is_misplaced_gps(lat: Column, lon: Column, source: Column) -> Column:
+    """A guessed position, or any part of one that isn't usable."""
+    any_part = lat.isNotNull() | lon.isNotNull() | source.isNotNull()
+    return F.coalesce(source == "itinerary", F.lit(False)) | (any_part & ~usable_gps(lat, lon))
+
+
+def gps_source(lat: Column, lon: Column, source: Column) -> Column:
+    return F.when(usable_gps(lat, lon), F.coalesce(source, F.lit("header")))
+
+
+def reliable_anchor(lat: Column, lon: Column, source: Column) -> Column:
+    return F.coalesce(gps_source(lat, lon, source).isin("header", "user"), F.lit(False))
+
+
+def may_write_gps(lat: Column, lon: Column, source: Column) -> Column:
+    return ~usable_gps(lat, lon) | F.coalesce(source == "gpx", F.lit(False))
+
+
+def signed_coordinate(value: Column, hemisphere: Column) -> Column:
+    return F.when(F.upper(hemisphere).isin("S", "W"), -F.abs(value)).otherwise(value)
+
+
+def ai_taggable(status: Column, kind: Column, size: Column) -> Column:
+    """Available images, and videos of 8 KiB or more."""
+    return F.coalesce((status == "available") & ((kind == "image") | ((kind == "video") & (size >= 8192))), F.lit(False))
+
+
+def display_size(width: Column, height: Column, orientation: Column) -> Column:
+    turned = F.coalesce(orientation.between(5, 8), F.lit(False))
+    return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def clamped_aspect(width: Column, height: Column) -> Column:
+    return F.least(F.greatest(width / height, F.lit(0.55)), F.lit(2.35))
+
+
+def scan_progress(done: Column, total: Column, scanning: Column) -> Column:
+    """Null while the total is unknown; below 1 until the scan has ended."""
+    share = done.cast("double") / total
+    return F.when(scanning & (F.coalesce(total, F.lit(0)) <= 0), None).when(scanning, F.least(share, F.lit(0.99))).when(F.coalesce(total, F.lit(0)) <= 0, 1.0).otherwise(F.least(share, F.lit(1.0)))
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """The part below the root; null outside of it or in a folder whose name begins with a dot."""
+    rest = F.substring(path, F.char_length(root) + 2, F.char_length(path))
+    return F.when(path.startswith(F.concat(root, F.lit("/"))) & safe_folder(rest), rest)
+
+
+def distinct_label(parts: Sequence[Column]) -> Column:
+    """Parts of a place's name in order, without blanks and repeats of any case."""
+    there = F.filter(F.transform(F.array(*parts), lambda p: F.trim(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    return F.array_join(F.aggregate(there, F.array().cast("array<string>"), lambda out, p: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(p)), out).otherwise(F.concat(out, F.array(p)))), ", ")
+
+
+def hop_kind(shares_land: Column, metres: Column) -> Column:
+    return F.when(~shares_land & (metres >= 50_000), "sea").otherwise("land")
+
+
+def visible_custom_label(s: Column) -> Column:
+    return F.char_length(s).between(2, 16) & ~s.rlike(r"[\r\n]") & needs_companion(s)
+
+
+def kind_order(kind: Column) -> Column:
+    return F.when(kind == "video", 0).when(kind == "image", 1).otherwise(2)
+
+
+def answer_tags(text: Column) -> Column:
+    """(category, value) of a model's answer: an array, or an object with ``tags``; items are strings or have ``value`` or ``keyword``."""
+    body = F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)^[^{\[]*(\{.*\})", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit("")))
+    listed = F.from_json(F.when(body.startswith("["), body).otherwise(F.get_json_object(body, "$.tags")), "array<string>")
+    value = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.value"), F.get_json_object(x, "$.keyword"))).otherwise(x)
+    category = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.category"), F.lit("custom"))).otherwise("custom")
+    return F.filter(F.transform(listed, lambda x: F.struct(category(x).alias("category"), F.trim(value(x)).alias("value"))), lambda t: F.coalesce(t["value"] != "", F.lit(False)))

@@ -41,11 +41,14 @@ def reconcile(disk: DataFrame, stored: DataFrame) -> DataFrame:
     )
     by_path = joined.where(same_path).select(F.col("s_id").alias("id"), F.col("d_path").alias("path"), outcome.alias("outcome"))
     free_disk, free_stored = joined.where(F.col("s_id").isNull()).select([c for c in joined.columns if c.startswith("d_")]), joined.where(F.col("d_path").isNull()).select([c for c in joined.columns if c.startswith("s_")])
-    dn = free_disk.withColumn("rn", F.row_number().over(Window.partitionBy("d_hash").orderBy("d_pos")))
-    sn = free_stored.withColumn("rn", F.row_number().over(Window.partitionBy("s_hash").orderBy("s_pos")))
+    no_disk, no_stored = free_disk.where(F.col("d_hash").isNull()), free_stored.where(F.col("s_hash").isNull())
+    # Rows without a hash would all be one key.
+    dn = free_disk.where(F.col("d_hash").isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy("d_hash").orderBy("d_pos")))
+    sn = free_stored.where(F.col("s_hash").isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy("s_hash").orderBy("s_pos")))
     hashed = dn.join(sn, (F.col("d_hash") == F.col("s_hash")) & (dn["rn"] == sn["rn"]), "full_outer").drop("rn")
     renamed = hashed.where(F.col("d_path").isNotNull() & F.col("s_id").isNotNull()).select(F.col("s_id").alias("id"), F.col("d_path").alias("path"), F.lit("renamed").alias("outcome"))
     left_disk, left_stored = hashed.where(F.col("s_id").isNull()).select(free_disk.columns), hashed.where(F.col("d_path").isNull()).select(free_stored.columns)
+    left_disk, left_stored = left_disk.unionByName(no_disk), left_stored.unionByName(no_stored)
     cell = Window.partitionBy("s_size", "s_mtime")
     lone = left_stored.where(F.col("s_hash").isNull()).withColumn("n", F.count("*").over(cell)).where(F.col("n") == 1).drop("n")
     first = left_disk.withColumn("rn", F.row_number().over(Window.partitionBy("d_size", "d_mtime").orderBy("d_pos"))).where(F.col("rn") == 1).drop("rn")

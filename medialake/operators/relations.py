@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,7 @@ def add_tags(tags: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def facets(values: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Distinct categories in use, in catalogue order; ``custom`` comes last, unknown ones are dropped."""
     used = values.select("category").distinct()
-    known = used.join(F.broadcast(catalogue), "category").select("category", "ord")
+    known = used.join(catalogue, "category").select("category", "ord")
     return known.unionByName(used.where(F.col("category") == "custom").select("category", F.lit(1 << 30).alias("ord")))
 
 
@@ -74,7 +75,7 @@ def asof_interpolate(probes: DataFrame, track: DataFrame, by: Sequence[str], tim
     lined = points.select(*by, time, F.lit(None).cast(probes.schema["id"].dataType).alias("id"), F.struct(F.col(time).alias("t"), *values).alias("p")).unionByName(probes.select(*by, time, "id", F.lit(None).cast(points.select(F.struct(F.col(time).alias("t"), *values).alias("p")).schema["p"].dataType).alias("p")))
     order = Window.partitionBy(*by).orderBy(time)
     before = F.last("p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("p", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.last("p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     found = lined.select(*by, time, "id", before.alias("a"), after.alias("b")).where(F.col("id").isNotNull())
     micros = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
     share = F.when(F.col("a.t") == F.col("b.t"), 0.0).otherwise((micros(F.col(time)) - micros(F.col("a.t"))) / (micros(F.col("b.t")) - micros(F.col("a.t"))))
@@ -87,7 +88,7 @@ def nearest_gap(probes: DataFrame, events: DataFrame, by: Sequence[str], time: s
     lined = probes.select(*by, time, "id", F.lit(None).cast("timestamp_ntz").alias("e")).unionByName(events.select(*by, time, F.lit(None).cast(probes.schema["id"].dataType).alias("id"), F.col(time).alias("e")))
     order = Window.partitionBy(*by).orderBy(time)
     before = F.last("e", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("e", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.last("e", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     found = lined.select(*by, time, "id", before.alias("a"), after.alias("b")).where(F.col("id").isNotNull())
     back, ahead = micros(F.col(time)) - micros(F.col("a")), micros(F.col("b")) - micros(F.col(time))
@@ -95,27 +96,42 @@ def nearest_gap(probes: DataFrame, events: DataFrame, by: Sequence[str], time: s
     return found.select(*by, "id", side.alias("side"), F.least(back, ahead).alias("gap_us"))
 
 
-def hamming_pairs(rows: DataFrame, key: str, bits: str, most: int, blocks: int | None = None) -> DataFrame:
-    """Pairs of bit strings within ``most``: cut into ``most + 1`` blocks, they agree in one."""
-    n = blocks or most + 1
-    size = F.char_length(bits)
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col(bits), (F.floor(i * size / n) + 1).cast("int"), (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int")).alias("b"))))
-    cut = rows.select(F.col(key), F.col(bits), place.alias("x")).select(key, bits, "x.i", "x.b")
-    a, b = cut.toDF("a", "abits", "i", "b"), cut.toDF("c", "cbits", "i", "b")
-    close = (F.col("a") < F.col("c")) & (C.hamming(F.col("abits"), F.col("cbits")) <= most)
-    return a.join(b, ["i", "b"]).where(close).select("a", F.col("c").alias("b"), C.hamming(F.col("abits"), F.col("cbits")).alias("distance")).distinct()
+def hamming_pairs(rows: DataFrame, key: str, code: str, most: int = 6, width: int = 64) -> DataFrame:
+    """Pairs of codes (BIGINT) within ``most`` bits: cut into ``most + 1`` blocks, they agree in one.
+
+    A pair is compared where its first common block is, so nothing has to be made
+    distinct. Blocks are long, and meetings few, for the small distances of
+    edited copies; they shorten as ``most`` grows.
+    """
+    n = most + 1
+    cuts = [width * i // n for i in range(n + 1)]
+    masks = [((1 << b - a) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    cut = rows.select(F.col(key), F.col(code), F.posexplode(F.array(*[F.col(code).bitwiseAND(F.lit(m)) for m in signed])).alias("i", "block"))
+    a, b = cut.toDF("a", "acode", "i", "block"), cut.toDF("b", "bcode", "i", "block")
+    both = F.col("acode").bitwiseXOR(F.col("bcode"))
+    first = ~any_of([(F.col("i") > j) & (both.bitwiseAND(F.lit(m)) == 0) for j, m in enumerate(signed[:-1])])
+    distance = F.bit_count(both).cast("int")
+    return a.join(b, ["i", "block"]).where((F.col("a") < F.col("b")) & (distance <= most) & first).select("a", "b", distance.alias("distance"))
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    return C.any_column(conditions)
 
 
 def grid_nearest(probes: DataFrame, places: DataFrame, radius_m: float, cell: float) -> DataFrame:
-    """The nearest place within ``radius_m`` of each probe, by cells of ``cell`` degrees and their neighbours.
+    """The nearest place within ``radius_m`` of each probe, by cells of ``cell`` degrees and their neighbours, across the antimeridian too.
 
     ``probes``: (id, lat, lon); ``places``: (place, lat, lon). The later place wins a tie.
     """
-    reach = F.ceil(F.lit(radius_m / 111_000.0) / F.lit(cell)).cast("int")
-    wide = F.ceil(F.lit(radius_m / 111_000.0) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + radius_m / 111_000.0, F.lit(89.0)))), F.lit(0.01)) / F.lit(cell)).cast("int")
-    here = [F.floor(F.col(c) / cell).cast("int") for c in ("lat", "lon")]
-    near = probes.select("id", "lat", "lon", F.explode(F.sequence(here[0] - reach, here[0] + reach)).alias("cy"), here[1].alias("x0"), wide.alias("w")).select("id", "lat", "lon", "cy", F.explode(F.sequence(F.col("x0") - F.col("w"), F.col("x0") + F.col("w"))).alias("cx"))
-    at = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.floor(F.col("lat") / cell).cast("int").alias("cy"), F.floor(F.col("lon") / cell).cast("int").alias("cx"))
+    around = math.ceil(360 / cell)
+    reach = F.lit(math.ceil(radius_m / 111_000.0 / cell))
+    # The last cell may be narrower than the others, hence one more.
+    wide = F.ceil(F.lit(radius_m / 111_000.0) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + radius_m / 111_000.0, F.lit(89.0)))), F.lit(0.01)) / F.lit(cell)).cast("int") + 1
+    row, column = F.floor(F.col("lat") / cell).cast("int"), F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / cell).cast("int")
+    near = probes.select("id", "lat", "lon", F.explode(F.sequence(row - reach, row + reach)).alias("cy"), column.alias("x0"), F.least(wide, F.lit(around // 2 + 1)).alias("w"))
+    near = near.select("id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(F.sequence(F.col("x0") - F.col("w"), F.col("x0") + F.col("w")), lambda x: F.pmod(x, F.lit(around))))).alias("cx"))
+    at = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon"), row.alias("cy"), column.alias("cx"))
     d = C.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     found = near.join(at, ["cy", "cx"]).select("id", "place", d.alias("metres")).where(F.col("metres") <= radius_m)
     return found.groupBy("id").agg(F.min_by("place", F.struct("metres", -F.col("place"))).alias("place"), F.min("metres").alias("metres"))
@@ -140,8 +156,12 @@ def islands(rows: DataFrame, by: Sequence[str], order: Sequence[Column], kind: s
     return rows.withColumn("_new", F.coalesce((F.col(kind) != F.lag(kind).over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace those of the same key, column by column where they aren't null."""
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], clears: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` replace those of the same key, column by column where they aren't null.
+
+    The columns named in ``clears`` are replaced by a null as well.
+    """
     others = [c for c in existing.columns if c not in keys]
-    joined = existing.alias("o").join(new.alias("n"), list(keys), "full_outer")
-    return joined.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in others])
+    joined = existing.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), list(keys), "full_outer")
+    value = lambda c: F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in clears else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+    return joined.select(*keys, *[value(c).alias(c) for c in others])

@@ -8,6 +8,7 @@ longer histories by date.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,29 +42,44 @@ def _walk(values: list, reach, on_jump) -> list[int | None]:
     return runs
 
 
-def drop_spikes(rows: DataFrame, by: list[str], order: list[str], value: str, most: float) -> DataFrame:
+def hop(a: tuple, b: tuple) -> bool:
+    """Whether a camera gets from one (seconds, latitude, longitude) to another: at most 300 m/s, 2 km in a short time; always without times."""
+    if any(math.isnan(x) for x in (*a[1:], *b[1:])):
+        return False
+    d = metres(a[1], a[2], b[1], b[2])
+    if d < 1 or a[0] is None or b[0] is None:
+        return True
+    s = abs(b[0] - a[0])
+    return d <= 2000 if s <= 0.75 else d / s <= 300
+
+
+def within(most: float):
+    """The reach of positions on a line."""
+    return lambda a, b: abs(a[0] - b[0]) <= most
+
+
+def drop_spikes(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop) -> DataFrame:
     """Drops a point out of reach of the last kept one if the next is within its reach, and a bad first point.
 
-    ``value`` is a position on a line, ``most`` the reach of a hop.
+    ``position`` names what ``reach`` is given of two points: (seconds, latitude, longitude) for :func:`hop`.
     """
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(order, kind="stable")
-        return df[[r is not None for r in _walk(df[value].tolist(), lambda a, b: abs(a - b) <= most, False)]]
+        return df[[r is not None for r in _walk(list(zip(*(df[c] for c in position))), reach, False)]]
 
     return rows.groupBy(*by).applyInPandas(fold, rows.schema)
 
 
-def plausible_runs(rows: DataFrame, by: list[str], order: list[str], value: str, most: float) -> DataFrame:
+def plausible_runs(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop) -> DataFrame:
     """As :func:`drop_spikes`, but any other jump begins a new ``run``; runs of one point go unless there is no other."""
     schema = T.StructType([*rows.schema.fields, T.StructField("run", T.LongType())])
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(order, kind="stable")
-        runs = _walk(df[value].tolist(), lambda a, b: abs(a - b) <= most, True)
-        sizes = {r: runs.count(r) for r in set(runs) - {None}}
-        long = {r for r, n in sizes.items() if n > 1}
-        kept = long or {max(sizes)}
+        runs = _walk(list(zip(*(df[c] for c in position))), reach, True)
+        sizes = Counter(r for r in runs if r is not None)
+        kept = {r for r, n in sizes.items() if n > 1} or {max(sizes)}
         df["run"] = pd.Series(runs, index=df.index, dtype="Int64")
         return df[[r in kept for r in runs]].astype({"run": "int64"})
 
@@ -98,14 +114,17 @@ def stays(rows: DataFrame, by: list[str], radius_m: float = 500.0, merge_s: floa
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("time", kind="stable")
         groups: list[list[tuple]] = []
+        sums = [0.0, 0.0]
         for t, lat, lon in df[["time", "lat", "lon"]].itertuples(index=False):
             g = groups[-1] if groups else None
             if g:
-                mean = sum(p[1] for p in g) / len(g), sum(p[2] for p in g) / len(g)
+                mean = sums[0] / len(g), sums[1] / len(g)
             if g and (metres(*mean, lat, lon) <= radius_m or metres(g[-1][1], g[-1][2], lat, lon) <= radius_m):
                 g.append((t, lat, lon))
             else:
                 groups.append([(t, lat, lon)])
+                sums = [0.0, 0.0]
+            sums = [sums[0] + lat, sums[1] + lon]
         out: list[dict] = []
         for g in groups:
             p = pd.DataFrame(g, columns=["time", "lat", "lon"])

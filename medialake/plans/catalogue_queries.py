@@ -166,7 +166,7 @@ def _paths(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_extract("url", "^[^:]*://([^?#]*)", 1).alias("path"))
 
 
-SCOPES = ["www.ththst.example.com", "ththble.example.com/fr", "free-bets.example.com"]
+SCOPES = ["thther.example.com", "m.tionsh.example.net/de", "blog.tionsh.example.net/en", "blog.tiontion.example.net"]
 
 
 @query(f"""SELECT page_id, directory FROM (SELECT page_id, regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) AS directory FROM pages)
@@ -191,7 +191,7 @@ FOLDERS = [("", "root.gpx"), ("ththble.example.com", "a.gpx"), ("ththble.example
 SELECT page_id, arg_max(target, length(folder)) AS target FROM d JOIN f ON folder = '' OR directory = folder OR starts_with(directory, folder || '/') GROUP BY page_id""")
 def longest_prefix(spark, sf_dir):
     rows = _paths(Tables(spark, sf_dir)).select("page_id", C.directory(F.col("path")).alias("directory"))
-    return O.longest_prefix(rows, "directory", F.broadcast(spark.createDataFrame(FOLDERS, "folder string, target string")), ["page_id"]).select("page_id", "target")
+    return O.longest_prefix(rows, "directory", spark.createDataFrame(FOLDERS, "folder string, target string"), ["page_id"]).select("page_id", "target")
 
 
 @query("SELECT doc_id, 'f' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.mov' WHEN 2 THEN '.wav' ELSE '.xyz' END AS filename, source AS directory, CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 2 THEN 'audio' ELSE 'video' END AS kind FROM documents")
@@ -292,16 +292,24 @@ def clock_parse(spark, sf_dir):
 
 
 # -- fingerprints -------------------------------------------------------------------------------------------------------
-@query(f"WITH h AS (SELECT vec_id, {_BITS} AS bits FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, CAST(hamming(x.bits, y.bits) AS INT) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND hamming(x.bits, y.bits) <= 14")
+#: The driver's vectors are no copies of each other, so they're compared at a larger distance than edited photos.
+LOOKALIKE = 18
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    return avg_hash(spark, sf_dir).select("vec_id", C.bit_code(F.col("bits")).alias("code"))
+
+
+@query(f"WITH h AS (SELECT vec_id, {_BITS} AS bits FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, CAST(hamming(x.bits, y.bits) AS INT) AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id AND hamming(x.bits, y.bits) <= 18")
 def hamming_pairs(spark, sf_dir):
-    return O.hamming_pairs(avg_hash(spark, sf_dir), "vec_id", "bits", 14)
+    return O.hamming_pairs(_codes(spark, sf_dir), "vec_id", "code", LOOKALIKE)
 
 
-@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS bits FROM embeddings), p AS (SELECT y.vec_id AS edited, x.vec_id AS original, hamming(x.bits, y.bits) AS d FROM h x JOIN h y ON x.vec_id < y.vec_id AND hamming(x.bits, y.bits) <= 14 WHERE y.vec_id % 5 <> 0)
+@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS bits FROM embeddings), p AS (SELECT y.vec_id AS edited, x.vec_id AS original, hamming(x.bits, y.bits) AS d FROM h x JOIN h y ON x.vec_id < y.vec_id AND hamming(x.bits, y.bits) <= 18 WHERE y.vec_id % 5 <> 0)
 SELECT edited, original, CAST(d AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY edited ORDER BY d, original DESC) AS k FROM p) WHERE k = 1""")
 def lookalike_best(spark, sf_dir):
-    pairs = O.hamming_pairs(avg_hash(spark, sf_dir), "vec_id", "bits", 14)
-    declined = avg_hash(spark, sf_dir).where("vec_id % 5 = 0").select(F.col("vec_id").alias("b"))
+    pairs = O.hamming_pairs(_codes(spark, sf_dir), "vec_id", "code", LOOKALIKE)
+    declined = Tables(spark, sf_dir).embeddings.where("vec_id % 5 = 0").select(F.col("vec_id").alias("b"))
     best = O.first_by(pairs.join(declined, "b", "left_anti"), ["b"], F.col("distance"), F.desc("a"))
     return best.select(F.col("b").alias("edited"), F.col("a").alias("original"), "distance")
 
@@ -374,14 +382,59 @@ def _line(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).events.select("user_id", "event_id", micros(F.col("ts")).alias("t"), "value")
 
 
-@query()
+def _folded(source: str, reach, on_jump: bool) -> str:
+    """The fold over (user_id, event_id, k, p, ahead) as a recursive query; ``p`` is a row's position, ``reach(a, b)`` SQL."""
+    jump = "run + 1" if on_jump else "run"
+    kept = "1" if on_jump else "kept + 1"
+    return f"""WITH RECURSIVE o AS (SELECT user_id, event_id, p, row_number() OVER w AS k, lead(p) OVER w AS ahead FROM ({source}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT user_id, event_id, k, event_id AS last_id, p AS last, 1 AS kept, CAST(0 AS BIGINT) AS run, CAST(0 AS BIGINT) AS own, CAST(NULL AS BIGINT) AS dropped FROM o WHERE k = 1
+UNION ALL SELECT user_id, e, k + 1, CASE WHEN c = 'spike' THEN last_id ELSE e END, CASE WHEN c = 'spike' THEN last ELSE q END, CASE c WHEN 'near' THEN kept + 1 WHEN 'spike' THEN kept WHEN 'first' THEN 1 ELSE {kept} END,
+CASE WHEN c = 'jump' THEN {jump} ELSE run END, CASE c WHEN 'spike' THEN NULL WHEN 'jump' THEN {jump} ELSE run END, CASE WHEN c = 'first' THEN last_id END
+FROM (SELECT f.*, o.event_id AS e, o.p AS q, CASE WHEN {reach("f.last", "o.p")} THEN 'near' WHEN o.ahead IS NOT NULL AND {reach("f.last", "o.ahead")} THEN 'spike' WHEN f.kept = 1 AND o.ahead IS NOT NULL AND {reach("o.p", "o.ahead")} THEN 'first' ELSE 'jump' END AS c
+FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)),
+g AS (SELECT user_id, event_id, own AS run FROM f WHERE own IS NOT NULL AND event_id NOT IN (SELECT dropped FROM f WHERE dropped IS NOT NULL))"""
+
+
+_LONG = """, n AS (SELECT user_id, run, count(*) AS n FROM g GROUP BY ALL), l AS (SELECT user_id, run, n, max(n) OVER (PARTITION BY user_id) AS most, max(run) OVER (PARTITION BY user_id) AS last FROM n)
+SELECT g.user_id, event_id, g.run FROM g JOIN l ON g.user_id = l.user_id AND g.run = l.run WHERE l.n > 1 OR l.most = 1 AND l.run = l.last"""
+_ON_LINE = "SELECT user_id, event_id, ts, value AS p FROM events"
+
+
+def _near(a: str, b: str) -> str:
+    return f"abs({a} - {b}) <= 15"
+
+
+@query(_folded(_ON_LINE, _near, False) + " SELECT user_id, event_id FROM g")
 def spike_filter(spark, sf_dir):
-    return Q.drop_spikes(_line(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", 15.0).select("user_id", "event_id")
+    return Q.drop_spikes(_line(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"], Q.within(15.0)).select("user_id", "event_id")
 
 
-@query()
+@query(_folded(_ON_LINE, _near, True) + _LONG)
 def runs(spark, sf_dir):
-    return Q.plausible_runs(_line(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", 15.0).select("user_id", "event_id", "run")
+    return Q.plausible_runs(_line(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"], Q.within(15.0)).select("user_id", "event_id", "run")
+
+
+_ON_EARTH = "SELECT user_id, event_id, ts, {'s': CAST(epoch_us(ts) AS DOUBLE) / 1e6, 'lat': CAST(event_id % 60 AS DOUBLE), 'lon': CASE WHEN event_type = 'error' THEN -170.0 ELSE value % 20 END} AS p FROM events"
+
+
+def _hops(a: str, b: str) -> str:
+    d, s = _hav(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon"), f"abs({b}.s - {a}.s)"
+    return f"({d} < 1 OR CASE WHEN {s} <= 0.75 THEN {d} <= 2000 ELSE {d} / {s} <= 300 END)"
+
+
+def _gps(spark, sf_dir) -> DataFrame:
+    lon = F.when(F.col("event_type") == "error", -170.0).otherwise(F.col("value") % 20)
+    return Tables(spark, sf_dir).events.select("user_id", "event_id", (micros(F.col("ts")).cast("double") / 1e6).alias("s"), (F.col("event_id") % 60).cast("double").alias("lat"), lon.alias("lon"))
+
+
+@query(_folded(_ON_EARTH, _hops, False) + " SELECT user_id, event_id FROM g")
+def gps_spikes(spark, sf_dir):
+    return Q.drop_spikes(_gps(spark, sf_dir), ["user_id"], ["s", "event_id"], ["s", "lat", "lon"]).select("user_id", "event_id")
+
+
+@query(_folded(_ON_EARTH, _hops, True) + _LONG)
+def gps_runs(spark, sf_dir):
+    return Q.plausible_runs(_gps(spark, sf_dir), ["user_id"], ["s", "event_id"], ["s", "lat", "lon"]).select("user_id", "event_id", "run")
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -409,8 +462,8 @@ def recent_tags(spark, sf_dir):
 
 @query("SELECT event_id, first_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM events")
 def next_presentable(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    return Tables(spark, sf_dir).events.select("event_id", F.first(F.when(F.col("event_type") != "error", F.col("event_id")), ignorenulls=True).over(w).alias("next_id"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    return Tables(spark, sf_dir).events.select("event_id", F.last(F.when(F.col("event_type") != "error", F.col("event_id")), ignorenulls=True).over(w).alias("next_id"))
 
 
 @query("""WITH d AS (SELECT user_id, event_type, floor(value) AS label, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, floor(value) ORDER BY value DESC, event_id) = 1),
@@ -435,7 +488,7 @@ _SETS = {"scope_union": ("union", "UNION"), "tag_except": ("subtract", "EXCEPT")
 def _set_query(method: str):
     def run(spark, sf_dir):
         e = Tables(spark, sf_dir).events
-        a, b = e.where("event_type = 'view'").select("user_id").distinct(), e.where("event_type = 'click' and value > 40").select("user_id").distinct()
+        a, b = e.where("event_type = 'view'").select("user_id").distinct(), e.where("event_type = 'click' and value > 60").select("user_id").distinct()
         return getattr(a, method)(b).distinct()
 
     return run
@@ -443,7 +496,7 @@ def _set_query(method: str):
 
 for _name, (_method, _op) in _SETS.items():
     QUERIES[_name] = _set_query(_method)
-    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'view' {_op} SELECT user_id FROM events WHERE event_type = 'click' AND value > 40"
+    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'view' {_op} SELECT user_id FROM events WHERE event_type = 'click' AND value > 60"
 
 GLOSSARY = [("widget", "gadget"), ("bolt", "screw"), ("gear", "cog")]
 
