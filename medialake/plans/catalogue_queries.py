@@ -488,7 +488,7 @@ _SETS = {"scope_union": ("union", "UNION"), "tag_except": ("subtract", "EXCEPT")
 def _set_query(method: str):
     def run(spark, sf_dir):
         e = Tables(spark, sf_dir).events
-        a, b = e.where("event_type = 'view'").select("user_id").distinct(), e.where("event_type = 'click' and value > 60").select("user_id").distinct()
+        a, b = e.where("event_type = 'view'").select("user_id").distinct(), e.where("event_type = 'click' and value > 150").select("user_id").distinct()
         return getattr(a, method)(b).distinct()
 
     return run
@@ -496,7 +496,7 @@ def _set_query(method: str):
 
 for _name, (_method, _op) in _SETS.items():
     QUERIES[_name] = _set_query(_method)
-    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'view' {_op} SELECT user_id FROM events WHERE event_type = 'click' AND value > 60"
+    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'view' {_op} SELECT user_id FROM events WHERE event_type = 'click' AND value > 150"
 
 GLOSSARY = [("widget", "gadget"), ("bolt", "screw"), ("gear", "cog")]
 
