@@ -13,6 +13,14 @@ from medialake.llm import contextual_pii, packing, parity_join, toxic_neighbours
 from medialake.llm.common import table, written
 
 
+#: Bytes of an Arrow batch. Rows carry whole texts, and a task holds several batches on either side of its Python worker.
+BATCH_BYTES = 16 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
     """The whole row as one column beside those that an operator reads, so names can't clash."""
     return docs.select(F.struct("*").alias("_row"), *columns)
@@ -24,6 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no words to be judged by and stays; rows of a null or repeated id are judged by their own
     text; an empty table stays empty.
     """
+    _small_batches(spark)
     model = toxic_neighbours.learn(docs, table(spark, sf_dir, "labels"))
     return toxic_neighbours.score(_rows(docs, "text"), model, keep=["_row"]).where(F.col("score") < 0.5).select("_row.*")
 
@@ -35,6 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and a null id (which comes last) can go as well; of rows with the same id the first of the table stays. Texts
     without words are linked with nothing and stay.
     """
+    _small_batches(spark)
     numbered = written(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_number")), "numbered")
     texts = numbered.select("_number", F.col("_row.text").alias("text"))
     classes = written(parity_join.linked_classes(texts, doc_id="_number").select(F.col("doc_id").alias("_number"), "component_id"), "row-classes")
@@ -50,6 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null or wordless text has no window and stays; each row of a repeated or null id is judged by itself.
     """
+    _small_batches(spark)
     hits = wu_manber.find_hits(_rows(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["_row"])
     return hits.where(F.col("n_hit") == 0).select("_row.*")
 
@@ -59,6 +70,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     No row goes. A null text stays null (its ``n_chars`` becomes null, too); ids aren't read.
     """
+    _small_batches(spark)
     found = contextual_pii.find(_rows(docs, "text"), contextual_pii.learn(docs), keep=["_row"], mask=True)
     new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return found.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
@@ -66,6 +78,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens' places in training sequences: every row's text and end token, a null text being empty."""
+    _small_batches(spark)
     return packing.packing_report(docs)
 
 
