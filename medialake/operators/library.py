@@ -223,3 +223,53 @@ def belongs_to_track(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Available photos and videos whose assigned track (``target``) spans their adjusted time."""
     joined = rows.where((F.col("status") == "available") & F.col("kind").isin("image", "video")).join(spans, "target")
     return joined.where(F.col("captured_s").between(F.col("start_s"), F.col("end_s"))).select(rows.columns)
+
+
+# -- names, tags and runs -----------------------------------------------------------------------------------------------
+def unique_names(wanted: DataFrame, used: DataFrame, name: str, default: str) -> DataFrame:
+    """(name, unique): each wanted name, or with the first number from 2 on, that isn't in ``used``; a blank one is ``default``.
+
+    The numbers taken of a name are ranked: as long as number and rank agree, there's no gap.
+    """
+    seed = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default))
+    pattern = r"(?s)^(.*) ([1-9][0-9]{0,17})$"
+    number = F.try_to_number(F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")), F.lit("9" * 18)).cast("long")
+    plain = used.select(F.col(name).alias("_seed"), F.lit(1).cast("long").alias("_n"))
+    numbered = used.select(F.regexp_extract(name, pattern, 1).alias("_seed"), number.alias("_n")).where("_n >= 2")
+    taken = plain.unionByName(numbered).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("_seed").orderBy("_n")))
+    last = taken.where("_n = _rank").groupBy("_seed").agg(F.max("_n").alias("_last"))
+    free = wanted.select(name, seed.alias("_seed")).join(last, "_seed", "left").withColumn("_free", F.coalesce("_last", F.lit(0)) + 1)
+    return free.select(name, F.when(F.col("_free") == 1, F.col("_seed")).otherwise(F.concat_ws(" ", "_seed", "_free")).alias("unique"))
+
+
+def union_tags(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both lists of tags, each tag once with its best source."""
+    best = F.min(F.struct(C.source_rank(F.col("source")).alias("rank"), "source"))
+    return first.select(*keys, "source").unionByName(second.select(*keys, "source")).groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.source").alias("source"))
+
+
+def label_confidence(labels: DataFrame, keys: Sequence[str], label: str, confidence: str) -> DataFrame:
+    """The highest confidence of each label over the frames of a row."""
+    return labels.groupBy(*keys, label).agg(F.max(confidence).alias(confidence))
+
+
+def run_tallies(rows: DataFrame, outcome: str) -> DataFrame:
+    """One row: how many were tagged, failed or skipped, and how many remain."""
+    ended = {f"n_{x}": F.count_if(F.col(outcome) == x) for x in ("tagged", "failed", "skipped")}
+    remain = F.count_if(~F.coalesce(F.col(outcome).isin("tagged", "failed", "skipped"), F.lit(False)))
+    return rows.agg(*[c.alias(n) for n, c in ended.items()], remain.alias("n_remaining"))
+
+
+def needs_analysis(status: Column, kind: Column, flagged: Column, duration: Column) -> Column:
+    """Available rows that are flagged, and those with sound or pictures in motion whose duration isn't known."""
+    return F.coalesce((status == "available") & (F.coalesce(flagged, F.lit(False)) | ((kind != "image") & duration.isNull())), F.lit(False))
+
+
+def trim_range(start: Column, end: Column, duration: Column, least: float = 0.2) -> Column:
+    """A trim's ``start`` and ``end`` inside the media, at least ``least`` seconds apart."""
+    limit, gap = F.greatest(duration, F.lit(least)), F.lit(least)
+    a = F.least(F.greatest(F.lit(0.0), start), F.greatest(F.lit(0.0), limit - gap))
+    b = F.least(F.greatest(a + gap, end), limit)
+    short = b - a < gap
+    close = F.least(limit, a + gap)
+    return F.struct(F.when(short, F.greatest(F.lit(0.0), close - gap)).otherwise(a).alias("start"), F.when(short, close).otherwise(b).alias("end"))

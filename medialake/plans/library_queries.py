@@ -254,3 +254,52 @@ def date_line_nearest(spark, sf_dir):
     probes = s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 80).cast("double").alias("lat"), F.lit(179.999).alias("lon"))
     places = probes.select((F.col("id") % 80).alias("place"), "lat", F.lit(-179.9995).alias("lon")).distinct()
     return O.grid_nearest(probes, places, 1000.0, 0.01).select("id", scaled(F.col("metres"), 1).alias("metres"))
+
+
+@query("""WITH u AS (SELECT 'n' || c_custkey % 7 || ' ' || c_custkey // 7 AS name FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT 'n' || r_regionkey FROM region), b AS (SELECT 'n' || i AS name FROM range(9) t(i) UNION ALL SELECT ' '),
+c AS (SELECT name, i, CASE WHEN i = 1 THEN s ELSE s || ' ' || i END AS x FROM (SELECT name, coalesce(nullif(trim(name), ''), 'n1') AS s FROM b), range(1, 200) t(i))
+SELECT name, arg_min(x, i) AS "unique" FROM c WHERE x NOT IN (SELECT name FROM u) GROUP BY 1""")
+def unique_names(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    k = F.col("c_custkey")
+    numbered = t.customer.where(k % 11 != 0).select(F.concat(F.lit("n"), k % 7, F.lit(" "), F.floor(k / 7)).alias("name"))
+    used = numbered.unionByName(t.region.select(F.concat(F.lit("n"), "r_regionkey").alias("name")))
+    wanted = spark.range(9).select(F.concat(F.lit("n"), "id").alias("name")).unionByName(spark.range(1).select(F.lit(" ").alias("name")))
+    return L.unique_names(wanted, used, "name", "n1")
+
+
+@query(f"WITH t AS ({_TAG}) SELECT doc_id, category, value, CASE WHEN doc_id % 2 = 0 AND source <> 'user' THEN 'path' ELSE source END AS source FROM t UNION ALL SELECT doc_id, 'new', 'x', 'ai' FROM t WHERE doc_id % 5 = 0")
+def union_tags(spark, sf_dir):
+    tags = _tags(spark, sf_dir)
+    new = tags.where("doc_id % 5 = 0").select("doc_id", F.lit("new").alias("category"), F.lit("x").alias("value"), F.lit("ai").alias("source"))
+    return L.union_tags(tags, tags.where("doc_id % 2 = 0").withColumn("source", F.lit("path")).unionByName(new), ["doc_id", "category", "value"])
+
+
+@query("SELECT l_orderkey, l_returnflag, CAST(floor(max(CAST(l_discount AS DOUBLE)) * 1e4 + 0.5) AS BIGINT) AS confidence FROM lineitem GROUP BY 1, 2")
+def label_confidence(spark, sf_dir):
+    rows = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_returnflag", F.col("l_discount").cast("double").alias("confidence"))
+    return L.label_confidence(rows, ["l_orderkey"], "l_returnflag", "confidence").withColumn("confidence", scaled(F.col("confidence")))
+
+
+@query("SELECT count(*) FILTER (doc_id % 6 = 0) AS n_tagged, count(*) FILTER (doc_id % 6 = 1) AS n_failed, count(*) FILTER (doc_id % 6 = 2) AS n_skipped, count(*) FILTER (doc_id % 6 > 2) AS n_remaining FROM documents")
+def run_tallies(spark, sf_dir):
+    m = F.col("doc_id") % 6
+    outcome = F.when(m == 0, "tagged").when(m == 1, "failed").when(m == 2, "skipped").when(m == 3, "running")
+    return L.run_tallies(Tables(spark, sf_dir).documents.select(outcome.alias("outcome")), "outcome")
+
+
+@query(f"SELECT id FROM ({_PLACED}) WHERE status = 'available' AND (id % 3 = 0 OR kind <> 'image' AND n_chars % 4 = 0)")
+def needs_analysis(spark, sf_dir):
+    flagged, duration = F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0), F.when(F.col("n_chars") % 4 != 0, F.col("n_chars"))
+    return _placed(spark, sf_dir).where(L.needs_analysis(F.col("status"), F.col("kind"), flagged, duration)).select("id")
+
+
+_TRIM = "SELECT o_orderkey, CAST(o_custkey % 100 AS DOUBLE) / 10 - 1 AS s, CAST(o_orderkey % 90 AS DOUBLE) / 10 AS e, greatest(CAST(o_orderkey % 70 AS DOUBLE) / 10 - 0.5, 0.2::DOUBLE) AS lim FROM orders"
+
+
+@query(f"""WITH a AS (SELECT *, least(greatest(0::DOUBLE, s), greatest(0::DOUBLE, lim - 0.2::DOUBLE)) AS x FROM ({_TRIM})), b AS (SELECT *, least(greatest(x + 0.2::DOUBLE, e), lim) AS y FROM a)
+SELECT o_orderkey, CAST(floor(x * 1e4 + 0.5) AS BIGINT) AS "start", CAST(floor(y * 1e4 + 0.5) AS BIGINT) AS "end" FROM b""")
+def trim_range(spark, sf_dir):
+    number = lambda c, m: (F.col(c) % m).cast("double") / 10
+    cut = L.trim_range(number("o_custkey", 100) - 1, number("o_orderkey", 90), number("o_orderkey", 70) - 0.5)
+    return Tables(spark, sf_dir).orders.select("o_orderkey", cut.alias("c")).select("o_orderkey", scaled(F.col("c.start")).alias("start"), scaled(F.col("c.end")).alias("end"))
