@@ -47,6 +47,32 @@ def split_custom_tags(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, "[,，；;]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
+def geocode_parts(s: Column) -> Column:
+    """The parts of a place name; none of a null."""
+    return F.coalesce(split_custom_tags(s), F.array().cast("array<string>"))
+
+
+def clip_filename(name: Column, fallback: Column) -> Column:
+    """A file name without separators, ``fallback`` if blank, with an extension."""
+    safe = F.coalesce(F.nullif(F.translate(F.trim(name), "/:\\", "---"), F.lit("")), fallback)
+    return F.when(safe.rlike(r"[^.].*\.[^. ]+$"), safe).otherwise(F.concat(safe, F.lit(".mp4")))
+
+
+def default_clip_name(name: Column) -> Column:
+    return F.concat(F.coalesce(F.nullif(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit("")), F.lit("clip")), F.lit("_cut.mp4"))
+
+
+def escape_posix(path: Column) -> Column:
+    """A path with a backslash before what a shell would read otherwise."""
+    return F.regexp_replace(path, r"([ \\'\"()\[\]{}*?$`!#&|;<>\t\n])", r"\\$1")
+
+
+def offset_summary(parts: dict[str, Column], zero: str) -> Column:
+    """The parts that aren't 0, each with its sign and unit; ``zero`` if all are."""
+    said = [F.when(v > 0, F.concat(F.lit("+"), v, F.lit(f" {unit}"))).when(v < 0, F.concat(v, F.lit(f" {unit}"))) for unit, v in parts.items()]
+    return F.coalesce(F.nullif(F.concat_ws(" ", *said), F.lit("")), F.lit(zero))
+
+
 def natural_key(s: Column) -> Column:
     """A sort key for which a2 comes before a10."""
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")

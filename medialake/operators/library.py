@@ -58,6 +58,16 @@ def delete_cascade(ids: DataFrame, key: str, *tables: DataFrame) -> list[DataFra
     return [t.join(gone, key, "left_anti").select(t.columns) for t in tables]
 
 
+def register_clips(rows: DataFrame, clips: DataFrame, least: float = 0.2) -> DataFrame:
+    """The table with derived clips (id, parent_id, path, start_s, end_s): a clip has what its parent has, but its own path and duration, and is to be analysed.
+
+    ``rows``: id, parent_id, path, duration, needs_reanalysis and any others; a clip without a parent row is left out.
+    """
+    own = {"id": F.col("_c.id"), "parent_id": F.col("_c.parent_id"), "path": F.col("_c.path"), "duration": F.greatest(F.col("_c.end_s") - F.col("_c.start_s"), F.lit(least)), "needs_reanalysis": F.lit(True)}
+    joined = rows.alias("_r").join(clips.select(F.struct("id", "parent_id", "path", "start_s", "end_s").alias("_c")), F.col("_r.id") == F.col("_c.parent_id"))
+    return rows.unionByName(joined.select(*[own.get(c, F.col(f"_r.{c}")).alias(c) for c in rows.columns]))
+
+
 def set_value(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
     """``column`` from ``changes`` (unique by ``key``) where there is one, null included."""
     new = changes.select(key, F.col(column).alias("_value"), F.lit(True).alias("_there"))
@@ -125,6 +135,36 @@ def expand_tags(tags: DataFrame, catalogue: DataFrame, glossary: DataFrame, keys
     return every.groupBy(*keys, "category", "value").agg(F.min_by("source", C.source_rank(F.col("source"))).alias("source"))
 
 
+def search_tokens(tokens: DataFrame, catalogue: DataFrame, glossary: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(query, token): a query's tokens (``query``, ``token``) and what else they may be written as, once each.
+
+    A token's glossary counterparts; for one with letters beyond ASCII also the English keyword and the id of the
+    catalogue entry of that name, or, without entry and Latin counterpart, its words in the dictionary.
+    """
+    word = C.stock_keyword(F.col("token"))
+    own = tokens.select("query", F.lower(F.trim("token")).alias("token")).where("token <> ''").distinct()
+    sides = [glossary.select(C.stock_keyword(F.col(a)).alias("w"), C.stock_keyword(F.col(b)).alias("o")) for a, b in (("a", "b"), ("b", "a"))]
+    w = own.withColumn("w", word)
+    other = w.join(sides[0].unionByName(sides[1]).where("o <> ''").distinct(), "w").select("query", "token", "w", F.col("o").alias("alias"))
+    foreign = w.where(C.needs_companion(F.col("token")))
+    entry = foreign.join(catalogue_names(catalogue).toDF("w", "_category", "_tag", "_english"), "w")
+    named = entry.select("query", "token", "w", F.explode(F.array(C.stock_keyword(F.col("_english")), F.lower("_tag"))).alias("alias"))
+    latin = other.where(~C.needs_companion(F.col("alias"))).select("query", "token").distinct()
+    bare = foreign.join(entry.select("query", "token").distinct(), ["query", "token"], "left_anti").join(latin, ["query", "token"], "left_anti")
+    looked = dictionary_words(bare.select("token").distinct(), "token", "token", dictionary)
+    found = bare.join(looked, "token").select("query", "token", "w", F.col("english").alias("alias"))
+    aliases = other.unionByName(named).unionByName(found).where("alias <> '' AND alias <> w").select("query", F.col("alias").alias("token"))
+    return own.unionByName(aliases).distinct()
+
+
+def glossary_add(pairs: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs (id, native, english) with the new ones, one of a native word: a known one keeps its id and takes the new form; one with a blank side is left out."""
+    given = new.select("id", F.trim("native").alias("native"), F.trim("english").alias("english")).where("native <> '' AND english <> ''")
+    keyed = given.groupBy(C.stock_keyword(F.col("native")).alias("_key")).agg(F.max_by(F.struct("id", "native", "english"), "id").alias("_new"))
+    old = pairs.select("id", "native", "english", C.stock_keyword(F.col("native")).alias("_key")).join(keyed, "_key", "full")
+    return old.select(F.coalesce("id", "_new.id").alias("id"), F.coalesce("_new.native", "native").alias("native"), F.coalesce("_new.english", "english").alias("english"))
+
+
 def dictionary_words(rows: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int = 6) -> DataFrame:
     """(key, english): a text's entry in ``dictionary`` (word, english), else those of the longest words in it, left to right.
 

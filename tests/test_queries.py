@@ -2,7 +2,7 @@
 
 import pytest
 
-from medialake.plans import library_queries  # noqa: F401 - registers its queries
+from medialake.plans import flow_queries, library_queries  # noqa: F401 - register their queries
 from medialake.plans.catalogue_queries import ORACLE, QUERIES
 from tests.oracle import SF, compare, connection
 
