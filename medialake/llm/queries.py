@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, html_text, katz, packing, parity_join, toxic_neighbours, wu_manber
+from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, filter_audit, html_text, katz, packing, parity_join, prefix_trie, toxic_neighbours, wu_manber
 from medialake.llm.common import table
 
 
@@ -48,9 +48,18 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contextual_pii.personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op11_permutation_trie_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_pointer_jumping_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_sum_of_squares_packing, op2_wu_manber_decontamination, op3_tree_scoring_extraction, op4_crf_language, op5_nearest_toxicity,
     op6_bloom_cascade_url_filter, op7_katz_backoff, op8_adaptive_dimension_scan, op9_parity_sketch_join, op10_contextual_pii,
+    op11_permutation_trie_audit, op12_pointer_jumping_trie,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -58,4 +67,6 @@ ORACLE = {
     "op2_wu_manber_decontamination": wu_manber.ORACLE_SQL,
     "op6_bloom_cascade_url_filter": bloom_cascade.ORACLE_SQL,
     "op9_parity_sketch_join": parity_join.ORACLE_SQL,
+    "op11_permutation_trie_audit": filter_audit.ORACLE_SQL,
+    "op12_pointer_jumping_trie": prefix_trie.ORACLE_SQL,
 }
