@@ -35,12 +35,13 @@ their own order; the smallest names the component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +168,24 @@ def short_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """Whether two sets may link by what is kept of them (``sketch``, an array of longs), so that only others' texts are fetched.
+
+    ``columns`` is given both sketches and the most shingles that may be in one set only, as columns; ``arrays`` a group's
+    sketches as rows, the place of one of them, those of others, and that number for each of the others.
+    """
+
+    columns: Callable[[Column, Column, Column], Column]
+    arrays: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+PARITY = Likeness(
+    lambda a, b, most: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int")) <= most,
+    lambda s, i, near, most: np.bitwise_count(s[near] ^ s[i]).sum(axis=1, dtype=np.int64) <= most,
+)
+
+
 def _sketched(documents: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """Per row: ``doc_id, n, digest, sketch``; the last once for each set and task."""
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -305,7 +324,7 @@ def _texts_of(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> D
     return written(_wanted(documents, ids.select(F.col("id").alias("doc_id")), doc_id, text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "digest", "text").dropDuplicates(), "jaccard-texts")
 
 
-def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
+def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
     """The pairs (a, b: digests) that link, as (a, b) of class ids.
 
     The pairs of an ``a`` are dealt to parts. ``a``'s text goes once to each of
@@ -315,8 +334,7 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc
     c = classes.select("digest", "n", "sketch", F.col("id"))
     both = pairs.join(c.toDF("a", "na", "sa", "ida"), "a").join(c.toDF("b", "nb", "sb", "idb"), "b")
     most = F.floor(F.lit(q - p) * (F.col("na") + F.col("nb")) / F.lit(q + p))
-    distance = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
-    may = written(both.where((F.abs(F.col("na") - F.col("nb")) <= most) & (distance <= most)).select("a", "b", "ida", "idb"), "jaccard-pairs")
+    may = written(both.where((F.abs(F.col("na") - F.col("nb")) <= most) & like.columns(F.col("sa"), F.col("sb"), most)).select("a", "b", "ida", "idb"), "jaccard-pairs")
     parts = 16 + may.count() // PAIRS
     ids = written(may.select(F.explode(F.array(F.struct(F.col("ida").alias("id"), F.col("a").alias("digest")), F.struct(F.col("idb").alias("id"), F.col("b").alias("digest")))).alias("x")).select("x.*").distinct(), "jaccard-ids")
     texts = _texts_of(documents, ids, doc_id, text)
@@ -348,7 +366,7 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc
     return rows.mapInArrow(run, schema).toDF("a", "b").distinct()
 
 
-def _compared(members: DataFrame, p: int, q: int) -> DataFrame:
+def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
     """Pairs (a, b: digests) of different components that meet in a key and may link by their sizes and short sketches.
 
     ``members``: (key, digest, component as long, n, sketch), at most ``GROUP`` of a key, sorted by key within partitions that keep a key together.
@@ -366,7 +384,7 @@ def _compared(members: DataFrame, p: int, q: int) -> DataFrame:
                     near = np.flatnonzero((c[j] != c[i]) & (np.abs(n[j] - n[i]) <= most))
                     if len(near):
                         near += i + 1
-                        near = near[np.bitwise_count(s[near] ^ s[i]).sum(axis=1, dtype=np.int64) <= most[near - i - 1]]
+                        near = near[like.arrays(s, i, near, most[near - i - 1])]
                         a.append(np.full(len(near), d[i]))
                         b.append(d[near])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -377,7 +395,7 @@ def _compared(members: DataFrame, p: int, q: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [batch.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(-1, SHORT)]
+            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [batch.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(len(keys), -1)]
             if rest is not None:
                 keys, columns = np.concatenate([rest[0], keys]), [np.concatenate(x) for x in zip(rest[1], columns)]
             whole = int(np.searchsorted(keys, keys[-1]))  # where the last key, which may go on, begins
@@ -410,34 +428,43 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    how = {"doc_id": doc_id, "text": text, "width": width, "p": p, "q": q}
     sketched = written(_sketched(documents, doc_id, text, width), "sketches")
     classes = written(sketched.where(F.col("n") > 0).groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes")
     keyed = _keyed(documents, text, width, p, q).repartition("key").sortWithinPartitions("key", "digest")
     met = written(_meetings(keyed), "meetings")
     pairs = met.where(F.col("first").isNotNull()).select(F.col("first").alias("a"), F.col("other").alias("b")).distinct()
-    links = written(_verified(documents, classes, pairs, **how), "links")
+    members = met.where(F.col("first").isNull()).select("key", F.col("other").alias("digest"))
+    return linked_by_keys(documents, sketched, classes, pairs, members, doc_id=doc_id, text=text, width=width, p=p, q=q)
+
+
+def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, *, like: Likeness = PARITY, **how) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``sketched``, from keys of which linked classes share one at least.
+
+    ``pairs`` (a, b) join every class with the first of each of its keys, ``members`` (key, digest) has the keys of three or more classes.
+    """
+    p, q = how["p"], how["q"]
+    links = written(_verified(documents, classes, pairs, like=like, **how), "links")
     labels = components(links)
     # Keys whose members aren't all of one component yet; of keys with the same members, one.
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    members = written(met.where(F.col("first").isNull()).select("key", F.col("other").alias("digest")).join(of_class, "digest"), "members")
+    members = written(members.join(of_class, "digest"), "members")
     same = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same).where(F.col("lo") != F.col("hi")).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
     unsure = written(members.join(open_keys.select("key", "m"), "key"), "unsure")
     few = unsure.where(F.col("m") <= GROUP).select("key", "digest", F.xxhash64("component").alias("component")).join(classes.select("digest", "n", "sketch"), "digest")
-    compared = _compared(few.select("key", "digest", "component", "n", "sketch").repartition("key").sortWithinPartitions("key"), p, q)
+    compared = _compared(few.select("key", "digest", "component", "n", "sketch").repartition("key").sortWithinPartitions("key"), p, q, like)
     many = written(unsure.where(F.col("m") > GROUP).select("digest", "component").distinct().join(classes, "digest"), "unsure-many")
     if not many.isEmpty():
-        compared = compared.unionByName(_by_prefix(documents, many, **how)).distinct()
-    more = written(_verified(documents, classes, compared, **how), "links")
+        compared = compared.unionByName(_by_prefix(documents, many, like=like, **how)).distinct()
+    more = written(_verified(documents, classes, compared, like=like, **how), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    out = sketched.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
+    out = sketched.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
+def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
     """Pairs of digests of different components that share one of their rarest shingles."""
     texts = _texts_of(documents, unsure.select("id", "digest"), doc_id, text).drop("doc_id").join(unsure.select("digest", "component", "n"), "digest").select("text", "digest", "component", "n")
     schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
@@ -459,12 +486,11 @@ def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: st
     most = F.floor(F.lit(q - p) * (F.col("n") + F.floor(F.lit(q) * F.col("n") / F.lit(p))) / F.lit(q + p)).cast("int")
     rarest = each.join(frequency.where(F.col("df") > 1), "shingle", "left").groupBy("digest", "component", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
     prefix = rarest.select("digest", "component", "n", F.explode(F.slice("s", F.lit(1), most + 1)).alias("x")).where(F.col("x.df") > 1).select("digest", "component", "n", F.col("x.shingle").alias("shingle"))
-    prefix = written(prefix.join(unsure.select("digest", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SHORT)]), "digest"), "prefixes")
+    prefix = written(prefix.join(unsure.select("digest", "sketch"), "digest"), "prefixes")
     left = prefix.select("shingle", *[F.col(c).alias(f"a_{c}") for c in prefix.columns if c != "shingle"])
     right = prefix.select("shingle", *[F.col(c).alias(f"b_{c}") for c in prefix.columns if c != "shingle"])
     near = (F.col("a_component") < F.col("b_component")) & (F.lit(q) * F.least("a_n", "b_n") >= F.lit(p) * F.greatest("a_n", "b_n"))
-    distance = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SHORT)), F.lit(0))
-    near &= F.lit(q + p) * distance <= F.lit(q - p) * (F.col("a_n") + F.col("b_n"))
+    near &= like.columns(F.col("a_sketch"), F.col("b_sketch"), F.floor(F.lit(q - p) * (F.col("a_n") + F.col("b_n")) / F.lit(q + p)))
     return left.join(right, "shingle").where(near).select(F.least("a_digest", "b_digest").alias("a"), F.greatest("a_digest", "b_digest").alias("b")).distinct()
 
 

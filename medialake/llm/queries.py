@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, filter_audit, html_text, katz, packing, parity_join, prefix_trie, toxic_neighbours, wu_manber
+from medialake.llm import adaptive_scan, bloom_cascade, contextual_pii, crf_language, filter_audit, html_text, katz, minhash_join, packing, parity_join, prefix_trie, toxic_neighbours, wu_manber
 from medialake.llm.common import table
 
 
@@ -56,10 +56,14 @@ def op12_pointer_jumping_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_minhash_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.dedup_report(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_sum_of_squares_packing, op2_wu_manber_decontamination, op3_tree_scoring_extraction, op4_crf_language, op5_nearest_toxicity,
     op6_bloom_cascade_url_filter, op7_katz_backoff, op8_adaptive_dimension_scan, op9_parity_sketch_join, op10_contextual_pii,
-    op11_permutation_trie_audit, op12_pointer_jumping_trie,
+    op11_permutation_trie_audit, op12_pointer_jumping_trie, op13_minhash_coordinate_join,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -69,4 +73,5 @@ ORACLE = {
     "op9_parity_sketch_join": parity_join.ORACLE_SQL,
     "op11_permutation_trie_audit": filter_audit.ORACLE_SQL,
     "op12_pointer_jumping_trie": prefix_trie.ORACLE_SQL,
+    "op13_minhash_coordinate_join": minhash_join.ORACLE_SQL,
 }
