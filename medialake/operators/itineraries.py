@@ -117,12 +117,16 @@ def clusters_pins(latitude_delta: Column, least: float = 0.012) -> Column:
     return latitude_delta >= least
 
 
+def spread_offset(index: Column, count: Column) -> Column:
+    """The place (x, y) of pin ``index`` (from 0) of ``count`` on a circle, from the top on; a pin by itself stays in the middle."""
+    radius, angle = F.lit(24.0) + count * 3.2, index * (2 * F.pi() / F.greatest(count, F.lit(1))) - F.pi() / 2
+    at = lambda f: F.when(count > 1, f(angle) * radius).otherwise(0.0)
+    return F.struct(at(F.cos).alias("x"), at(F.sin).alias("y"))
+
+
 def spread_offsets(count: Column) -> Column:
-    """Places of ``count`` pins on a circle, from the top on; one stays in the middle."""
-    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    radius, step = F.lit(24.0) + count * 3.2, 2 * F.pi() / count
-    around = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: place(F.cos(i * step - F.pi() / 2) * radius, F.sin(i * step - F.pi() / 2) * radius))
-    return F.when(count > 1, around).otherwise(F.array(place(F.lit(0.0), F.lit(0.0))))
+    """The places of all ``count`` pins."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: spread_offset(i, count))
 
 
 def grid_neighbour(index: Column, count: Column, columns: Column, direction: str) -> Column:
