@@ -164,6 +164,59 @@ def metadata_clock(text: Column, formats: Sequence[str] = ("yyyy-MM-dd'T'HH:mm:s
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def _clock(at: Column, local: Column, zone: Column) -> Column:
+    return F.struct(at.cast("timestamp").alias("at"), local.alias("local"), zone.alias("has_zone"))
+
+
+def exif_capture(raw: Column, offset: Column) -> Column:
+    """Struct at, local, has_zone of an EXIF clock (2024:05:01 10:20:30) and its offset (+08:00 or Z, or null); null if it isn't one.
+
+    Days and hours beyond their month or day run on into the next. An offset of another form counts as UTC.
+    """
+    pattern = r"^\s*(\d+):(\d+):(\d+) +(\d+):(\d+)(?::([^:]*))?(?::.*)?\s*$"
+    part = lambda i: F.regexp_extract(raw, pattern, i).try_cast("int")
+    second = F.coalesce(F.regexp_extract(raw, pattern, 6).try_cast("double").cast("int"), F.lit(0))
+    utc = F.make_timestamp(part(1), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")) + F.make_interval(F.lit(0), part(2) - 1, F.lit(0), part(3) - 1, part(4), part(5), second.cast("decimal(18,6)"))
+    local = F.format_string("%04d-%02d-%02dT%02d:%02d:%02d", part(1), part(2), part(3), part(4), part(5), second)
+    sane = part(2).between(1, 12) & (part(3) >= 1) & (part(3) <= F.day(F.last_day(F.make_date(part(1), F.greatest(F.least(part(2), F.lit(12)), F.lit(1)), F.lit(1))))) & (part(4) <= 23) & (part(5) <= 59) & (second <= 59)
+    given = F.trim(offset)
+    compact = F.replace(given, F.lit(":"), F.lit(""))
+    hours, minutes = F.substring(compact, 2, 2).try_cast("int"), F.substring(compact, 4, 2).try_cast("int")
+    shift = F.when(compact.startswith("-"), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+    formed = compact.rlike(r"^[+-].{4}$")
+    moved = F.timestamp_micros(F.unix_micros(utc) - shift.cast("long") * 1_000_000)
+    zone = F.when(given.isNull(), False).when(F.lower(given) == "z", sane).when(formed, sane & compact.rlike(r"^[+-]\d{4}$")).otherwise(True)
+    at = F.when(zone & formed, moved).otherwise(utc)
+    return F.when(F.coalesce(raw.rlike(pattern), F.lit(False)) & part(1).between(1, 9999), _clock(at, local, F.coalesce(zone, F.lit(False))))
+
+
+def metadata_capture(text: Column) -> Column:
+    """Struct at, local, has_zone of a container's creation date: with its zone, or civil as it stands; null if it isn't one."""
+    t = F.trim(text)
+    zoned = F.coalesce(*[F.try_to_timestamp(t, F.lit(f"yyyy-MM-dd'T'HH:mm:ss{f}{z}")) for f in ("", ".S", ".SSS", ".SSSSSS") for z in ("XXX", "XX")])
+    civil = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")])
+    return F.when(zoned.isNotNull(), _clock(zoned, F.lit(None).cast("string"), F.lit(True))).when(civil.isNotNull(), _clock(civil, F.replace(t, F.lit(" "), F.lit("T")), F.lit(False)))
+
+
+def matroska_codec(header: Column) -> Column:
+    """The video codec that a Matroska file's first bytes name: av1, vp9, vp8 or other."""
+    names = F.when(F.lit(False), "")
+    for name in ("AV1", "VP9", "VP8"):
+        names = names.when(F.contains(header, F.lit(f"V_{name}".encode())), name.lower())
+    return names.otherwise("other")
+
+
+def encode_progress(line: Column) -> Column:
+    """Struct duration, encoded: the seconds that an encoder's line tells of, each null if it doesn't."""
+
+    def seconds(mark: str) -> Column:
+        clock = F.regexp_extract(line, mark + r"([0-9.]+):([0-9.]+):([0-9.]+)(?![0-9:.])", 0)
+        part = lambda i: F.regexp_extract(line, mark + r"([0-9.]+):([0-9.]+):([0-9.]+)(?![0-9:.])", i).try_cast("double")
+        return F.when(clock != "", part(1) * 3600 + part(2) * 60 + part(3))
+
+    return F.struct(seconds("Duration: ").alias("duration"), seconds("time=").alias("encoded"))
+
+
 def iso6709(text: Column) -> Column:
     """Latitude, longitude and altitude of +35.6895+139.6917+040.0/."""
     number = r"([+-]\d+(?:\.\d+)?)"
@@ -175,8 +228,10 @@ def offset_apply(ts: Column, years: Column, days: Column, hours: Column, minutes
     return ts + F.make_interval(years, F.lit(0), F.lit(0), days, hours, minutes, seconds)
 
 
-def plausible_capture(ts: Column, today: Column) -> Column:
-    return (F.year(ts) >= 2015) & (F.to_date(ts) <= F.date_add(today, 1))
+def plausible_capture(ts: Column, today: Column, year: Column | None = None) -> Column:
+    """From 2015 (``year`` is that of the civil clock, if known) to tomorrow."""
+    own = F.year(ts) if year is None else F.coalesce(year, F.year(ts))
+    return (own >= 2015) & (F.to_date(ts) <= F.date_add(today, 1))
 
 
 # -- fingerprints -------------------------------------------------------------------------------------------------------
@@ -199,15 +254,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.aggregate(differ, F.lit(0), lambda s, x: s + x))
 
 
-def sampled_digest(content: Column, size: Column, chunk: int = 256 * 1024) -> Column:
-    """SHA-256 over the size and the first, middle and last chunk of a file."""
-    little_endian = F.reverse(F.regexp_extract_all(F.lpad(F.hex(size), 16, "0"), F.lit("(..)"), F.lit(1)))
-    head = F.substring(content, F.lit(1), F.lit(chunk))
-    middle = F.when(size > 2 * chunk, F.substring(content, (size / 2 - chunk / 2).cast("int") + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    tail = F.when(size > chunk, F.substring(content, (size - chunk + 1).cast("int"), F.lit(chunk))).otherwise(F.lit(b""))
-    return F.sha2(F.concat(F.unhex(F.array_join(little_endian, "")), head, middle, tail), 256)
-
-
 # -- tags and JSON ------------------------------------------------------------------------------------------------------
 def source_rank(source: Column) -> Column:
     return F.when(source == "user", 0).when(source == "path", 1).when(source == "ai", 2).otherwise(3)

@@ -1,11 +1,13 @@
-"""Pins, routes and streams of places on the driver tables, each with its DuckDB oracle."""
+"""Headers, pins and routes on the driver tables, each with its DuckDB oracle."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators import pins as P
-from medialake.plans.catalogue_queries import Tables, _hav, query, scaled
+from medialake.sources import headers as H
+from medialake.plans.catalogue_queries import Tables, _hav, micros, query, scaled
 
 _PINS = """SELECT c_nationkey AS trip, c_custkey AS id, 40.0::DOUBLE + (c_custkey % 23) * 0.0001::DOUBLE AS lat, CAST(c_custkey * 7 % 19 AS DOUBLE) * 0.0001::DOUBLE + 179.9995::DOUBLE AS lon_,
 CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 31 % 1009 END AS t, c_custkey % 11 = 3 AS selected FROM customer"""
@@ -28,3 +30,33 @@ def stack_pins(spark, sf_dir):
     lon = (k * 7 % 19).cast("double") * 0.0001 + 179.9995
     pins = Tables(spark, sf_dir).customer.select(F.col("c_nationkey").alias("trip"), k.alias("id"), (F.lit(40.0) + (k % 23) * F.lit(0.0001)).alias("latitude"), F.when(lon > 180, lon - 360).otherwise(lon).alias("longitude"), F.when(k % 13 != 0, k * 31 % 1009).alias("t"), (k % 11 == 3).alias("selected"))
     return P.stack_pins(pins, ["trip"], "t").withColumns({c: scaled(F.col(c)) for c in "xy"})
+
+
+# -- headers ------------------------------------------------------------------------------------------------------------
+def _pictures(spark, sf_dir) -> DataFrame:
+    """A small JPEG for each document, with an EXIF block of big-endian directories that Spark writes."""
+    d = F.col("doc_id")
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    text = lambda c: F.concat(F.hex(c), F.lit("00"))
+    tag = lambda name, kind, n, value: F.concat(F.lit(f"{name:04X}{kind:04X}{n:08X}"), value if isinstance(value, Column) else F.lit(f"{value:08X}"))
+    ratios = lambda *parts: F.concat(*[F.concat(big(a, 4), F.lit(f"{b:08X}")) for a, b in parts])
+    none = F.lit("00000000")
+    time = F.format_string("%04d:%02d:%02d %02d:%02d:%02d", d % 8 + 2013, d % 12 + 1, d % 28 + 1, d % 24, d % 60, d * 11 % 60)
+    main = F.concat(F.lit("0002"), tag(0x8769, 4, 1, 38), tag(0x8825, 4, 1, 96), none)
+    clock = F.concat(F.lit("0002"), tag(0x9003, 2, 20, 68), tag(0x9011, 2, 7, 88), none, text(time), text(F.when(d % 2 == 0, "+08:00").otherwise("-05:30")), F.lit("00"))
+    side = lambda c, a, b: F.concat(F.hex(F.when(c, a).otherwise(b)), F.lit("000000"))
+    spot = F.concat(F.lit("0004"), tag(1, 2, 2, side(d % 3 == 0, "S", "N")), tag(2, 5, 3, 150), tag(3, 2, 2, side(d % 5 == 0, "W", "E")), tag(4, 5, 3, 174), none, ratios((d % 80, 1), (d % 60, 1), (d * 7 % 5900, 100)), ratios((d % 170, 1), (d * 3 % 60, 1), (d * 7 % 5900, 100)))
+    jpeg = F.concat(F.lit("FFD8FFE100CE457869660000" + "4D4D002A00000008"), main, clock, spot, F.lit("FFDA0002"))
+    path = F.when(d % 5 == 0, "DJI_20230405060708_0001_D.mov").when(d % 5 == 1, "clip.mov").otherwise("p.jpg")
+    return Tables(spark, sf_dir).documents.select("doc_id", path.alias("path"), F.timestamp_seconds(d * 60 + 1_600_000_000).alias("modified"), F.unhex(jpeg).alias("content"))
+
+
+@query("""WITH d AS (SELECT doc_id, make_timestamp(2013 + doc_id % 8, 1 + doc_id % 12, 1 + doc_id % 28, doc_id % 24, doc_id % 60, CAST(doc_id * 11 % 60 AS DOUBLE)) AS civil, doc_id % 5 > 1 AS image FROM documents),
+c AS (SELECT *, civil - CASE WHEN doc_id % 2 = 0 THEN INTERVAL 8 HOUR ELSE INTERVAL '-5 hours -30 minutes' END AS utc, image AND year(civil) >= 2015 AS dated FROM d),
+p AS (SELECT *, (CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END) * (doc_id % 80 + (doc_id % 60) / 60.0::DOUBLE + (doc_id * 7 % 5900) / 360000.0::DOUBLE) AS lat, (CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 1 END) * (doc_id % 170 + (doc_id * 3 % 60) / 60.0::DOUBLE + (doc_id * 7 % 5900) / 360000.0::DOUBLE) AS lon FROM c)
+SELECT doc_id, epoch_us(CASE WHEN dated THEN utc WHEN doc_id % 5 = 0 THEN TIMESTAMP '2023-04-05 06:07:08' ELSE to_timestamp(1600000000 + doc_id * 60)::TIMESTAMP END) AS captured_us,
+CASE WHEN dated THEN strftime(civil, '%Y-%m-%dT%H:%M:%S') WHEN doc_id % 5 = 0 THEN '2023-04-05T06:07:08' END AS captured_local, CASE WHEN dated THEN 'header' WHEN doc_id % 5 = 0 THEN 'dji_filename' ELSE 'file_date' END AS captured_source,
+CASE WHEN image THEN CAST(floor(lat * 1e6 + 0.5) AS BIGINT) END AS lat, CASE WHEN image THEN CAST(floor(lon * 1e6 + 0.5) AS BIGINT) END AS lon FROM p""")
+def media_captures(spark, sf_dir):
+    got = H.captures(H.headers_of(_pictures(spark, sf_dir)), today=F.lit("2026-01-01").cast("date"))
+    return got.select("doc_id", micros(F.col("captured_at")).alias("captured_us"), "captured_local", "captured_source", scaled(F.col("latitude"), 1e6).alias("lat"), scaled(F.col("longitude"), 1e6).alias("lon"))
