@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -104,35 +105,65 @@ def cluster_line(rows: DataFrame, by: list[str], order: list[str], value: str, r
     return rows.groupBy(*by).applyInPandas(fold, schema)
 
 
-def stays(rows: DataFrame, by: list[str], radius_m: float = 500.0, merge_s: float = 2700.0) -> DataFrame:
-    """Stays of tracks (``time`` in seconds, ``lat``, ``lon``): first and last time and median place.
+class StayFold:
+    """Stays of one track, point by point in order of time.
 
-    A stay within ``radius_m`` of the one before and at most ``merge_s`` later joins it.
+    A point within ``radius_m`` of the current stay's mean or of its last point
+    belongs to it; any other ends it. A stay has the median place of its points; within
+    ``radius_m`` of the stay before and at most ``merge_s`` later it joins that one. After ``idle_s``
+    without a point the track ends and another begins. ``earlier`` gives the
+    current stay's points that were kept elsewhere; it's asked when the stay ends.
     """
+
+    def __init__(self, radius_m: float, merge_s: float, idle_s: float | None = None, earlier=list):
+        self.radius_m, self.merge_s, self.idle_s, self.earlier = radius_m, merge_s, idle_s, earlier
+        self.n, self.sums, self.start, self.last = 0, (0.0, 0.0), None, None
+        self.points: list[tuple] = []
+        self.pending: tuple | None = None
+        self.ended = False
+
+    def add(self, t: float, lat: float, lon: float, alt: float | None) -> list[tuple]:
+        """The stays (start, end, latitude, longitude, altitude) that are final now."""
+        out = []
+        if self.n:
+            if self.idle_s is not None and t - self.last[0] > self.idle_s:
+                out = self.close()
+            elif metres(self.sums[0] / self.n, self.sums[1] / self.n, lat, lon) > self.radius_m and metres(*self.last[1:], lat, lon) > self.radius_m:
+                out = self._end()
+        if not self.n:
+            self.start = t
+        self.points.append((lat, lon, alt))
+        self.n, self.sums, self.last = self.n + 1, (self.sums[0] + lat, self.sums[1] + lon), (t, lat, lon)
+        return out
+
+    def _end(self) -> list[tuple]:
+        rows = [*self.earlier(), *self.points]
+        alts = [a for *_, a in rows if a is not None and not math.isnan(a)]
+        stay = (self.start, self.last[0], median(r[0] for r in rows), median(r[1] for r in rows), median(alts) if alts else None)
+        self.n, self.sums, self.points, self.earlier, self.ended = 0, (0.0, 0.0), [], list, True
+        before = self.pending
+        if before and stay[0] - before[1] <= self.merge_s and metres(before[2], before[3], stay[2], stay[3]) <= self.radius_m:
+            self.pending = (before[0], max(before[1], stay[1]), (before[2] + stay[2]) / 2, (before[3] + stay[3]) / 2, before[4] if stay[4] is None else stay[4])
+            return []
+        self.pending = stay
+        return [before] if before else []
+
+    def close(self) -> list[tuple]:
+        out = self._end() if self.n else []
+        last, self.pending = self.pending, None
+        return [*out, last] if last else out
+
+
+def stays(rows: DataFrame, by: list[str], radius_m: float = 500.0, merge_s: float = 2700.0, idle_s: float | None = None) -> DataFrame:
+    """Stays of tracks (``time`` in seconds, ``lat``, ``lon``, and ``alt`` if there is one): first and last time, median place and altitude (see :class:`StayFold`)."""
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    alt = ["alt"] if "alt" in rows.columns else []
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("time", kind="stable")
-        groups: list[list[tuple]] = []
-        sums = [0.0, 0.0]
-        for t, lat, lon in df[["time", "lat", "lon"]].itertuples(index=False):
-            g = groups[-1] if groups else None
-            if g:
-                mean = sums[0] / len(g), sums[1] / len(g)
-            if g and (metres(*mean, lat, lon) <= radius_m or metres(g[-1][1], g[-1][2], lat, lon) <= radius_m):
-                g.append((t, lat, lon))
-            else:
-                groups.append([(t, lat, lon)])
-                sums = [0.0, 0.0]
-            sums = [sums[0] + lat, sums[1] + lon]
-        out: list[dict] = []
-        for g in groups:
-            p = pd.DataFrame(g, columns=["time", "lat", "lon"])
-            s = {"start": float(p["time"].iloc[0]), "end": float(p["time"].iloc[-1]), "lat": p["lat"].median(), "lon": p["lon"].median()}
-            if out and s["start"] - out[-1]["end"] <= merge_s and metres(out[-1]["lat"], out[-1]["lon"], s["lat"], s["lon"]) <= radius_m:
-                out[-1] |= {"end": s["end"], "lat": (out[-1]["lat"] + s["lat"]) / 2, "lon": (out[-1]["lon"] + s["lon"]) / 2}
-            else:
-                out.append(s)
-        return pd.DataFrame([{**{c: df[c].iloc[0] for c in by}, **s} for s in out], columns=[*by, "start", "end", "lat", "lon"])
-
-    return rows.groupBy(*by).applyInPandas(fold, f"{fields}, start double, end double, lat double, lon double")
+        df = df.sort_values(["time", "lat", "lon"], kind="stable")
+        track, out = StayFold(radius_m, merge_s, idle_s), []
+        for p in df[["time", "lat", "lon", *alt]].itertuples(index=False):
+            out += track.add(*p, *[None] * (not alt))
+        return pd.DataFrame([[*(df[c].iloc[0] for c in by), *s] for s in out + track.close()], columns=[*by, "start", "end", "lat", "lon", "alt"]).astype({"alt": "float64"})
+
+    return rows.groupBy(*by).applyInPandas(fold, f"{fields}, start double, end double, lat double, lon double, alt double")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators import pins as P
+from medialake.session import shared_dir
 from medialake.sources import headers as H
+from medialake.streaming.stays import stay_stream
 from medialake.plans.catalogue_queries import Tables, _hav, micros, query, scaled
 
 _PINS = """SELECT c_nationkey AS trip, c_custkey AS id, 40.0::DOUBLE + (c_custkey % 23) * 0.0001::DOUBLE AS lat, CAST(c_custkey * 7 % 19 AS DOUBLE) * 0.0001::DOUBLE + 179.9995::DOUBLE AS lon_,
@@ -60,3 +64,37 @@ CASE WHEN image THEN CAST(floor(lat * 1e6 + 0.5) AS BIGINT) END AS lat, CASE WHE
 def media_captures(spark, sf_dir):
     got = H.captures(H.headers_of(_pictures(spark, sf_dir)), today=F.lit("2026-01-01").cast("date"))
     return got.select("doc_id", micros(F.col("captured_at")).alias("captured_us"), "captured_local", "captured_source", scaled(F.col("latitude"), 1e6).alias("lat"), scaled(F.col("longitude"), 1e6).alias("lon"))
+
+
+# -- stays of a stream --------------------------------------------------------------------------------------------------
+_WALK = "SELECT user_id AS u, event_id, ts, 40.0::DOUBLE + (day(ts) // 3 % 4) * 0.02::DOUBLE + (event_id % 3) * 0.001::DOUBLE + CASE WHEN event_id % 17 = 0 THEN 0.01 ELSE 0 END::DOUBLE AS lat, 20.0::DOUBLE + (event_id % 2) * 0.001::DOUBLE AS lon FROM events"
+_CLOSED = f"""CASE WHEN len(la) = 0 THEN outs WHEN len(outs) > 0 AND a - outs[-1].z <= 2700000000 AND {_hav("outs[-1].la", "outs[-1].lo", "list_median(la)", "list_median(lo)")} <= 500
+THEN list_append(list_slice(outs, 1, len(outs) - 1), {{'a': outs[-1].a, 'z': greatest(z, outs[-1].z), 'la': (outs[-1].la + list_median(la)) / 2, 'lo': (outs[-1].lo + list_median(lo)) / 2}})
+ELSE list_append(outs, {{'a': a, 'z': z, 'la': list_median(la), 'lo': list_median(lo)}}) END"""
+
+
+@query(f"""WITH RECURSIVE s AS ({_WALK}), w AS (SELECT epoch_ms(max(ts)) * 1000 - 86400000000 AS wm FROM s),
+e AS (SELECT u, epoch_us(ts) AS t, lat, lon, row_number() OVER (PARTITION BY u ORDER BY ts, lat, lon) AS k FROM s, w WHERE epoch_us(ts) < wm),
+g AS (SELECT DISTINCT u, 0::BIGINT AS k, []::DOUBLE[] AS la, []::DOUBLE[] AS lo, 0::BIGINT AS a, 0::BIGINT AS z, []::STRUCT(a BIGINT, z BIGINT, la DOUBLE, lo DOUBLE)[] AS outs, 0::BIGINT AS fin FROM e
+  UNION ALL SELECT u, k + 1, CASE WHEN near THEN list_append(la, lat) ELSE [lat] END, CASE WHEN near THEN list_append(lo, lon) ELSE [lon] END, CASE WHEN near THEN a ELSE t END, t,
+    CASE WHEN near THEN outs ELSE closed END, CASE WHEN gap THEN len(closed) ELSE fin END
+  FROM (SELECT g.*, e.t, e.lat, e.lon, len(la) > 0 AND e.t - z > 259200000000 AS gap, {_CLOSED} AS closed,
+    len(la) > 0 AND e.t - z <= 259200000000 AND ({_hav("list_avg(la)", "list_avg(lo)", "e.lat", "e.lon")} <= 500 OR {_hav("la[-1]", "lo[-1]", "e.lat", "e.lon")} <= 500) AS near FROM g JOIN e ON e.u = g.u AND e.k = g.k + 1)),
+l AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY u ORDER BY k DESC) = 1),
+f AS (SELECT u, CASE WHEN z + 259200000000 < wm THEN {_CLOSED} ELSE list_slice(outs, 1, greatest(fin, len(outs) - 1, 0)) END AS outs FROM l, w)
+SELECT u AS user_id, o.a AS start_us, o.z AS end_us, CAST(floor(o.la * 1e6 + 0.25) AS BIGINT) AS lat, CAST(floor(o.lo * 1e6 + 0.25) AS BIGINT) AS lon FROM (SELECT u, unnest(outs) AS o FROM f)""")
+def stay_stream_final(spark, sf_dir):
+    """The stays of an event stream that are final once all of the table has arrived: what its stream has put out."""
+    events = f"{sf_dir}/events.parquet"
+    at = f"{shared_dir(spark)}/stay-stream-{uuid.uuid4().hex}"
+    d = F.col("event_id")
+    lat = F.lit(40.0) + F.floor(F.day("ts") / 3) % 4 * F.lit(0.02) + d % 3 * F.lit(0.001) + F.when(d % 17 == 0, 0.01).otherwise(0.0)
+    rows = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{sf_dir}/events*.parquet")
+    points = rows.select("user_id", F.col("ts").cast("timestamp"), lat.alias("lat"), (F.lit(20.0) + d % 2 * F.lit(0.001)).alias("lon"), F.lit(None).cast("double").alias("alt"))
+    found = stay_stream(points, ["user_id"], late="1 day", idle_s=3 * 86400.0)
+    running = found.writeStream.format("parquet").option("path", f"{at}/stays").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{at}/stays")
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    place = lambda c: F.floor(F.col(c) * 1e6 + 0.25).cast("long").alias(c)
+    return out.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), place("lat"), place("lon"))
