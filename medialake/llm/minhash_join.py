@@ -14,7 +14,8 @@ with k - t + 1 of them has no partner, and most classes end here.
 
 *Skipping.* Only those short lists are merged: each class meets the first of
 each of its lists. The longer lists are skipped: a candidate's collisions are
-counted by looking at both signatures, and pairs below t go. So a passage that a
+counted by looking at both signatures, and pairs below t go, as do those whose
+parity sketches differ in more places than the sets may. So a passage that a
 third of all documents share costs nothing where the rest of a text is its own.
 Lists whose members don't end in one component are gone through again (see
 :func:`medialake.llm.parity_join.linked_by_keys`), counting the collisions of
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medialake.llm.common import written
-from medialake.llm.parity_join import MEMO, Likeness, Shingler, digest, linked_by_keys, mix
+from medialake.llm.parity_join import MEMO, PARITY, SHORT, Likeness, Shingler, digest, linked_by_keys, mix, short_sketch
 
 WIDTH = 5
 P, Q = 85, 100
@@ -74,16 +75,21 @@ def signature(s: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     return np.array([((s ^ x) * f).min() for x, f in zip(flips, factors)], np.uint64).view(np.int64)
 
 
-def likeness(t: int) -> Likeness:
-    """Pairs whose signatures agree in ``t`` places."""
-    return Likeness(
-        lambda a, b, most: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) >= t,
-        lambda s, i, near, most: (s[near] == s[i]).sum(axis=1) >= t,
-    )
+def likeness(t: int, k: int = COORDINATES) -> Likeness:
+    """Pairs whose signatures agree in ``t`` of the first ``k`` numbers of a sketch, and whose parity sketches, the numbers behind them, don't differ too much.
+
+    The parity of a set's shingles at a place differs only where the sets do, so the second test loses nothing.
+    """
+    agree = lambda a, b: F.size(F.filter(F.zip_with(F.slice(a, 1, k), F.slice(b, 1, k), lambda x, y: x == y), lambda z: z)) >= t
+
+    def arrays(s: np.ndarray, i: int, near: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return ((s[near, :k] == s[i, :k]).sum(axis=1) >= t) & PARITY.arrays(s[:, k:], i, near, most)
+
+    return Likeness(lambda a, b, most: agree(a, b) & PARITY.columns(F.slice(a, k + 1, SHORT), F.slice(b, k + 1, SHORT), most), arrays)
 
 
 def _signed(documents: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Per row: ``doc_id, n, digest, sketch`` (the signature); the last is left out where the same task had it just before."""
+    """Per row: ``doc_id, n, digest, sketch`` (the signature and a parity sketch); the last is left out where the same task had it just before."""
     schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +107,15 @@ def _signed(documents: DataFrame, doc_id: str, text: str, width: int) -> DataFra
                     if len(seen) > MEMO:
                         seen.clear()
                     seen.add(digests[-1])
-                found.append(signature(s) if new else None)
+                found.append(np.concatenate([signature(s), short_sketch(s)]) if new else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(to.field(0).type), pa.array(n, pa.int64()), pa.array(digests, pa.int64()), pa.array(found, to.field(3).type)], schema=to)
 
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def posted(classes: DataFrame, t: int, k: int = COORDINATES) -> DataFrame:
-    """(key, digest): the lists of a class's prefix that hold others, too. ``classes``: ``digest`` and the signature as ``sketch``."""
-    every = classes.select("digest", F.posexplode("sketch").alias("place", "value")).select("digest", F.xxhash64("place", "value").alias("key"))
+    """(key, digest): the lists of a class's prefix that hold others, too. ``classes``: ``digest`` and a ``sketch`` that begins with the signature."""
+    every = classes.select("digest", F.posexplode(F.slice("sketch", 1, k)).alias("place", "value")).select("digest", F.xxhash64("place", "value").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("length")).where(F.col("length") > 1)
     own = every.join(shared, "key").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("length", "key"))).alias("lists"))
     alone = F.lit(k) - F.size("lists")
