@@ -56,3 +56,31 @@ def reconcile(disk: DataFrame, stored: DataFrame) -> DataFrame:
     new = left_disk.join(legacy.select(F.col("path").alias("d_path")), "d_path", "left_anti").select(F.lit(None).cast(stored.schema["id"].dataType).alias("id"), F.col("d_path").alias("path"), F.lit("new").alias("outcome"))
     gone = left_stored.join(legacy.select(F.col("id").alias("s_id")), "s_id", "left_anti").select(F.col("s_id").alias("id"), F.col("s_path").alias("path"), F.lit("missing").alias("outcome"))
     return by_path.unionByName(renamed).unionByName(legacy).unionByName(new).unionByName(gone)
+
+
+def outcome_records(plan: DataFrame, disk: DataFrame, stored: DataFrame) -> DataFrame:
+    """The catalogue's rows after a plan: ``stored``'s columns, with the listed file's size, time and content where it was matched.
+
+    ``plan`` is of :func:`reconcile`, ``disk`` and ``stored`` are its arguments; ``stored`` may have any other columns, and those named
+    here are kept up: ``phash`` goes with a changed content, ``needs_reanalysis`` is set by new and changed content and cleared by a match.
+    New rows get a random id and nulls (``user_notes`` is empty).
+    """
+    found = disk.select("path", *[F.col(c).alias(f"_d_{c}") for c in ("size", "mtime", "hash")]).withColumnRenamed("path", "_path")
+    known = plan.select(F.col("id"), F.col("path").alias("_path"), F.col("outcome").alias("_outcome")).join(found, "_path", "left")
+    kept = stored.join(known.where(F.col("id").isNotNull()), "id")
+    by = F.col("_outcome")
+    moved, hashed, matched = by.isin("renamed", "legacy"), by.isin("first_hash", "changed", "legacy"), ~by.isin("stable", "missing")
+    new = {
+        "path": F.when(moved, F.col("_path")).otherwise(F.col("path")),
+        "size": F.when(matched, F.col("_d_size")).otherwise(F.col("size")),
+        "mtime": F.when(matched, F.col("_d_mtime")).otherwise(F.col("mtime")),
+        "hash": F.when(hashed, F.col("_d_hash")).otherwise(F.col("hash")),
+        "status": F.when(by == "missing", "missing").when(by == "stable", F.col("status")).otherwise("available"),
+        "phash": F.when(by != "changed", F.col("phash")) if "phash" in stored.columns else None,
+        "needs_reanalysis": F.when(by == "changed", True).when(by.isin("touched", "renamed"), False).otherwise(F.col("needs_reanalysis")) if "needs_reanalysis" in stored.columns else None,
+    }
+    rows = kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in stored.columns])
+    own = {"id": F.uuid(), "path": F.col("_path"), "size": F.col("_d_size"), "mtime": F.col("_d_mtime"), "hash": F.col("_d_hash"), "status": F.lit("available"), "needs_reanalysis": F.lit(True), "user_notes": F.lit("")}
+    types = {f.name: f.dataType for f in stored.schema}
+    added = known.where(by == "new").select(*[own.get(c, F.lit(None)).cast(types[c]).alias(c) for c in stored.columns])
+    return rows.unionByName(added)
