@@ -268,14 +268,6 @@ def tolerant_json(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
 
 
-def people_bucket(n: Column) -> Column:
-    return F.when(n <= 0, "0").when(n == 1, "1").when(n == 2, "2").when(n <= 10, "3-10").otherwise("11+")
-
-
-def face_class(area: Column) -> Column:
-    return F.when(area >= 0.025, "close").when(area >= 0.015, "medium").otherwise("none")
-
-
 def even_pick(items: Column, k: int) -> Column:
     """``k`` evenly spaced items, places rounded half to even."""
     n = F.size(items)
@@ -308,7 +300,7 @@ def may_write_gps(lat: Column, lon: Column, source: Column) -> Column:
 
 
 def signed_coordinate(value: Column, hemisphere: Column) -> Column:
-    return F.when(F.upper(hemisphere).isin("S", "W"), -F.abs(value)).otherwise(value)
+    return F.when(F.upper(hemisphere).isin("S", "W"), -F.abs(value)).otherwise(F.abs(value))
 
 
 def ai_taggable(status: Column, kind: Column, size: Column) -> Column:
@@ -353,12 +345,3 @@ def visible_custom_label(s: Column) -> Column:
 
 def kind_order(kind: Column) -> Column:
     return F.when(kind == "video", 0).when(kind == "image", 1).otherwise(2)
-
-
-def answer_tags(text: Column) -> Column:
-    """(category, value) of a model's answer: an array, or an object with ``tags``; items are strings or have ``value`` or ``keyword``."""
-    body = F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)^[^{\[]*(\{.*\})", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit("")))
-    listed = F.from_json(F.when(body.startswith("["), body).otherwise(F.get_json_object(body, "$.tags")), "array<string>")
-    value = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.value"), F.get_json_object(x, "$.keyword"))).otherwise(x)
-    category = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.category"), F.lit("custom"))).otherwise("custom")
-    return F.filter(F.transform(listed, lambda x: F.struct(category(x).alias("category"), F.trim(value(x)).alias("value"))), lambda t: F.coalesce(t["value"] != "", F.lit(False)))

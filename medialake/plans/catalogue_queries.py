@@ -543,13 +543,6 @@ def keyword_valid(spark, sf_dir):
     return words.select("doc_id", F.size(F.filter("w", C.keyword_valid)).cast("long").alias("n")).where("n > 0")
 
 
-@query("SELECT event_id, CASE WHEN value > 40 THEN '11+' WHEN value > 20 THEN '3-10' WHEN value > 10 THEN '2' WHEN value > 5 THEN '1' ELSE '0' END AS people, event_type FROM events WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND value <= 5)")
-def gate_filter(spark, sf_dir):
-    v = F.col("value")
-    people = C.people_bucket(F.when(v > 40, 11).when(v > 20, 5).when(v > 10, 2).when(v > 5, 1).otherwise(0))
-    return Tables(spark, sf_dir).events.where((F.col("event_type") != "error") & ~((F.col("event_type") == "signup") & (v <= 5))).select("event_id", people.alias("people"), "event_type")
-
-
 # -- extensions ---------------------------------------------------------------------------------------------------------
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS n FROM events GROUP BY ALL")
 def tumble_ext(spark, sf_dir):

@@ -36,7 +36,6 @@ def cases() -> dict:
         "capture_ahead": (C.plausible_capture(F.to_timestamp(L("2024-01-02 00:00:00")), F.to_date(L("2024-01-01"))), True),
         "localized": (C.localized(F.create_map(L("en"), L("sea"), L("zh"), L("海")), "fr", L("id")), "sea"),
         "localized_id": (C.localized(F.create_map(L("zh"), L("海")), "fr", L("id")), "id"),
-        "face": (F.array(*[C.face_class(L(x)) for x in (0.03, 0.02, 0.01)]), ["close", "medium", "none"]),
         "code": (F.bit_count(C.bit_code(L("1" * 64))), 64),
         "signed": (F.array(C.signed_coordinate(L(5.0), L("s")), C.signed_coordinate(L(5.0), L("E"))), [-5.0, 5.0]),
         "display": (C.display_size(L(4), L(3), L(6))["width"], 3),
@@ -47,8 +46,6 @@ def cases() -> dict:
         "hop_kind": (F.array(C.hop_kind(L(False), L(50_000.0)), C.hop_kind(L(True), L(9e9)), C.hop_kind(L(False), L(10.0))), ["sea", "land", "land"]),
         "visible": (F.array(C.visible_custom_label(L("über")), C.visible_custom_label(L("uber")), C.visible_custom_label(L("ü"))), [True, False, False]),
         "misplaced": (F.array(C.is_misplaced_gps(L(0.0), L(0.0), none.cast("string")), C.is_misplaced_gps(L(1.0), L(1.0), L("itinerary")), C.is_misplaced_gps(L(1.0), L(1.0), L("user")), C.is_misplaced_gps(none.cast("double"), none.cast("double"), none.cast("string"))), [True, True, False, False]),
-        "answer": (F.transform(C.answer_tags(L('```json\n{"tags": ["a", {"category": "c", "value": "v"}, {"keyword": " k "}, {"x": 1}]}\n```')), lambda t: F.concat(t["category"], L("="), t["value"])), ["custom=a", "c=v", "custom=k"]),
-        "answer_list": (F.transform(C.answer_tags(L('Sure: ["a", "b"]')), lambda t: t["value"]), ["a", "b"]),
         "natural": (F.array_sort(F.array(C.natural_key(L("a10")), C.natural_key(L("a2"))))[0], "a" + "2".zfill(20)),
     }
 
