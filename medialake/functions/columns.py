@@ -124,6 +124,12 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def cubes(lat: Column, lon: Column, wide: float) -> list[Column]:
+    """The cube of ``wide`` metres that holds a place on the sphere: three whole numbers. Places within ``wide`` lie in neighbouring cubes, without poles or a date line."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.floor(p * (EARTH_M / wide)).cast("long") for p in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
 def usable_gps(lat: Column, lon: Column) -> Column:
     finite = ~F.isnan(lat) & ~F.isnan(lon) & lat.between(-90, 90) & lon.between(-180, 180)
     return F.coalesce(finite & ((F.abs(lat) > 1e-4) | (F.abs(lon) > 1e-4)), F.lit(False))

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import columns as C
+from medialake.operators.ranks import Look, neighbours
 
 
 # -- views --------------------------------------------------------------------------------------------------------------
 def with_tags(footage: DataFrame, tags: DataFrame, key: str) -> DataFrame:
-    """Rows with their ``tags`` (category, value, source; by source rank, then category and value) as an array; untagged ones have an empty one."""
+    """Rows with their ``tags`` (category, value, source; by source rank, then category and value) as an array, each tag once with its best source; untagged ones have an empty one."""
     item = F.struct(C.source_rank(F.col("source")).alias("rank"), "category", "value", "source")
-    own = tags.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("tags"))
+    best = tags.groupBy(key, "category", "value").agg(F.min_by("source", F.struct(C.source_rank(F.col("source")), "source")).alias("source"))
+    own = best.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("tags"))
     return footage.join(own, key, "left").withColumn("tags", F.coalesce("tags", F.array().cast(own.schema["tags"].dataType)))
 
 
@@ -198,49 +200,39 @@ def allowed_tags(tags: DataFrame, catalogue: DataFrame, known: DataFrame, blocke
 def nearest_in_time(probes: DataFrame, track: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:
     """The value of a track's point nearest in time to each probe (``id``), the earlier one on a tie; null without points."""
     points = track.groupBy(*by, time).agg(F.min(value).alias(value))
-    p = F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(value).alias("v"))
-    lined = points.select(*by, time, F.lit(None).cast(probes.schema["id"].dataType).alias("id"), p.alias("p")).unionByName(probes.select(*by, time, "id", F.lit(None).cast(points.select(p.alias("p")).schema["p"].dataType).alias("p")))
-    last = lambda order: F.last("p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    found = lined.select(*by, time, "id", last(F.col(time)).alias("a"), last(F.desc(time)).alias("b")).where(F.col("id").isNotNull())
-    t = F.unix_micros(F.col(time).cast("timestamp"))
-    before = F.col("b").isNull() | (t - F.col("a.t") <= F.col("b.t") - t)
-    return found.select(*by, "id", F.when(F.col("a").isNotNull() & before, F.col("a.v")).otherwise(F.col("b.v")).alias(value))
+    found = neighbours(probes.select(*by, time, "id"), {"a": Look(points), "b": Look(points, after=True)}, by, time)
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    before = F.col("b").isNull() | (t(time) - t(f"a.{time}") <= t(f"b.{time}") - t(time))
+    return found.select(*by, "id", F.when(F.col("a").isNotNull() & before, F.col(f"a.{value}")).otherwise(F.col(f"b.{value}")).alias(value))
 
 
 def stay_of(probes: DataFrame, stays: DataFrame, by: Sequence[str], pad_s: int = 1200) -> DataFrame:
     """The first stay (``stay``, ``start_s``, ``end_s``) that holds a probe (``id``, ``t_s``) within ``pad_s``, else the nearer neighbour.
 
-    ``relation``: inside, previous or next (the previous one on a tie). Stays of a
-    key don't overlap and are in order, so the padded ones that can hold a moment
-    are the last two that have begun by then and the next to begin.
+    ``relation``: inside, previous or next (the previous one on a tie). Stays of a key don't overlap, so they end in
+    the order in which they begin, and the first that holds a moment is the first whose padded end isn't before it.
     """
-    s = F.struct("stay", "start_s", "end_s")
-    w = Window.partitionBy(*by).orderBy("start_s")
-    three = stays.select(*by, F.col("start_s").alias("t_s"), F.struct(F.lag(s).over(w).alias("a"), s.alias("b"), F.lead(s).over(w).alias("c")).alias("near"))
-    kind = three.schema["near"].dataType
-    first = stays.groupBy(*by).agg(F.min_by(s, "start_s").alias("_first"))
-    lined = three.withColumn("id", F.lit(None).cast(probes.schema["id"].dataType)).unionByName(probes.select(*by, "t_s", F.lit(None).cast(kind).alias("near"), "id"))
-    seen = F.last("near", ignorenulls=True).over(Window.partitionBy(*by).orderBy("t_s").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    at = lined.select(*by, "id", "t_s", seen.alias("n")).where(F.col("id").isNotNull()).join(first, list(by), "left")
+    row = stays.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "start_s").orderBy("end_s", "stay")))
+    at = lambda moment: row.withColumn("t_s", moment)
+    looks = {"holding": Look(at(F.col("end_s") + pad_s), after=True), "previous": Look(at(F.col("end_s"))), "following": Look(at(F.col("start_s")), after=True)}
+    found = neighbours(probes.select(*by, "id", "t_s"), looks, by, "t_s")
     t = F.col("t_s")
-    candidates = F.filter(F.array("n.a", "n.b", F.coalesce("n.c", F.when(F.col("n").isNull(), F.col("_first")))), lambda x: x.isNotNull())
-    inside = F.get(F.filter(candidates, lambda x: (x["start_s"] - pad_s <= t) & (t <= x["end_s"] + pad_s)), F.lit(0))
-    previous = F.element_at(F.concat(F.array(F.lit(None).cast(stays.select(s.alias("s")).schema["s"].dataType)), F.filter(candidates, lambda x: x["end_s"] <= t)), -1)
-    following = F.get(F.filter(candidates, lambda x: x["start_s"] >= t), F.lit(0))
-    back, ahead = t - previous["end_s"], following["start_s"] - t
+    inside = F.coalesce(F.col("holding.start_s") - pad_s <= t, F.lit(False))
+    back, ahead = t - F.col("previous.end_s"), F.col("following.start_s") - t
     use = F.when(back.isNull() & ahead.isNull(), None).when(ahead.isNull() | (back <= ahead), "previous").otherwise("next")
-    relation = F.when(inside.isNotNull(), "inside").otherwise(use)
-    return at.select(*by, "id", relation.alias("relation"), F.when(relation == "inside", inside["stay"]).when(relation == "previous", previous["stay"]).when(relation == "next", following["stay"]).alias("stay"))
+    relation = F.when(inside, "inside").otherwise(use)
+    stay = F.when(relation == "inside", F.col("holding.stay")).when(relation == "previous", F.col("previous.stay")).when(relation == "next", F.col("following.stay"))
+    return found.select(*by, "id", relation.alias("relation"), stay.alias("stay"))
 
 
 def utc_offset(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, offset_s): the most frequent civil minus UTC time of located rows in quarters of an hour, at most 14 h (the smaller on a tie); else by the first located row's longitude; else 0.
+    """(by, offset_s): the most frequent civil minus UTC time of located rows whose time has a zone, in quarters of an hour, at most 14 h (the smaller on a tie); else by the first located row's longitude; else 0.
 
-    ``rows``: civil_s and utc_s (null if unknown), latitude, longitude, pos.
+    ``rows``: civil_s and utc_s (null if unknown), has_zone, latitude, longitude, pos.
     """
     located = C.usable_gps(F.col("latitude"), F.col("longitude"))
-    quarter = (F.floor((F.col("civil_s") - F.col("utc_s")) / 900 + 0.5) * 900).cast("long")
-    counts = rows.where(located & quarter.isNotNull() & (F.abs(quarter) <= 14 * 3600)).groupBy(*by, quarter.alias("q")).agg(F.count("*").alias("n"))
+    quarter = (F.signum(F.col("civil_s") - F.col("utc_s")) * F.floor(F.abs(F.col("civil_s") - F.col("utc_s")) / 900 + 0.5) * 900).cast("long")
+    counts = rows.where(located & F.col("has_zone") & quarter.isNotNull() & (F.abs(quarter) <= 14 * 3600)).groupBy(*by, quarter.alias("q")).agg(F.count("*").alias("n"))
     best = counts.groupBy(*by).agg(F.max_by("q", F.struct("n", -F.col("q"))).alias("q"))
     first = rows.where(located).groupBy(*by).agg(F.min_by("longitude", "pos").alias("lon"))
     hours = F.floor(F.abs(F.col("lon")) / 15 + 0.5) * F.signum("lon") * 3600
@@ -248,10 +240,11 @@ def utc_offset(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def aligned_instant(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds ``aligned_s``: a time with its own zone as it is, else the civil time read in the library's zone, else the stored time."""
+    """Adds ``aligned_s``: a time with its own zone as it is, else the civil time read in the library's zone, else the stored time; then moved by the folder's offset, if ``rows`` has one (``folder_s``)."""
     joined = rows.join(offsets, list(by), "left")
     local = F.col("civil_s") - F.coalesce("offset_s", F.lit(0))
-    return joined.withColumn("aligned_s", F.when(F.col("has_zone"), F.col("utc_s")).otherwise(F.coalesce(local, F.col("utc_s")))).drop("offset_s")
+    moved = F.coalesce("folder_s", F.lit(0)) if "folder_s" in rows.columns else F.lit(0)
+    return joined.withColumn("aligned_s", F.when(F.col("has_zone"), F.col("utc_s")).otherwise(F.coalesce(local, F.col("utc_s"))) + moved).drop("offset_s")
 
 
 def gpx_eligible(rows: DataFrame) -> DataFrame:

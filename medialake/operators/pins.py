@@ -45,12 +45,6 @@ _CUBE = ["_cx", "_cy", "_cz"]
 _AROUND = list(product((-1, 0, 1), repeat=3))
 
 
-def _cubes(latitude: Column, longitude: Column, wide: float) -> list[Column]:
-    lat, lon = F.radians(latitude), F.radians(longitude)
-    place = [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
-    return [F.floor(p * (C.EARTH_M / wide)).cast("long").alias(c) for p, c in zip(place, _CUBE)]
-
-
 def _neighbourhood(leaders: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each leader once for each of the cubes that its reach may touch."""
     around = F.explode(F.array(*[F.struct(*[(F.col(c) + d).alias(c) for c, d in zip(_CUBE, step)]) for step in _AROUND]))
@@ -119,7 +113,7 @@ def _placed(pins: DataFrame, by: Sequence[str], order: str, reach: float) -> Dat
     lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
     known = pins.where(F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90), F.lit(False)) & lon.isNotNull())
     # A little wider than the reach, so that rounding can't put two pins in reach two cubes apart.
-    return written(known.select(*by, F.col(order).alias("_order"), F.col("id").alias("_id"), lat.alias("_lat"), lon.alias("_lon"), *_cubes(lat, lon, reach * 1.001)), "pins")
+    return written(known.select(*by, F.col(order).alias("_order"), F.col("id").alias("_id"), lat.alias("_lat"), lon.alias("_lon"), *[c.alias(n) for n, c in zip(_CUBE, C.cubes(lat, lon, reach * 1.001))]), "pins")
 
 
 def stack_pins(pins: DataFrame, by: Sequence[str], order: str, *, reach: float = STACK_M, tile: int = TILE, given: int = GIVEN) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import columns as C
+from medialake.operators.ranks import Look, neighbours
 
 
 # -- selections ---------------------------------------------------------------------------------------------------------
@@ -48,8 +50,9 @@ def facets(values: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 # -- duplicates ---------------------------------------------------------------------------------------------------------
 def duplicate_groups(rows: DataFrame, content_hash: str) -> DataFrame:
-    """Hashes of more than one row; counts only, so that a large group stays small."""
-    return rows.where(F.col(content_hash).isNotNull()).groupBy(content_hash).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    """Hashes of more than one row, of available ones if there is a ``status``; counts only, so that a large group stays small."""
+    here = F.col("status") == "available" if "status" in rows.columns else F.lit(True)
+    return rows.where(here & F.col(content_hash).isNotNull()).groupBy(content_hash).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
 def carry_resolution(groups: DataFrame, previous: DataFrame, content_hash: str) -> DataFrame:
@@ -65,75 +68,99 @@ def longest_prefix(rows: DataFrame, directory: str, assignments: DataFrame, key:
 
 
 def asof_interpolate(probes: DataFrame, track: DataFrame, by: Sequence[str], time: str, values: Sequence[str]) -> DataFrame:
-    """Values of a track at the probes' times, linear between its points; null outside its span.
+    """Values of a track at the probes' times (``id``): those of the first point of that very time (by ``pos``, if there is one), else linear between the points around it; null outside the track's span.
 
-    Both sides are put on one timeline and each probe takes the last point at or
-    before it and the first at or after it, so a shuffle by ``by`` is all it needs.
-    ``probes`` must have an ``id``.
+    A value that only one of the two points has is taken from it.
     """
-    points = track.groupBy(*by, time).agg(*[F.first(v).alias(v) for v in values])
-    lined = points.select(*by, time, F.lit(None).cast(probes.schema["id"].dataType).alias("id"), F.struct(F.col(time).alias("t"), *values).alias("p")).unionByName(probes.select(*by, time, "id", F.lit(None).cast(points.select(F.struct(F.col(time).alias("t"), *values).alias("p")).schema["p"].dataType).alias("p")))
-    order = Window.partitionBy(*by).orderBy(time)
-    before = F.last("p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.last("p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    found = lined.select(*by, time, "id", before.alias("a"), after.alias("b")).where(F.col("id").isNotNull())
+    points = track.select(*by, time, *[c for c in ("pos",) if c in track.columns], *values)
+    found = neighbours(probes.select(*by, time, "id"), {"a": Look(points, strictly=True), "b": Look(points, after=True)}, by, time)
     micros = lambda c: F.unix_micros(c.cast("timestamp")).cast("double")
-    share = F.when(F.col("a.t") == F.col("b.t"), 0.0).otherwise((micros(F.col(time)) - micros(F.col("a.t"))) / (micros(F.col("b.t")) - micros(F.col("a.t"))))
-    inside = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return found.select(*by, time, "id", *[F.when(inside, F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * share).alias(v) for v in values])
+    share = (micros(F.col(time)) - micros(F.col(f"a.{time}"))) / (micros(F.col(f"b.{time}")) - micros(F.col(f"a.{time}")))
+
+    def between(v: str) -> Column:
+        a, b = F.col(f"a.{v}"), F.col(f"b.{v}")
+        return F.when(F.col(f"b.{time}") == F.col(time), b).when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.when(a.isNotNull() & b.isNotNull(), a + (b - a) * share).otherwise(F.coalesce(a, b)))
+
+    return found.select(*by, time, "id", *[between(v).alias(v) for v in values])
 
 
 def nearest_gap(probes: DataFrame, events: DataFrame, by: Sequence[str], time: str) -> DataFrame:
     """The nearer of the last event at or before a probe and the first at or after it; the earlier on a tie."""
-    lined = probes.select(*by, time, "id", F.lit(None).cast("timestamp_ntz").alias("e")).unionByName(events.select(*by, time, F.lit(None).cast(probes.schema["id"].dataType).alias("id"), F.col(time).alias("e")))
-    order = Window.partitionBy(*by).orderBy(time)
-    before = F.last("e", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.last("e", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    found = lined.select(*by, time, "id", before.alias("a"), after.alias("b")).where(F.col("id").isNotNull())
-    back, ahead = micros(F.col(time)) - micros(F.col("a")), micros(F.col("b")) - micros(F.col(time))
-    side = F.when(F.col("a").isNull() & F.col("b").isNull(), None).when(F.col("b").isNull() | (back <= ahead), "previous").otherwise("next")
+    points = events.select(*by, time)
+    found = neighbours(probes.select(*by, time, "id"), {"a": Look(points), "b": Look(points, after=True)}, by, time)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    back, ahead = micros(time) - micros(f"a.{time}"), micros(f"b.{time}") - micros(time)
+    side = F.when(back.isNull() & ahead.isNull(), None).when(ahead.isNull() | (back <= ahead), "previous").otherwise("next")
     return found.select(*by, "id", side.alias("side"), F.least(back, ahead).alias("gap_us"))
 
 
-def hamming_pairs(rows: DataFrame, key: str, code: str, most: int = 6, width: int = 64) -> DataFrame:
-    """Pairs of codes (BIGINT) within ``most`` bits: cut into ``most + 1`` blocks, they agree in one.
+def _within(block: Column, width: int, radius: int) -> Column:
+    """All values of ``width`` bits that differ from ``block`` in at most ``radius``."""
+    flips = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+    return F.transform(F.array(*map(F.lit, flips)), lambda f: block.bitwiseXOR(f.cast("long")))
 
-    A pair is compared where its first common block is, so nothing has to be made
-    distinct. Blocks are long, and meetings few, for the small distances of
-    edited copies; they shorten as ``most`` grows.
+
+def hamming_meetings(left: DataFrame, right: DataFrame, code: str, most: int, by: Sequence[str] = (), width: int = 64) -> DataFrame:
+    """Rows (``l``, ``r``: structs of both sides, ``distance``) whose codes (BIGINT) lie within ``most`` bits, each pair once.
+
+    Codes are cut into blocks; of two within ``most`` bits one block differs in at most ``radius``. The right side stands
+    under its own blocks, the left side asks under all values of that many flipped bits; with ``by``, only rows of equal keys meet.
+    Blocks of some ten bits at radius 2, for far codes, and sixteen at radius 1, for near ones, meet far fewer others than blocks that must be equal.
     """
-    n = most + 1
+    radius = 2 if most >= 12 else 1 if most >= 1 else 0
+    n = -(-(most + 1) // (radius + 1))
     cuts = [width * i // n for i in range(n + 1)]
-    masks = [((1 << b - a) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    cut = rows.select(F.col(key), F.col(code), F.posexplode(F.array(*[F.col(code).bitwiseAND(F.lit(m)) for m in signed])).alias("i", "block"))
-    a, b = cut.toDF("a", "acode", "i", "block"), cut.toDF("b", "bcode", "i", "block")
-    both = F.col("acode").bitwiseXOR(F.col("bcode"))
-    first = ~any_of([(F.col("i") > j) & (both.bitwiseAND(F.lit(m)) == 0) for j, m in enumerate(signed[:-1])])
+    mask = [(1 << b - a) - 1 if b - a < 64 else -1 for a, b in zip(cuts, cuts[1:])]
+    block = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit(mask[i]))
+    c = F.col(code)
+    of = lambda df, name: df.select(F.struct(*df.columns).alias(name), c.alias(f"{name}_code"), *[F.col(k).alias(f"{name}_{k}") for k in by])
+    stand = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), block(F.col("r_code"), i).alias("v")) for i in range(n)]))
+    placed = lambda i: lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    ask = F.explode(F.concat(*[F.transform(_within(block(F.col("l_code"), i), cuts[i + 1] - cuts[i], radius), placed(i)) for i in range(n)]))
+    lefts, rights = of(left, "l").withColumn("at", ask), of(right, "r").withColumn("at", stand)
+    both = F.col("l_code").bitwiseXOR(F.col("r_code"))
+    # A pair meets in each block that is near enough; the first of these keeps it.
+    earlier = any_of([(F.col("at.i") > i) & (F.bit_count(block(both, i)) <= radius) for i in range(n - 1)])
+    same = reduce(lambda a, b: a & b, [F.col(f"l_{k}") == F.col(f"r_{k}") for k in by], F.col("at") == F.col("at2"))
     distance = F.bit_count(both).cast("int")
-    return a.join(b, ["i", "block"]).where((F.col("a") < F.col("b")) & (distance <= most) & first).select("a", "b", distance.alias("distance"))
+    return lefts.join(rights.withColumnRenamed("at", "at2"), same & (distance <= most) & ~earlier).select("l", "r", distance.alias("distance"))
+
+
+def hamming_pairs(rows: DataFrame, key: str, code: str, most: int = 6, width: int = 64) -> DataFrame:
+    """Pairs of codes (BIGINT) within ``most`` bits, each once."""
+    met = hamming_meetings(rows.select(key, code), rows.select(key, code), code, most, width=width)
+    return met.where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), "distance")
+
+
+def edited_originals(rows: DataFrame, by: Sequence[str], *, most: int = 18, lag_s: float = 1200.0) -> DataFrame:
+    """(by, id, original, distance, latitude, longitude): for pictures without a position, the picture with a reliable one that looks alike and was taken at least ``lag_s`` earlier: the nearest, and of these the latest.
+
+    ``rows``: id, kind, code, aligned_s, latitude, longitude, gps_source and the columns of ``by`` (a trip).
+    """
+    at = [F.col(c) for c in ("latitude", "longitude", "gps_source")]
+    pictures = rows.where((F.col("kind") == "image") & F.col("code").isNotNull() & F.col("aligned_s").isNotNull())
+    edited = pictures.where(~C.usable_gps(*at[:2])).select(*by, "id", "code", "aligned_s")
+    anchors = pictures.where(C.reliable_anchor(*at)).select(*by, "id", "code", "aligned_s", "latitude", "longitude")
+    met = hamming_meetings(edited, anchors, "code", most, by).where((F.col("l.id") != F.col("r.id")) & (F.col("l.aligned_s") - F.col("r.aligned_s") >= lag_s))
+    best = met.groupBy(*[F.col(f"l.{c}").alias(c) for c in by], F.col("l.id").alias("id")).agg(F.min_by(F.struct("r", "distance"), F.struct("distance", -F.col("r.aligned_s"), F.col("r.id"))).alias("_b"))
+    return best.select(*by, "id", F.col("_b.r.id").alias("original"), "_b.distance", "_b.r.latitude", "_b.r.longitude")
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
     return C.any_column(conditions)
 
 
-def grid_nearest(probes: DataFrame, places: DataFrame, radius_m: float, cell: float) -> DataFrame:
-    """The nearest place within ``radius_m`` of each probe, by cells of ``cell`` degrees and their neighbours, across the antimeridian too.
+def grid_nearest(probes: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """The nearest place within ``radius_m`` of each probe, by cubes of that width and their neighbours.
 
     ``probes``: (id, lat, lon); ``places``: (place, lat, lon). The later place wins a tie.
     """
-    around = math.ceil(360 / cell)
-    reach = F.lit(math.ceil(radius_m / 111_000.0 / cell))
-    # The last cell may be narrower than the others, hence one more.
-    wide = F.ceil(F.lit(radius_m / 111_000.0) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + radius_m / 111_000.0, F.lit(89.0)))), F.lit(0.01)) / F.lit(cell)).cast("int") + 1
-    row, column = F.floor(F.col("lat") / cell).cast("int"), F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / cell).cast("int")
-    near = probes.select("id", "lat", "lon", F.explode(F.sequence(row - reach, row + reach)).alias("cy"), column.alias("x0"), F.least(wide, F.lit(around // 2 + 1)).alias("w"))
-    near = near.select("id", "lat", "lon", "cy", F.explode(F.array_distinct(F.transform(F.sequence(F.col("x0") - F.col("w"), F.col("x0") + F.col("w")), lambda x: F.pmod(x, F.lit(around))))).alias("cx"))
-    at = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon"), row.alias("cy"), column.alias("cx"))
+    cube = F.struct(*[c.alias(n) for n, c in zip("xyz", C.cubes(F.col("lat"), F.col("lon"), radius_m * 1.001))])
+    around = F.array(*[F.struct(*[(F.col(f"_c.{n}") + d).alias(n) for n, d in zip("xyz", step)]) for step in product((-1, 0, 1), repeat=3)])
+    near = probes.select("id", "lat", "lon", cube.alias("_c")).select("id", "lat", "lon", F.explode(around).alias("cube"))
+    at = places.select("place", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cube.alias("cube"))
     d = C.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    found = near.join(at, ["cy", "cx"]).select("id", "place", d.alias("metres")).where(F.col("metres") <= radius_m)
+    found = near.join(at, "cube").select("id", "place", d.alias("metres")).where(F.col("metres") <= radius_m)
     return found.groupBy("id").agg(F.min_by("place", F.struct("metres", -F.col("place"))).alias("place"), F.min("metres").alias("metres"))
 
 

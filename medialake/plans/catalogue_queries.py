@@ -139,22 +139,22 @@ def dup_groups(spark, sf_dir):
     return O.duplicate_groups(Tables(spark, sf_dir).documents.select(F.sha2("text", 256).alias("content_hash")), "content_hash")
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n, CASE WHEN min(doc_id) % 2 = 0 THEN 'merged' ELSE 'unresolved' END AS resolution FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, CASE WHEN min(doc_id) % 2 = 0 THEN 'merged' ELSE 'unresolved' END AS resolution FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dup_resolution(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select(F.sha2("text", 256).alias("content_hash"), "doc_id")
     old = d.groupBy("content_hash").agg(F.min("doc_id").alias("m")).where("m % 2 = 0").select("content_hash", F.lit("merged").alias("resolution"))
     return O.carry_resolution(O.duplicate_groups(d, "content_hash"), old, "content_hash")
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 AND bool_or(lang = 'en')")
+@query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1 AND bool_or(lang = 'en')")
 def dup_scope(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select(F.sha2("text", 256).alias("content_hash"), "lang")
+    d = Tables(spark, sf_dir).documents.where("text IS NOT NULL").select(F.sha2("text", 256).alias("content_hash"), "lang")
     return d.groupBy("content_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("lang") == "en").alias("inside")).where("n > 1 and inside").drop("inside")
 
 
-@query("SELECT sha256(text) AS content_hash, string_agg(DISTINCT source, ',' ORDER BY source) AS tags, min(source) AS keeper_note FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS content_hash, string_agg(DISTINCT source, ',' ORDER BY source) AS tags, min(source) AS keeper_note FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dup_merge_tags(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select(F.sha2("text", 256).alias("content_hash"), "source")
+    d = Tables(spark, sf_dir).documents.where("text IS NOT NULL").select(F.sha2("text", 256).alias("content_hash"), "source")
     return d.groupBy("content_hash").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("tags"), F.min("source").alias("keeper_note")).where("n > 1").drop("n")
 
 
@@ -353,7 +353,7 @@ def haversine(spark, sf_dir):
 SELECT id, arg_min(place, (m, -place)) AS place, CAST(floor(min(m) + 0.5) AS BIGINT) AS metres FROM d WHERE m <= 1000 GROUP BY id""")
 def grid_nearest(spark, sf_dir):
     g = _geo(Tables(spark, sf_dir))
-    found = O.grid_nearest(g.select("id", (F.col("lat") + 0.002).alias("lat"), "lon"), g.select(F.col("id").alias("place"), "lat", "lon"), 1000.0, 0.01)
+    found = O.grid_nearest(g.select("id", (F.col("lat") + 0.002).alias("lat"), "lon"), g.select(F.col("id").alias("place"), "lat", "lon"), 1000.0)
     return found.select("id", "place", scaled(F.col("metres"), 1).alias("metres"))
 
 

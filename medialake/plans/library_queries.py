@@ -19,10 +19,15 @@ def _tags(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).labels.select("doc_id", F.when(d % 3 == 0, "custom").otherwise(F.concat(F.lit("c"), d % 4)).alias("category"), F.when(F.col("toxic") == 1, "toxic").otherwise(F.concat(F.lit("q"), F.col("quality"))).alias("value"), source.alias("source"))
 
 
-@query(f"""WITH t AS ({_TAG}), a AS (SELECT doc_id, string_agg(DISTINCT category || '=' || value || '/' || source, ',') AS tags FROM t GROUP BY 1)
+@query(f"""WITH t AS ({_TAG}), u AS (SELECT * FROM t UNION ALL SELECT doc_id, category, value, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'other' END FROM t WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'z', 'z', 'path' FROM t WHERE doc_id % 3 = 1),
+r AS (SELECT *, CASE source WHEN 'user' THEN 0 WHEN 'path' THEN 1 WHEN 'ai' THEN 2 ELSE 3 END AS k FROM u), b AS (SELECT doc_id, category, value, arg_min(source, k) AS source, min(k) AS k FROM r GROUP BY 1, 2, 3),
+a AS (SELECT doc_id, string_agg(category || '=' || value || '/' || source, ',' ORDER BY k, category, value) AS tags FROM b GROUP BY 1)
 SELECT d.doc_id, d.source, coalesce(a.tags, '') AS tags FROM documents d LEFT JOIN a USING (doc_id)""")
 def footage_scan(spark, sf_dir):
-    rows = L.with_tags(Tables(spark, sf_dir).documents.select("doc_id", F.col("source").alias("folder")), _tags(spark, sf_dir), "doc_id")
+    tags = _tags(spark, sf_dir)
+    again = tags.where("doc_id % 5 = 0").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "user").otherwise("other"))
+    more = tags.where("doc_id % 3 = 1").select("doc_id", *[F.lit(v).alias(c) for c, v in (("category", "z"), ("value", "z"), ("source", "path"))])
+    rows = L.with_tags(Tables(spark, sf_dir).documents.select("doc_id", F.col("source").alias("folder")), tags.unionByName(again).unionByName(more), "doc_id")
     return rows.select("doc_id", F.col("folder").alias("source"), F.array_join(F.transform("tags", lambda t: F.concat(t["category"], F.lit("="), t["value"], F.lit("/"), t["source"])), ",").alias("tags"))
 
 
@@ -206,11 +211,11 @@ def nearest_time(spark, sf_dir):
     return L.nearest_in_time(probes, e.where("event_type = 'view'").select("user_id", "ts", "value"), ["user_id"], "ts", "value").select("id", scaled(F.col("value")).alias("value"))
 
 
-_STAYS = "SELECT user_id, event_id AS stay, epoch_us(ts) // 1000000 AS a, least(epoch_us(ts) // 1000000 + 3600, coalesce(lead(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY ts) - 1, epoch_us(ts) // 1000000 + 3600)) AS b FROM (SELECT * FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 1000000 ORDER BY event_id) = 1)"
+_STAYS = "SELECT user_id, event_id AS stay, epoch_us(ts) // 1000000 AS a, least(epoch_us(ts) // 1000000 + event_id % 4 * 30 * 40, coalesce(lead(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY ts) - 1, epoch_us(ts) // 1000000 + event_id % 4 * 30 * 40)) AS b FROM (SELECT * FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 1000000 ORDER BY event_id) = 1)"
 
 
 @query(f"""WITH s AS ({_STAYS}), p AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000000 AS t FROM events WHERE event_type = 'error'),
-j AS (SELECT id, p.user_id, t, (SELECT arg_min(stay, a) FROM s WHERE s.user_id = p.user_id AND t BETWEEN a - 1200 AND b + 1200) AS inside, (SELECT max(b) FROM s WHERE s.user_id = p.user_id AND b <= t) AS pb, (SELECT min(a) FROM s WHERE s.user_id = p.user_id AND a >= t) AS na FROM p)
+j AS (SELECT id, p.user_id, t, (SELECT arg_min(stay, a) FROM s WHERE s.user_id = p.user_id AND t BETWEEN a - 400000 AND b + 400000) AS inside, (SELECT max(b) FROM s WHERE s.user_id = p.user_id AND b <= t) AS pb, (SELECT min(a) FROM s WHERE s.user_id = p.user_id AND a >= t) AS na FROM p)
 SELECT j.user_id, id, CASE WHEN inside IS NOT NULL THEN 'inside' WHEN pb IS NULL AND na IS NULL THEN NULL WHEN na IS NULL OR t - pb <= na - t THEN 'previous' ELSE 'next' END AS relation,
 CASE WHEN inside IS NOT NULL THEN inside WHEN pb IS NULL AND na IS NULL THEN NULL WHEN na IS NULL OR t - pb <= na - t THEN x.stay ELSE y.stay END AS stay FROM j LEFT JOIN s x ON x.user_id = j.user_id AND x.b = pb LEFT JOIN s y ON y.user_id = j.user_id AND y.a = na""")
 def stay_lookup(spark, sf_dir):
@@ -219,14 +224,15 @@ def stay_lookup(spark, sf_dir):
     e = Tables(spark, sf_dir).events.select("user_id", "event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t_s"))
     begun = O.first_by(e.where("event_type = 'signup'"), ["user_id", "t_s"], F.col("event_id"))
     following = F.lead("t_s").over(Window.partitionBy("user_id").orderBy("t_s")) - 1
-    stays = begun.select("user_id", F.col("event_id").alias("stay"), F.col("t_s").alias("start_s"), F.least(F.col("t_s") + 3600, F.coalesce(following, F.col("t_s") + 3600)).alias("end_s"))
-    return L.stay_of(e.where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "t_s"), stays, ["user_id"]).select("user_id", "id", "relation", "stay")
+    long = F.col("t_s") + F.col("event_id") % 4 * 1200
+    stays = begun.select("user_id", F.col("event_id").alias("stay"), F.col("t_s").alias("start_s"), F.least(long, F.coalesce(following, long)).alias("end_s"))
+    return L.stay_of(e.where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "t_s"), stays, ["user_id"], 400_000).select("user_id", "id", "relation", "stay")
 
 
 _ZONED = """SELECT user_id, event_id AS pos, epoch_us(ts) // 1000000 AS utc_s, epoch_us(ts) // 1000000 + (user_id % 5) * 3600 + event_id % 3 * 100 + CASE WHEN user_id % 4 = 0 THEN 100000 ELSE 0 END AS civil_s,
 CASE WHEN user_id % 7 = 0 THEN NULL ELSE 10.0 END AS latitude, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(event_id % 170 AS DOUBLE) - 80 END AS longitude, event_type = 'view' AS has_zone FROM events"""
 _OFFSETS = f"""SELECT u.user_id, coalesce(q, CAST(floor(abs(lon) / 15 + 0.5) * sign(lon) * 3600 AS BIGINT), 0) AS offset_s FROM (SELECT DISTINCT user_id FROM z) u
-LEFT JOIN (SELECT user_id, q FROM (SELECT user_id, CAST(floor((civil_s - utc_s) / 900.0 + 0.5) * 900 AS BIGINT) AS q FROM z WHERE latitude IS NOT NULL) WHERE abs(q) <= 50400 GROUP BY user_id, q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, q) = 1) m USING (user_id)
+LEFT JOIN (SELECT user_id, q FROM (SELECT user_id, CAST(floor((civil_s - utc_s) / 900.0 + 0.5) * 900 AS BIGINT) AS q FROM z WHERE latitude IS NOT NULL AND has_zone) WHERE abs(q) <= 50400 GROUP BY user_id, q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, q) = 1) m USING (user_id)
 LEFT JOIN (SELECT user_id, arg_min(longitude, pos) AS lon FROM z WHERE latitude IS NOT NULL GROUP BY 1) l USING (user_id)"""
 
 
@@ -253,7 +259,7 @@ def date_line_nearest(spark, sf_dir):
     s = Tables(spark, sf_dir).supplier
     probes = s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 80).cast("double").alias("lat"), F.lit(179.999).alias("lon"))
     places = probes.select((F.col("id") % 80).alias("place"), "lat", F.lit(-179.9995).alias("lon")).distinct()
-    return O.grid_nearest(probes, places, 1000.0, 0.01).select("id", scaled(F.col("metres"), 1).alias("metres"))
+    return O.grid_nearest(probes, places, 1000.0).select("id", scaled(F.col("metres"), 1).alias("metres"))
 
 
 @query("""WITH u AS (SELECT 'n' || c_custkey % 7 || ' ' || c_custkey // 7 AS name FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT 'n' || r_regionkey FROM region), b AS (SELECT 'n' || i AS name FROM range(9) t(i) UNION ALL SELECT ' '),
