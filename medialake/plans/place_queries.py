@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators import pins as P
+from medialake.operators import routes as R
 from medialake.session import shared_dir
 from medialake.sources import headers as H
 from medialake.streaming.stays import stay_stream
@@ -98,3 +99,26 @@ def stay_stream_final(spark, sf_dir):
     us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
     place = lambda c: F.floor(F.col(c) * 1e6 + 0.25).cast("long").alias(c)
     return out.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), place("lat"), place("lon"))
+
+
+# -- routes -------------------------------------------------------------------------------------------------------------
+def _boxes(boxes) -> str:
+    return ", ".join(f"('{name}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for name, a, b, c, d in boxes)
+
+
+_ROUTE = "SELECT c_nationkey AS trip, c_custkey AS seq, CASE WHEN c_custkey % 11 = 0 THEN 25.0 ELSE CAST((c_custkey // 3 * 37 % 120) - 50 AS DOUBLE) + (c_custkey % 3) * 0.25 END AS lat, CASE WHEN c_custkey % 11 = 0 THEN 121.5 ELSE CAST((c_custkey // 3 * 53 % 340) - 170 AS DOUBLE) + (c_custkey % 3) * 0.25 END AS lon FROM customer"
+
+
+@query(f"""WITH p AS ({_ROUTE}), m AS (SELECT * FROM (VALUES {_boxes(R.ISLANDS)}) t(mass, s, n, w, e)), c AS (SELECT * FROM (VALUES {_boxes(R.CONTINENTS)}) t(mass, s, n, w, e)),
+i AS (SELECT trip, seq, list(mass) AS ms FROM p JOIN m ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1, 2), k AS (SELECT trip, seq, list(mass) AS ms FROM p JOIN c ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1, 2),
+l AS (SELECT p.*, coalesce(i.ms, k.ms, []) AS ms FROM p LEFT JOIN i USING (trip, seq) LEFT JOIN k USING (trip, seq)),
+h AS (SELECT *, lag(lat) OVER w AS lat1, lag(lon) OVER w AS lon1, lag(ms) OVER w AS ms1 FROM l WINDOW w AS (PARTITION BY trip ORDER BY seq)),
+q AS (SELECT trip, seq, CASE WHEN list_has_any(ms, ms1) OR {_hav("lat1", "lon1", "lat", "lon")} < 50000 THEN 'land' ELSE 'sea' END AS kind FROM h WHERE lat1 IS NOT NULL AND NOT (abs(lat - lat1) < 1e-8 AND abs(lon - lon1) < 1e-8)),
+n AS (SELECT *, coalesce(kind = 'sea' OR lag(kind) OVER w = 'sea', true) OR lag(kind) OVER w IS NULL AS new FROM q WINDOW w AS (PARTITION BY trip ORDER BY seq)),
+g AS (SELECT *, max(CASE WHEN new THEN seq END) OVER (PARTITION BY trip ORDER BY seq) AS segment FROM n)
+SELECT trip, segment, kind, CAST(sum(CASE WHEN kind = 'sea' THEN 24 WHEN new THEN 2 ELSE 1 END) AS BIGINT) AS n_points FROM g GROUP BY ALL""")
+def route_lines(spark, sf_dir):
+    k = F.col("c_custkey")
+    at = lambda step, wide, less, home: F.when(k % 11 == 0, home).otherwise((F.floor(k / 3) * step % wide - less).cast("double") + k % 3 * F.lit(0.25))
+    points = Tables(spark, sf_dir).customer.select(F.col("c_nationkey").alias("trip"), k.alias("seq"), at(37, 120, 50, 25.0).alias("latitude"), at(53, 340, 170, 121.5).alias("longitude"))
+    return R.route_lines(points, ["trip"], "seq").groupBy("trip", "segment", "kind").agg(F.count("*").alias("n_points"))
