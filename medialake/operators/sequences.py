@@ -1,20 +1,29 @@
 """Folds over ordered points of a group, which depend on what was kept so far.
 
-Points of a group come to one call (``applyInPandas``): a group is one track or
-one library's day, which is bounded by what a camera records; callers split
-longer histories by date.
+*Spikes and runs.* Whether a point is kept depends on the last one kept, which is the
+one before it or the one before that, and on whether that one is its run's first: four
+states. So points are dealt to blocks, each block is walked from all four states at once, the blocks'
+outcomes are put together in order (a row for each block), and each block is walked again from the state that it
+really begins in. A history of any length is many tasks' work.
+
+*Stays* keep a running mean, which has no few states: a track comes to one call
+(``applyInPandas``); longer histories are split where a track is silent (``idle_s``, or by date).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from functools import reduce
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medialake.operators.ranks import numbered
+from medialake.session import written
+
 R = 6_371_000.0
 
 
@@ -23,32 +32,42 @@ def metres(a: float, b: float, c: float, d: float) -> float:
     return 2 * R * math.asin(min(1.0, math.sqrt(h)))
 
 
-def _walk(values: list, reach, on_jump) -> list[int | None]:
-    """The run of each point (None: dropped). ``on_jump`` says whether a jump that isn't a spike begins a new run."""
-    runs: list[int | None] = []
-    run, kept, last = 0, 0, None
-    for i, x in enumerate(values):
-        ahead = values[i + 1] if i + 1 < len(values) else None
-        if last is None or reach(values[last], x):
-            pass
-        elif ahead is not None and reach(values[last], ahead):
-            runs.append(None)
-            continue
-        elif kept == 1 and ahead is not None and reach(x, ahead):
-            runs[last], kept = None, 0
-        elif on_jump:
-            run, kept = run + 1, 0
-        runs.append(run)
-        kept, last = kept + 1, i
-    return runs
+#: Points of a block.
+BLOCK = 4096
+#: States: how far back the last kept point lies (one or two points) and whether its run has more than one.
+_STATES = [(1, False), (1, True), (2, False), (2, True)]
+
+
+class _Walk:
+    """The steps over a block's points, with two points before it and three after, from a given state."""
+
+    def __init__(self, values: list[tuple], reach, on_jump: bool):
+        n = len(values)
+        self.n, self.on_jump = n, on_jump
+        # Whether a point is in reach of the one 1, 2 or 3 before it.
+        self.near = [[], *[[i >= d and reach(values[i - d], values[i]) for i in range(n)] for d in (1, 2, 3)]]
+
+    def step(self, i: int, state: tuple[int, bool] | None) -> tuple[str, tuple[int, bool]]:
+        """What becomes of point ``i``, and the state after it."""
+        if state is None:
+            return "keep", (1, False)
+        back, more = state
+        ahead = i + 1 < self.n
+        if self.near[back][i]:
+            return "keep", (1, True)
+        if ahead and self.near[back + 1][i + 1]:
+            return "skip", (2, more)
+        if not more and ahead and self.near[1][i + 1]:
+            return "restart", (1, False)
+        return ("jump", (1, False)) if self.on_jump else ("keep", (1, True))
 
 
 def hop(a: tuple, b: tuple) -> bool:
     """Whether a camera gets from one (seconds, latitude, longitude) to another: at most 300 m/s, 2 km in a short time; always without times."""
-    if any(math.isnan(x) for x in (*a[1:], *b[1:])):
+    if any(x is None or math.isnan(x) for x in (*a[1:], *b[1:])):
         return False
     d = metres(a[1], a[2], b[1], b[2])
-    if d < 1 or a[0] is None or b[0] is None:
+    if d < 1 or any(t is None or t != t for t in (a[0], b[0])):
         return True
     s = abs(b[0] - a[0])
     return d <= 2000 if s <= 0.75 else d / s <= 300
@@ -59,32 +78,87 @@ def within(most: float):
     return lambda a, b: abs(a[0] - b[0]) <= most
 
 
-def drop_spikes(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop) -> DataFrame:
-    """Drops a point out of reach of the last kept one if the next is within its reach, and a bad first point.
-
-    ``position`` names what ``reach`` is given of two points: (seconds, latitude, longitude) for :func:`hop`.
-    """
+def _walked(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach, on_jump: bool, block: int) -> DataFrame:
+    """The rows with ``_run``: the number of a kept point's run, null for a dropped one."""
+    placed = numbered(rows, by, [F.col(c).asc_nulls_last() for c in order], "_at")
+    own = F.floor(F.col("_at") / block)
+    last, first = F.col("_at") % block >= block - 2, F.col("_at") % block < 3
+    blocks = F.array_compact(F.array(own, F.when(last, own + 1), F.when(first & (own > 0), own - 1)))
+    dealt = written(placed.withColumn("_block", F.explode(blocks)), "blocks")
+    keys, columns = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), rows.columns
+
+    def walk(df: pd.DataFrame) -> tuple[_Walk, pd.DataFrame, int, int]:
+        df = df.sort_values("_at", kind="stable")
+        values = list(zip(*(df[c].tolist() for c in position)))
+        mine = (df["_at"] // block == df["_block"]).to_numpy().nonzero()[0]
+        return _Walk(values, reach, on_jump), df, int(mine[0]) if len(mine) else 0, int(mine[-1]) + 1 if len(mine) else 0
+
+    def outcomes(df: pd.DataFrame) -> pd.DataFrame:
+        w, df, lo, hi = walk(df)
+        if lo == hi:
+            return pd.DataFrame([], columns=[*by, "_block", "_to", "_jumps"])
+        to, jumps = [], []
+        for state in [None, *_STATES]:
+            n = 0
+            for i in range(lo, hi):
+                what, state = w.step(i, state)
+                n += what == "jump"
+            to.append(_STATES.index(state))
+            jumps.append(n)
+        return pd.DataFrame([[*(df[c].iloc[0] for c in by), df["_block"].iloc[0], to, jumps]], columns=[*by, "_block", "_to", "_jumps"])
+
+    def begins(df: pd.DataFrame) -> pd.DataFrame:
+        state, runs, out = 0, 0, []
+        for to, jumps in df.sort_values("_block")[["_to", "_jumps"]].itertuples(index=False):
+            out.append((state, runs))
+            state, runs = int(to[state]) + 1, runs + int(jumps[state])
+        return df.sort_values("_block")[[*by, "_block"]].assign(_state=[s for s, _ in out], _runs=[r for _, r in out])
+
+    found = written(dealt.groupBy(*by, "_block").applyInPandas(outcomes, f"{keys}, _block long, _to array<int>, _jumps array<long>"), "outcomes")
+    known = found.groupBy(*by).applyInPandas(begins, f"{keys}, _block long, _state int, _runs long")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    entry = known.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), "_state", "_runs")
+    on = F.col("_block") == F.col("_b")
+    for c in same:
+        on = on & c
+    entered = dealt.join(entry, on).select(*dealt.columns, "_state", "_runs")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_run", T.LongType())])
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order, kind="stable")
-        return df[[r is not None for r in _walk(list(zip(*(df[c] for c in position))), reach, False)]]
-
-    return rows.groupBy(*by).applyInPandas(fold, rows.schema)
+        w, df, lo, hi = walk(df)
+        state = [None, *_STATES][int(df["_state"].iloc[0])]
+        run, runs = int(df["_runs"].iloc[0]), []
+        for i in range(lo, min(hi + 2, w.n)):
+            back = state[0] if state else 0
+            what, state = w.step(i, state)
+            if what == "restart" and i - back >= lo:
+                runs[i - back - lo] = None
+            run += what == "jump"
+            runs.append(None if what == "skip" else run)
+        out = df.iloc[lo:hi][columns].copy()
+        out["_run"] = pd.array(runs[: hi - lo], dtype="Int64")
+        return out
 
+    return entered.groupBy(*by, "_block").applyInPandas(fold, schema)
 
-def plausible_runs(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop) -> DataFrame:
-    """As :func:`drop_spikes`, but any other jump begins a new ``run``; runs of one point go unless there is no other."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("run", T.LongType())])
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order, kind="stable")
-        runs = _walk(list(zip(*(df[c] for c in position))), reach, True)
-        sizes = Counter(r for r in runs if r is not None)
-        kept = {r for r, n in sizes.items() if n > 1} or {max(sizes)}
-        df["run"] = pd.Series(runs, index=df.index, dtype="Int64")
-        return df[[r in kept for r in runs]].astype({"run": "int64"})
+def drop_spikes(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop, block: int = BLOCK) -> DataFrame:
+    """Drops a point out of reach of the last kept one if the next is within its reach, and a bad first point.
 
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    ``position`` names what ``reach`` is given of two points: (seconds, latitude, longitude) for :func:`hop`.
+    """
+    return _walked(rows, by, order, position, reach, False, block).where("_run IS NOT NULL").drop("_run")
+
+
+def plausible_runs(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop, block: int = BLOCK) -> DataFrame:
+    """As :func:`drop_spikes`, but any other jump begins a new ``run``; runs of one point go unless there is no other (then the last one stays)."""
+    walked = written(_walked(rows, by, order, position, reach, True, block).where("_run IS NOT NULL"), "walked")
+    sizes = walked.groupBy(*by, "_run").agg(F.count("*").alias("_n"))
+    of_group = sizes.groupBy(*by).agg(F.max("_n").alias("_most"), F.max("_run").alias("_last"))
+    same = lambda columns: reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
+    stay = sizes.alias("l").join(of_group.alias("r"), same(by)).where((F.col("_n") > 1) | (F.col("_most") == 1) & (F.col("_run") == F.col("_last"))).select("l.*")
+    kept = walked.alias("l").join(stay.alias("r"), same([*by, "_run"]), "left_semi")
+    return kept.withColumnRenamed("_run", "run")
 
 
 def cluster_line(rows: DataFrame, by: list[str], order: list[str], value: str, radius: float) -> DataFrame:
