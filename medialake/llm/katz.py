@@ -4,9 +4,9 @@ Counts of words and of pairs of words are taken over all training documents.
 Counts up to ``LARGEST`` are discounted by Good and Turing's estimate; what the
 pairs after a context lose goes to the words not seen after it, in proportion
 to their unigram probability, by a weight that makes the context's
-probabilities sum to one exactly. A context of more than ``LARGEST`` tokens sets
-half a count aside besides, so one whose counts are all large backs off, too, and
-what a seen pair is worth needs no more than its own and its context's count.
+probabilities sum to one exactly. Larger counts stay as they are, but for a context
+all of whose counts are large: it would have nothing to give, so half a count of its
+total is set aside.
 Unigrams lose to one unknown word in the same way. A token is evaluated recursively: the pair if it was seen, else the
 context's weight times the unigram, else the unknown word.
 
@@ -343,6 +343,8 @@ def _judged(shared: Shared, blobs: list[bytes], with_pairs: bool) -> Iterator[di
     p = np.zeros(len(w_codes))
     p[frequent] = shared.p[w_codes[frequent].astype(np.int64)]
     there = in_bucket > 0
+    # A context without any small count sets half a count aside; a split one's small counts may lie in other buckets (see score).
+    alone = (sum(classes) == 0) & ~split & there
     whole_h = shared.hash(h_codes).view(np.int64)
     whole_w = w_codes.view(np.int64)
     yield {"kind": CONTEXT, "h": whole_h[there], "n": in_bucket[there], "k": _sums(h[c == LARGEST + 1], nh).astype(np.int64)[there], "x": _sums(h[seen], nh, p[w[seen]])[there], **{k: v[there] for k, v in zip(_CLASSES, classes)}}
@@ -352,7 +354,7 @@ def _judged(shared: Shared, blobs: list[bytes], with_pairs: bool) -> Iterator[di
         yield {"kind": PAIR, "h": whole_h[h[seen]], "w": shared.hash(w_codes[w[seen]]).view(np.int64), "n": c[seen]}
     # What a token adds by itself: the logarithm of large counts, over the context's; or of a frequent word's probability.
     total = np.maximum(hc, 1).astype(float)
-    over = np.log10(np.where(hc > LARGEST, (total - 0.5) / total, 1.0) / total)
+    over = np.log10(np.where(alone, (total - 0.5) / total, 1.0) / total)
     with np.errstate(divide="ignore"):
         value = np.where(seen, np.where(c > LARGEST, np.log10(np.maximum(c, 1)), 0.0) + over[h], np.where(frequent[w], np.log10(p[w]), 0.0))
     level = np.where(c > LARGEST, 0, c)
@@ -405,6 +407,27 @@ def _counter(known, schema: T.StructType, with_pairs: bool):
     return run
 
 
+def _seen_after(rows: DataFrame, late: dict[int, float]) -> DataFrame:
+    """(row, x): what the scale of the contexts ``late`` (hash: its logarithm) adds for each row's pairs that occur in training."""
+    start = int(_START)  # the code by which contexts know it
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.array(sorted(late), np.int64)
+        for batch in batches:
+            for row, train, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+                w = _hashes(_words(text)).view(np.int64)
+                h = np.concatenate([[start], w[:-1]])
+                keep = np.isin(h, wanted)
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.full(n, train)), pa.array(h[keep]), pa.array(w[keep])], names=["row", "train", "h", "w"])
+
+    pairs = rows.select("row", "train", "text").mapInArrow(run, "row long, train boolean, h long, w long")
+    counted = pairs.groupBy("row", "train", "h", "w").agg(F.count("*").alias("n"))
+    seen = pairs.where("train").select("h", "w").distinct()
+    x = reduce(lambda out, h: F.when(F.col("h") == h, late[h]).otherwise(out), late, F.lit(0.0))
+    return counted.join(seen, ["h", "w"]).groupBy("row").agg(F.sum(F.col("n") * x).alias("x"))
+
+
 def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", pairs_too: bool = False) -> tuple[DataFrame, Model, DataFrame]:
     """``doc_id, n_tokens, n_known, base_score, score`` of every row, the model learned from the rows where ``train``, and the table of kinds.
 
@@ -451,10 +474,14 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
     rare = of(RARE_PAIR).select("h", "w").join(unigrams.select("w", "p"), "w").select("h", F.lit(0).cast("long").alias("n"), F.col("p").alias("x"), *none)
     sums = stats.unionByName(rare).groupBy("h").agg(*[F.sum(k).alias(k) for k in ("n", "x", *_CLASSES)])
     lost = reduce(lambda a, b: a + b, [F.col(k) * F.lit(r * (1 - factors[r])) for r, k in enumerate(_CLASSES, 1)])
-    scaled = sums.withColumn("scale", F.when(F.col("n") > LARGEST, (F.col("n") - 0.5) / F.col("n")).otherwise(F.lit(1.0)))
+    small = reduce(lambda a, b: a + b, [F.col(k) for k in _CLASSES])
+    scaled = sums.withColumn("scale", F.when(small == 0, (F.col("n") - 0.5) / F.col("n")).otherwise(F.lit(1.0)))
     contexts = scaled.select("h", "scale", ((1 - F.col("scale") * (1 - lost / F.col("n"))) / (1 - F.col("x"))).alias("alpha"))
     dealt_out = spark.range(1).select(F.explode(F.from_json(F.lit(str(_split_hashes(known.value))), "array<bigint>")).alias("h"))
     few_contexts = F.broadcast(contexts.join(F.broadcast(dealt_out), "h"))
+    # Split contexts that turn out to have large counts only: at most as many as were split, as a rule none.
+    few_sums = stats.join(F.broadcast(dealt_out), "h").groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in _CLASSES]).where(small == 0)
+    late = {r["h"]: float(np.log10((r["n"] - 0.5) / r["n"])) for r in few_sums.select("h", "n").collect()}
 
     zero, nought = F.lit(0).cast("long"), F.lit(0.0)
     part = lambda df, ident, n, k, b, s: df.select("row", ident.alias("doc_id"), n.alias("n"), k.alias("k"), b.alias("b"), s.alias("s"))
@@ -469,6 +496,8 @@ def score(documents: DataFrame, train: Column, *, doc_id: str = "doc_id", text:
         .unionByName(part(backed, nobody, zero, zero, nought, F.col("n") * F.log10("alpha")))
         .unionByName(part(looked, nobody, zero, F.when(F.col("c").isNotNull(), F.col("n")).otherwise(zero), base, F.col("k") * F.log10(F.coalesce("p", F.lit(unknown)))))
     )
+    if late:
+        every = every.unionByName(part(_seen_after(rows, late), nobody, zero, zero, nought, F.col("x")))
     out = every.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("k").alias("n_known"), F.sum("b").alias("base_score"), F.sum("s").alias("score"))
     return out.drop("row"), Model(unigrams, contexts, n, v, unknown, factors), table
 

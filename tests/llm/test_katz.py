@@ -34,7 +34,7 @@ def plain(texts):
     model = {}
     for h, ds in by.items():
         hc = sum(bi[h, w] for w in ds)
-        scale = (hc - 0.5) / hc if hc > katz.LARGEST else 1.0
+        scale = (hc - 0.5) / hc if all(bi[h, w] > katz.LARGEST for w in ds) else 1.0  # nothing would be left for unseen words
         ps = {w: d * scale / hc for w, d in ds.items()}
         model[h] = (ps, (1 - sum(ps.values())) / (1 - sum(u[w] for w in ps)))
     return lines, uni, n, u, unknown, model
@@ -65,6 +65,18 @@ def test_whole_table(spark, monkeypatch, hot, bucket):
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 7 == 2)
 
 
+@pytest.mark.parametrize("bucket", [katz.BUCKET, 60])
+def test_contexts_of_large_counts_only(spark, monkeypatch, bucket):
+    """They set half a count aside; also where they're split among buckets that can't see it."""
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    texts = [(i, "a b") for i in range(150)] + [(i, "a c" if i % 2 else "b a d") for i in range(150, 190)] + [(i, f"x{i} b b zz") for i in range(190, 200)]
+    lines, _, _, u, unknown, model = plain(texts)
+    assert {h for h, (ps, _) in model.items() if len(ps) < 3} >= {"d", "c"}
+    got = {r["doc_id"]: r["score"] for r in katz.language_model_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for (d, _), x in zip(texts, lines):
+        assert math.isclose(got[d], sum(math.log10(p_of(h, w, u, unknown, model)) for h, w in zip(x, x[1:])), rel_tol=1e-9)
+
+
 def test_tables(spark, monkeypatch):
     """Pair counts and contexts' weights as the plain model has them."""
     monkeypatch.setattr(katz, "HOT", 300)
