@@ -52,9 +52,9 @@ CLOSES = {
 }
 #: Words of a class, id or role that mark what is not the article, and those that speak for it. A name counts as a whole:
 #: besides marking words it may have only such that say where or what kind of box it is, so related-work or share-prices don't.
-UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert alertdialog".split())
+UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion discussions disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion reaction reactions recommended related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo alert alertdialog".split())
 LIKELY = frozenset("article body content entry main post story text".split())
-ALWAYS_UNLIKELY = frozenset("ad ads advert advertisement comment comments disqus replies sponsored cookie".split())
+ALWAYS_UNLIKELY = frozenset("ad ads advert advertisement comment comments discussion discussions disqus reactions replies sponsored cookie".split())
 PLACES = frozenset("area articles bar bars block bottom box btn button buttons center col column container fixed footer global has header icon icons inline inner items js layout left link links list main module news outer page panel posts primary right row secondary section site slot stories sub thread top unit wrap wrapper zone".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 #: Characters of a menu's links on average, at most; longer ones are a list of references.
@@ -94,7 +94,8 @@ def _unlikely(tag: str, attributes: str, in_article: bool) -> tuple[bool, float]
         if marked and all(w in UNLIKELY or w in PLACES or w in LIKELY for w in words):
             if any(w in ALWAYS_UNLIKELY for w in marked):
                 return True, 0
-            plain = tag != "article" and not any(w in LIKELY and w not in PLACES for w in words)
+            # A paragraph, quote or item inside an article is a part of it, whatever box it's drawn in.
+            plain = tag != "article" and not (in_article and tag in PARAGRAPHS) and not any(w in LIKELY and w not in PLACES for w in words)
             if plain and not (tag == "header" and in_article) and not any(o is not words and o and all(w in LIKELY for w in o) for o in names):
                 return True, 0
     return False, 25 * likely
@@ -216,16 +217,32 @@ def _score(elements: list[Element]) -> None:
             up, depth = up.parent, depth + 1
 
 
+def _is_menu(e: Element) -> bool:
+    """Nothing but short links."""
+    return e.tag in ("ul", "ol", "div", "section", "table", "dl") and e.n_links >= 3 and e.density() > 0.95 and e.links <= MENU_LABEL * e.n_links
+
+
 def _lines(element: Element, lines: list[str]) -> None:
-    """The blocks of an element, each with its white space as one space."""
+    """The blocks of an element, each with its white space as one space.
+
+    A menu goes at the element's beginning and end; between its paragraphs a list of links is part of what they say.
+    """
     run: list[str] = []
+    held: list[str] = []  # lines of menus since the last other line
+    inside = 0  # open menus
 
     def flush() -> None:
         line = " ".join("".join(run).split())
-        if line:
-            lines.append(line)
         run.clear()
+        if line and inside:
+            held.append(line)
+        elif line:
+            if lines[begun:]:
+                lines.extend(held)
+            held.clear()
+            lines.append(line)
 
+    begun = len(lines)
     # (element, next part): a stack of its own, since pages may be nested deeply
     stack = [(element, iter(element.parts))]
     while stack:
@@ -236,19 +253,36 @@ def _lines(element: Element, lines: list[str]) -> None:
             else:
                 if p.tag in BLOCKS:
                     flush()
-                    if p.tag in ("ul", "ol", "div", "section", "table", "dl") and p.n_links >= 3 and p.density() > 0.95 and p.links <= MENU_LABEL * p.n_links:
-                        continue  # a menu inside the article: nothing but short links
+                    inside += _is_menu(p)
                 stack.append((p, iter(p.parts)))
                 break
         else:
             stack.pop()
             if e.tag in BLOCKS:
                 flush()
+                inside -= e is not element and _is_menu(e)
     flush()
+    if lines[begun:] and lines[-1].endswith(":"):
+        lines.extend(held)  # what the last paragraph announces
+
+
+def _has_prose(element: Element) -> bool:
+    """Whether there's a paragraph or a heading inside."""
+    todo = [element]
+    while todo:
+        e = todo.pop()
+        if e.chars and e.tag in PARAGRAPHS and e.tag not in ("li", "td", "dd"):
+            return True
+        todo.extend(p for p in e.parts if not isinstance(p, str))
+    return False
 
 
 def main_text(html: str | None) -> str:
-    """The article of one page, a line for each block."""
+    """The article of one page, a line for each block.
+
+    The container is the block with the best score, or the ``article`` or ``main`` around it. Without such a one, its
+    siblings are the article's other parts as long as they hold paragraphs or headings and aren't mostly links.
+    """
     if not html:
         return ""
     elements = _walk(parse(html))
@@ -274,8 +308,8 @@ def main_text(html: str | None) -> str:
     for p in best.parent.parts:
         if isinstance(p, str):
             continue
-        plain = p.tag == "p" and (p.chars > 80 and p.density() < 0.25 or p.chars and not p.links)
-        if p is best or plain or p.tag in ("h1", "h2", "h3") or p.points * (1 - p.density()) >= least:
+        part = p.chars and p.density() < 0.25 and _has_prose(p)
+        if p is best or part or p.tag == "p" and p.chars and not p.links or p.tag in ("h1", "h2", "h3") or p.points * (1 - p.density()) >= least:
             _lines(p, lines)
     return "\n".join(lines)
 

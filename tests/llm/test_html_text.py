@@ -58,6 +58,20 @@ def test_article_text_stays():
     assert [x.split()[0] for x in got[5:]] == ["A", "Another", "The"]
 
 
+def test_short_parts_lists_and_boxes_of_an_article():
+    ten = "".join(f"<p>Paragraph {i}, of words, enough to be an article.</p>" for i in range(10))
+    first = [f"Paragraph {i}, of words, enough to be an article." for i in range(10)]
+    for wrap in ("div", "section"):
+        page = f"<div class=wrap><{wrap}>{ten}</{wrap}><{wrap}><h2>Sub</h2><p>Brief.</p></{wrap}><div><a href=a>More</a> <a href=b>Links</a></div></div>"
+        assert html_text.main_text(page).split("\n") == [*first, "Sub", "Brief."]
+    cities = "<ul><li><a href=1>Paris</a><li><a href=2>Lyon</a><li><a href=3>Nice</a></ul>"
+    assert html_text.main_text(f"<article>{cities}{ten}{cities}<p>After.</p>{cities}</article>").split("\n") == [*first, "Paris", "Lyon", "Nice", "After."]
+    assert html_text.main_text(f"<article>{ten}<p>See:</p>{cities}</article>").split("\n") == [*first, "See:", "Paris", "Lyon", "Nice"]
+    assert html_text.main_text(f'<article>{ten}<blockquote class="sidebar">Said.</blockquote><div class="sidebar"><p>Box.</p></div></article>').split("\n") == [*first, "Said."]
+    for name in ("reactions", "discussion", "comments"):
+        assert html_text.main_text(f'<div><div>{ten}</div><div class="{name}"><h3>Readers</h3><p>Great, great, great, I like it.</p></div></div>').split("\n") == first
+
+
 def test_depth_costs_no_more_than_length():
     import time
 
