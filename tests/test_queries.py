@@ -2,7 +2,7 @@
 
 import pytest
 
-from medialake.plans import answer_queries, flow_queries, library_queries, place_queries  # noqa: F401 - register their queries
+from medialake.plans import answer_queries, flow_queries, library_queries, place_queries, view_queries  # noqa: F401 - register their queries
 from medialake.plans.catalogue_queries import ORACLE, QUERIES
 from tests.oracle import SF, compare, connection
 
