@@ -132,7 +132,7 @@ def hamming_pairs(rows: DataFrame, key: str, code: str, most: int = 6, width: in
     return met.where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), "distance")
 
 
-def edited_originals(rows: DataFrame, by: Sequence[str], *, most: int = 18, lag_s: float = 1200.0) -> DataFrame:
+def edited_originals(rows: DataFrame, by: Sequence[str], *, most: int = 6, lag_s: float = 1200.0) -> DataFrame:
     """(by, id, original, distance, latitude, longitude): for pictures without a position, the picture with a reliable one that looks alike and was taken at least ``lag_s`` earlier: the nearest, and of these the latest.
 
     ``rows``: id, kind, code, aligned_s, latitude, longitude, gps_source and the columns of ``by`` (a trip).

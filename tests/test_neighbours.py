@@ -97,7 +97,7 @@ def test_far_codes_and_edited_originals(spark):
         assert len(got) == len(set(got)) and set(got) == expected and (most == 0 or expected)
     media = [(i, rng.choice("pq"), rng.choice(["image"] * 5 + ["video"]), c, rng.choice([None, *range(0, 9000, 600)]), *((1.0, 2.0, rng.choice(["header", "gpx", None])) if rng.random() < 0.6 else (None, None, None))) for i, c in rows]
     df = spark.createDataFrame(media, "id int, trip string, kind string, code long, aligned_s int, latitude double, longitude double, gps_source string")
-    got = {r["id"]: (r["original"], r["distance"]) for r in O.edited_originals(df, ["trip"]).collect()}
+    got = {r["id"]: (r["original"], r["distance"]) for r in O.edited_originals(df, ["trip"], most=18).collect()}
     expected = {}
     for i, trip, kind, c, t, lat, *_ in media:
         fits = [(distance(c, d), -u, j) for j, other, k2, d, u, la, _, g in media if j != i and other == trip and k2 == "image" and la is not None and g != "gpx" and u is not None and t is not None and t - u >= 1200 and distance(c, d) <= 18]
