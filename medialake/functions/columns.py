@@ -30,6 +30,11 @@ def keyword_valid(s: Column) -> Column:
     return F.char_length(s).between(3, 40) & s.rlike("^[a-z0-9-]+( [a-z0-9-]+){0,4}$")
 
 
+def count_keyword_words(text: Column) -> Column:
+    """How many words of a text (between spaces, tabs and line ends) are valid keywords by themselves: one pass, without an array of words."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?<![^\x20\x09-\x0D])[a-z0-9-]{3,40}+(?![^\x20\x09-\x0D])"))
+
+
 def needs_companion(s: Column) -> Column:
     return s.rlike(r"[\p{L}&&[^\x00-\x7F]]")
 

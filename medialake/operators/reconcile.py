@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialake.session import written
+
 
 def stable(size: Column, mtime: Column, old_size: Column, old_mtime: Column, status: Column, content_hash: Column) -> Column:
     return F.coalesce((size == old_size) & (mtime == old_mtime) & (status == "available") & content_hash.isNotNull(), F.lit(False))
@@ -33,7 +35,8 @@ def reconcile(disk: DataFrame, stored: DataFrame) -> DataFrame:
     d, s = disk.select(*[F.col(c).alias(f"d_{c}") for c in disk.columns]), stored.select(*[F.col(c).alias(f"s_{c}") for c in stored.columns])
     w = Window.partitionBy("s_path").orderBy("s_pos")
     s = s.withColumn("_first", F.row_number().over(w))
-    joined = d.join(s, (F.col("d_path") == F.col("s_path")) & (F.col("_first") == 1), "full_outer")
+    # Both joins are written, as several branches go on from them.
+    joined = written(d.join(s, (F.col("d_path") == F.col("s_path")) & (F.col("_first") == 1), "full_outer"), "by-path")
     same_path = F.col("d_path").isNotNull() & F.col("s_id").isNotNull()
     outcome = (
         F.when(stable(F.col("d_size"), F.col("d_mtime"), F.col("s_size"), F.col("s_mtime"), F.col("s_status"), F.col("s_hash")), "stable")
@@ -45,7 +48,7 @@ def reconcile(disk: DataFrame, stored: DataFrame) -> DataFrame:
     # Rows without a hash would all be one key.
     dn = free_disk.where(F.col("d_hash").isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy("d_hash").orderBy("d_pos")))
     sn = free_stored.where(F.col("s_hash").isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy("s_hash").orderBy("s_pos")))
-    hashed = dn.join(sn, (F.col("d_hash") == F.col("s_hash")) & (dn["rn"] == sn["rn"]), "full_outer").drop("rn")
+    hashed = written(dn.withColumnRenamed("rn", "_dn").join(sn.withColumnRenamed("rn", "_sn"), (F.col("d_hash") == F.col("s_hash")) & (F.col("_dn") == F.col("_sn")), "full_outer").drop("_dn", "_sn"), "by-hash")
     renamed = hashed.where(F.col("d_path").isNotNull() & F.col("s_id").isNotNull()).select(F.col("s_id").alias("id"), F.col("d_path").alias("path"), F.lit("renamed").alias("outcome"))
     left_disk, left_stored = hashed.where(F.col("s_id").isNull()).select(free_disk.columns), hashed.where(F.col("d_path").isNull()).select(free_stored.columns)
     left_disk, left_stored = left_disk.unionByName(no_disk), left_stored.unionByName(no_stored)

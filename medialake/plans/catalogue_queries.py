@@ -539,8 +539,7 @@ def json_tolerant(spark, sf_dir):
 
 @query(r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS w FROM documents) WHERE length(w) BETWEEN 3 AND 40 AND regexp_full_match(w, '[a-z0-9-]+') GROUP BY 1")
 def keyword_valid(spark, sf_dir):
-    words = Tables(spark, sf_dir).documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
-    return words.select("doc_id", F.size(F.filter("w", C.keyword_valid)).cast("long").alias("n")).where("n > 0")
+    return Tables(spark, sf_dir).documents.select("doc_id", C.count_keyword_words(F.col("text")).cast("long").alias("n")).where("n > 0")
 
 
 # -- extensions ---------------------------------------------------------------------------------------------------------
