@@ -356,3 +356,82 @@ def visible_custom_label(s: Column) -> Column:
 
 def kind_order(kind: Column) -> Column:
     return F.when(kind == "video", 0).when(kind == "image", 1).otherwise(2)
+
+
+# -- what is shown of a row -------------------------------------------------------------------------------------------------
+def is_trimmed_clip(parent_id: Column) -> Column:
+    return parent_id.isNotNull()
+
+
+def _civil(local: Column, has_zone: Column) -> Column:
+    return F.when(~F.coalesce(has_zone, F.lit(False)) & (local != ""), local)
+
+
+def model_time(at: Column, local: Column, has_zone: Column) -> Column:
+    """A capture time as a model is told: the civil clock where there's no zone, else UTC."""
+    return F.coalesce(_civil(local, has_zone), F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def inspector_time(at: Column, local: Column, has_zone: Column) -> Column:
+    """A capture time as a user sees it: the civil clock where there's no zone, else that of the session's zone."""
+    return F.coalesce(F.replace(_civil(local, has_zone), F.lit("T"), F.lit(" ")), F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+
+
+def app_locale(raw: Column) -> Column:
+    """zh-Hant for any Chinese, else en."""
+    return F.when(F.lower(raw).startswith("zh"), "zh-Hant").otherwise("en")
+
+
+# Models that are no longer offered, and what takes their place.
+RETIRED_MODELS = {
+    "gemini-2.5-flash-lite": "gemini-3.5-flash-lite",
+    "gemini-2.0-flash-lite": "gemini-3.5-flash-lite",
+    "gemini-2.0-flash": "gemini-3.5-flash",
+    "gemini-2.5-flash": "gemini-3.5-flash",
+    "gemini-2.5-pro": "gemini-3.8-flash",
+}
+
+
+def canonical_model(stored: Column, default: Column, retired: dict[str, str] = RETIRED_MODELS) -> Column:
+    """The model that a stored name stands for; the default for a blank one."""
+    name = F.coalesce(F.nullif(F.trim(stored), F.lit("")), default)
+    known = F.create_map(*[F.lit(x) for pair in retired.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
+def custom_tags(raw: Column) -> Column:
+    """Array of (category, value, source) of a user's text of custom tags."""
+    return F.transform(split_custom_tags(raw), lambda v: F.struct(F.lit("custom").alias("category"), v.alias("value"), F.lit("user").alias("source")))
+
+
+def reached_out_point(current: Column, end: Column) -> Column:
+    return current >= end - 0.001
+
+
+def loop_playhead(current: Column, start: Column, end: Column) -> Column:
+    """The in point, if playback has left the range, else null."""
+    lower, upper = F.least(start, end), F.greatest(start, end)
+    return F.when((current < lower - 0.02) | reached_out_point(current, upper), lower)
+
+
+def uri_list(paths: Column) -> Column:
+    """An array of paths as file URIs, each on a line of its own."""
+    encoded = lambda p: F.replace(F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    return F.concat(F.array_join(F.transform(paths, lambda p: F.concat(F.lit("file://"), encoded(p))), "\r\n"), F.lit("\r\n"))
+
+
+def tone_flags(pixels: Column) -> Column:
+    """Struct bw, vivid, warm, cool, dark of an array of pixels (r, g, b from 0 to 1)."""
+    sums = F.aggregate(
+        pixels, F.struct(*[F.lit(0.0).alias(c) for c in ("r", "g", "b", "s")]),
+        lambda a, p: F.struct(
+            (a["r"] + p["r"]).alias("r"), (a["g"] + p["g"]).alias("g"), (a["b"] + p["b"]).alias("b"),
+            (a["s"] + F.when(F.greatest(p["r"], p["g"], p["b"]) > 0, 1 - F.least(p["r"], p["g"], p["b"]) / F.greatest(p["r"], p["g"], p["b"])).otherwise(0.0)).alias("s"),
+        ),
+    )
+    mean = {c: sums[c] / F.size(pixels) for c in ("r", "g", "b", "s")}
+    flags = {
+        "bw": mean["s"] < 0.08, "vivid": mean["s"] > 0.40, "warm": (mean["r"] > mean["b"] + 0.08) & (mean["r"] > 0.25), "cool": (mean["b"] > mean["r"] + 0.08) & (mean["b"] > 0.25),
+        "dark": (mean["r"] + mean["g"] + mean["b"]) / 3 < 0.15,
+    }
+    return F.when(F.size(pixels) > 0, F.struct(*[v.alias(k) for k, v in flags.items()]))
