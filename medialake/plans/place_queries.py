@@ -87,10 +87,12 @@ SELECT u AS user_id, o.a AS start_us, o.z AS end_us, CAST(floor(o.la * 1e6 + 0.2
 def stay_stream_final(spark, sf_dir):
     """The stays of an event stream that are final once all of the table has arrived: what its stream has put out."""
     events = f"{sf_dir}/events.parquet"
+    own = spark.newSession()  # the caller's settings stay as they are
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = f"{shared_dir(spark)}/stay-stream-{uuid.uuid4().hex}"
     d = F.col("event_id")
     lat = F.lit(40.0) + F.floor(F.day("ts") / 3) % 4 * F.lit(0.02) + d % 3 * F.lit(0.001) + F.when(d % 17 == 0, 0.01).otherwise(0.0)
-    rows = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{sf_dir}/events*.parquet")
+    rows = own.readStream.schema(spark.read.parquet(events).schema).parquet(f"{sf_dir}/events*.parquet")
     points = rows.select("user_id", F.col("ts").cast("timestamp"), lat.alias("lat"), (F.lit(20.0) + d % 2 * F.lit(0.001)).alias("lon"), F.lit(None).cast("double").alias("alt"))
     found = stay_stream(points, ["user_id"], late="1 day", idle_s=3 * 86400.0)
     running = found.writeStream.format("parquet").option("path", f"{at}/stays").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
