@@ -84,18 +84,20 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
+        try:
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
             if len(known) > MEMO:
                 known.clear()
-                new = list(set(words))
+            new = [w for w in set(words) if w not in known]
             known.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist()))
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.width, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = (out ^ (out >> _U(29))) * _ODD + h[i : i + len(out)]
-        return np.unique(mix(out))
+        out = np.sort(mix(out))
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(s: np.ndarray) -> int:
@@ -129,14 +131,12 @@ class Bands:
 
 def _blocks(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """XOR and number of the shingles in each of ``n`` blocks."""
-    h = mix(s + _U(salt * int(_ODD) & (1 << 64) - 1))
-    where = ((h >> _U(32)) * _U(n)) >> _U(32)
-    order = np.argsort(where, kind="stable")
-    where = where[order].astype(np.int64)
+    h = np.sort(mix(s + _U(salt * int(_ODD) & (1 << 64) - 1)))
+    where = (((h >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)  # grows with the hash, so its order is theirs
     values = np.zeros(n, np.uint64)
     counts = np.bincount(where, minlength=n)
     first = np.flatnonzero(np.diff(where, prepend=-1))
-    values[where[first]] = np.bitwise_xor.reduceat(h[order], first)
+    values[where[first]] = np.bitwise_xor.reduceat(h, first)
     return values, counts
 
 
