@@ -87,3 +87,33 @@ def compact_json(v: Column) -> Column:
     plain = F.replace(F.to_json(v), F.lit("/"), F.lit("\\/"))
     spaced = F.regexp_replace(plain, F.lit(_BEFORE + "([,:])"), F.lit("$1$2 "))
     return F.regexp_replace(spaced, F.lit(r'("(?:[^"\\]|\\.)*+")|(?<![0-9.])(-?[0-9]++)\.0++(?![0-9eE])'), F.lit("$1$2"))
+
+
+# -- captures as they're stored -------------------------------------------------------------------------------------------
+_NUMBERS = {"captured_s": "capturedAt", "latitude": "latitude", "longitude": "longitude", "altitude": "altitude"}
+_TEXTS = {"captured_local": "capturedAtLocal", "captured_source": "capturedAtSource", "gps_source": "gpsSource"}
+
+
+def capture_json(capture: Column) -> Column:
+    """A capture (struct captured_s, captured_local, has_zone, captured_source, latitude, longitude, altitude, gps_source) as JSON; absent parts are left out, as is a position that can't be.
+
+    Null if nothing is left.
+    """
+    usable = C.usable_gps(capture["latitude"], capture["longitude"])
+    places = ("latitude", "longitude", "altitude", "gps_source")
+    value = lambda c: F.when(usable, capture[c]) if c in places else F.nullif(capture[c], F.lit("")) if c in _TEXTS else capture[c]
+    fields = {name: value(c) for c, name in (_NUMBERS | _TEXTS).items()} | {"capturedAtHasTimeZone": F.when(capture["has_zone"], True)}
+    return F.nullif(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])), F.lit("{}"))
+
+
+def stored_capture(text: Column) -> Column:
+    """The capture that :func:`capture_json` wrote, or anything like it: parts of another kind are null; a position without a source comes from the header."""
+    v = F.try_parse_json(text)
+    number = lambda n: F.when(_kind(field(v, n)).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, f"$.{n}", "double"))
+    word = lambda n: F.when(is_string(field(v, n)), F.try_variant_get(v, f"$.{n}", "string"))
+    parts = {c: number(n) for c, n in _NUMBERS.items()} | {c: word(n) for c, n in _TEXTS.items()}
+    zone = F.coalesce(F.try_variant_get(v, "$.capturedAtHasTimeZone", "boolean"), F.lit(False))
+    source = F.coalesce(parts["gps_source"], F.when(C.usable_gps(parts["latitude"], parts["longitude"]), "header"))
+    named = parts | {"has_zone": zone, "gps_source": source}
+    order = ("captured_s", "captured_local", "has_zone", "captured_source", "latitude", "longitude", "altitude", "gps_source")
+    return F.struct(*[named[c].alias(c) for c in order])

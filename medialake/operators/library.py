@@ -117,23 +117,33 @@ def catalogue_names(catalogue: DataFrame) -> DataFrame:
     return keyed.groupBy("name").agg(F.min(F.struct("ord", "category", "tag", "english")).alias("m")).select("name", "m.category", "m.tag", "m.english")
 
 
-def expand_tags(tags: DataFrame, catalogue: DataFrame, glossary: DataFrame, keys: Sequence[str]) -> DataFrame:
+def expand_tags(tags: DataFrame, catalogue: DataFrame, glossary: DataFrame, keys: Sequence[str], *, dictionary: DataFrame | None = None, english: bool = True) -> DataFrame:
     """Tags (``keys``, category, value, source) with what they stand for, once each by the best source.
 
     A custom tag gains its glossary counterparts and, if a catalogue entry has its
-    name, that entry and its English keyword; a catalogue tag its English keyword.
+    name, that entry and its English keyword; one with letters beyond ASCII and neither an entry nor a counterpart without such letters
+    gains its words in ``dictionary`` (word, english). A catalogue tag gains its English keyword, unless ``english`` is false.
     """
     both = glossary.select(C.stock_keyword(F.col("a")).alias("w"), F.col("b").alias("o")).unionByName(glossary.select(C.stock_keyword(F.col("b")).alias("w"), F.col("a").alias("o"))).distinct()
     custom = tags.where(F.col("category") == "custom").withColumn("w", C.stock_keyword(F.col("value")))
-    counterparts = custom.join(both, "w").select(*keys, F.lit("custom").alias("category"), F.col("o").alias("value"), "source")
+    met = custom.join(both, "w")
+    counterparts = met.select(*keys, F.lit("custom").alias("category"), F.col("o").alias("value"), "source")
     found = custom.join(catalogue_names(catalogue).toDF("w", "_category", "_tag", "_english"), "w")
     entries = found.select(*keys, F.col("_category").alias("category"), F.col("_tag").alias("value"), "source")
-    english = found.where(C.stock_keyword(F.col("_english")) != F.lower("value")).select(*keys, F.lit("custom").alias("category"), C.stock_keyword(F.col("_english")).alias("value"), "source")
-    presets = catalogue.select("category", F.col("tag").alias("value"), C.stock_keyword(F.try_element_at("names", F.lit("en"))).alias("_english"))
-    named = tags.join(presets, ["category", "value"]).where("_english <> ''").select(*keys, F.lit("custom").alias("category"), F.col("_english").alias("value"), "source")
+    named = found.where(C.stock_keyword(F.col("_english")) != F.lower("value")).select(*keys, F.lit("custom").alias("category"), C.stock_keyword(F.col("_english")).alias("value"), "source")
+    more = [counterparts, entries, named]
+    if dictionary is not None:
+        foreign = custom.where(C.needs_companion(F.col("value")))
+        latin = met.where(~C.needs_companion(F.col("o"))).select("w").distinct()
+        bare = foreign.join(found.select("w").distinct(), "w", "left_anti").join(latin, "w", "left_anti")
+        looked = dictionary_words(bare.select("w").distinct(), "w", "w", dictionary)
+        more.append(bare.join(looked, "w").select(*keys, F.lit("custom").alias("category"), F.col("english").alias("value"), "source"))
+    if english:
+        presets = catalogue.select("category", F.col("tag").alias("value"), C.stock_keyword(F.try_element_at("names", F.lit("en"))).alias("_english"))
+        more.append(tags.join(presets, ["category", "value"]).where("_english <> ''").select(*keys, F.lit("custom").alias("category"), F.col("_english").alias("value"), "source"))
     every = tags.select(*keys, "category", "value", "source")
-    for more in (counterparts, entries, english, named):
-        every = every.unionByName(more)
+    for df in more:
+        every = every.unionByName(df)
     return every.groupBy(*keys, "category", "value").agg(F.min_by("source", C.source_rank(F.col("source"))).alias("source"))
 
 
