@@ -13,10 +13,13 @@ really begins in. A history of any length is many tasks' work.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from statistics import median
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,43 +37,77 @@ def metres(a: float, b: float, c: float, d: float) -> float:
 
 #: Points of a block.
 BLOCK = 4096
-#: States: how far back the last kept point lies (one or two points) and whether its run has more than one.
-_STATES = [(1, False), (1, True), (2, False), (2, True)]
+#: States: how far back the last kept point lies (one or two points) and whether its run has more than one. 0: no point yet.
+_STATES = [None, (1, False), (1, True), (2, False), (2, True)]
+_KEEP, _SKIP, _RESTART, _JUMP = range(4)
+
+
+def _step(near: tuple, state: tuple[int, bool] | None) -> tuple[int, tuple[int, bool]]:
+    """What becomes of a point, and the state after it. ``near``: whether it's in reach of the first and second point before it, and the next one of the first, second and third before that."""
+    if state is None:
+        return _KEEP, (1, False)
+    back, more = state
+    if near[back - 1]:
+        return _KEEP, (1, True)
+    if near[back + 2]:
+        return _SKIP, (2, more)
+    if not more and near[2]:
+        return _RESTART, (1, False)
+    return _JUMP, (1, False)
+
+
+#: Of the five bits of ``near`` and a state: the state after a point and, times eight, what becomes of it.
+_AFTER = np.array([[_STATES.index(state) + 8 * what for what, state in (_step(tuple(bits >> i & 1 for i in range(5)), s) for s in _STATES)] for bits in range(32)])
+#: The same where a jump doesn't end a run.
+_AFTER_KEPT = np.where(_AFTER >> 3 == _JUMP, _STATES.index((1, True)), _AFTER)
 
 
 class _Walk:
-    """The steps over a block's points, with two points before it and three after, from a given state."""
-
-    def __init__(self, values: list[tuple], reach, on_jump: bool):
-        n = len(values)
-        self.n, self.on_jump = n, on_jump
-        # Whether a point is in reach of the one 1, 2 or 3 before it.
-        self.near = [[], *[[i >= d and reach(values[i - d], values[i]) for i in range(n)] for d in (1, 2, 3)]]
-
-    def step(self, i: int, state: tuple[int, bool] | None) -> tuple[str, tuple[int, bool]]:
-        """What becomes of point ``i``, and the state after it."""
-        if state is None:
-            return "keep", (1, False)
-        back, more = state
-        ahead = i + 1 < self.n
-        if self.near[back][i]:
-            return "keep", (1, True)
-        if ahead and self.near[back + 1][i + 1]:
-            return "skip", (2, more)
-        if not more and ahead and self.near[1][i + 1]:
-            return "restart", (1, False)
-        return ("jump", (1, False)) if self.on_jump else ("keep", (1, True))
-
-
-def hop(a: tuple, b: tuple) -> bool:
-    """Whether a camera gets from one (seconds, latitude, longitude) to another: at most 300 m/s, 2 km in a short time; always without times."""
-    if any(x is None or math.isnan(x) for x in (*a[1:], *b[1:])):
-        return False
-    d = metres(a[1], a[2], b[1], b[2])
-    if d < 1 or any(t is None or t != t for t in (a[0], b[0])):
-        return True
-    s = abs(b[0] - a[0])
-    return d <= 2000 if s <= 0.75 else d / s <= 300
+    """The steps over the points of many blocks, one after the other, each with two points before it and three after."""
+
+    def __init__(self, table: pa.Table, position: list[str], reach, on_jump: bool, block: int):
+        at, of = table["_at"].to_numpy(), table["_block"].to_numpy()
+        n = len(at)
+        # A block's points are numbered without gaps, so another one begins where they aren't.
+        starts = np.ones(n, bool)
+        starts[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+        self.segment = np.cumsum(starts) - 1
+        inside = np.arange(n) - np.flatnonzero(starts)[self.segment]
+        self.own, self.late, self.entry = at // block == of, at >= of * block, np.flatnonzero(at == of * block)
+        self.first, self.after = at[self.entry] == 0, _AFTER if on_jump else _AFTER_KEPT
+        values = [table[c].to_numpy() for c in position]
+        near = np.zeros((4, n + 1), bool)
+        for d in (1, 2, 3):
+            near[d, d:n] = np.asarray(reach([v[:-d] for v in values], [v[d:] for v in values]), bool) if n > d else False
+            near[d, :n] &= inside >= d
+        # The next point, if it's of the same block.
+        ahead = near[:, 1:] & ~np.append(starts[1:], True)
+        self.bits = near[1, :n] + 2 * near[2, :n] + 4 * ahead[1] + 8 * ahead[2] + 16 * ahead[3]
+
+    def steps(self, states) -> tuple[np.ndarray, np.ndarray]:
+        """What becomes of each point, and the state after it, if the blocks begin in ``states``."""
+        codes = self.bits.copy()
+        codes[self.entry] = 32 + self.after[self.bits[self.entry], np.where(self.first, 0, states)]
+        table = [*self.after.tolist(), *([x] * len(_STATES) for x in range(32))]
+        out, x = [], 0
+        for code in codes.tolist():
+            x = table[code][x & 7]
+            out.append(x)
+        found = np.array(out, np.int64)
+        return found >> 3, found & 7
+
+
+def _metres(a, b, c, d) -> np.ndarray:
+    a, b, c, d = (np.radians(x) for x in (a, b, c, d))
+    return 2 * R * np.arcsin(np.minimum(1.0, np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2)))
+
+
+def hop(a: Sequence, b: Sequence) -> np.ndarray:
+    """Whether a camera gets from one (seconds, latitude, longitude) to another, or from each of many: at most 300 m/s, 2 km in a short time; always without times."""
+    (t, *here), (u, *there) = ([np.asarray(x, float) for x in p] for p in (a, b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d, s = _metres(*here, *there), np.abs(u - t)
+        return ~np.isnan(d) & ((d < 1) | np.isnan(t) | np.isnan(u) | np.where(s <= 0.75, d <= 2000, d / s <= 300))
 
 
 def within(most: float):
@@ -78,81 +115,99 @@ def within(most: float):
     return lambda a, b: abs(a[0] - b[0]) <= most
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, cut between blocks: the last block of a batch waits for its other rows."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        at, of = table["_at"].to_numpy(), table["_block"].to_numpy()
+        cuts = np.flatnonzero((at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])) + 1
+        if len(cuts):
+            yield table.slice(0, cuts[-1]).combine_chunks()
+        rest = table.slice(cuts[-1]).combine_chunks() if len(cuts) else table
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _walked(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach, on_jump: bool, block: int) -> DataFrame:
-    """The rows with ``_run``: the number of a kept point's run, null for a dropped one."""
+    """The kept rows with ``_run``, the number of a point's run.
+
+    A task walks its blocks in one go, however small they are. Histories of more than a block are walked twice.
+    """
     placed = numbered(rows, by, [F.col(c).asc_nulls_last() for c in order], "_at")
     own = F.floor(F.col("_at") / block)
     last, first = F.col("_at") % block >= block - 2, F.col("_at") % block < 3
     blocks = F.array_compact(F.array(own, F.when(last, own + 1), F.when(first & (own > 0), own - 1)))
     dealt = written(placed.withColumn("_block", F.explode(blocks)), "blocks")
-    keys, columns = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), rows.columns
-
-    def walk(df: pd.DataFrame) -> tuple[_Walk, pd.DataFrame, int, int]:
-        df = df.sort_values("_at", kind="stable")
-        values = list(zip(*(df[c].tolist() for c in position)))
-        mine = (df["_at"] // block == df["_block"]).to_numpy().nonzero()[0]
-        return _Walk(values, reach, on_jump), df, int(mine[0]) if len(mine) else 0, int(mine[-1]) + 1 if len(mine) else 0
-
-    def outcomes(df: pd.DataFrame) -> pd.DataFrame:
-        w, df, lo, hi = walk(df)
-        if lo == hi:
-            return pd.DataFrame([], columns=[*by, "_block", "_to", "_jumps"])
-        to, jumps = [], []
-        for state in [None, *_STATES]:
-            n = 0
-            for i in range(lo, hi):
-                what, state = w.step(i, state)
-                n += what == "jump"
-            to.append(_STATES.index(state))
-            jumps.append(n)
-        return pd.DataFrame([[*(df[c].iloc[0] for c in by), df["_block"].iloc[0], to, jumps]], columns=[*by, "_block", "_to", "_jumps"])
+    keys, columns = [rows.schema[c] for c in by], rows.columns
+    together = lambda df: df.repartition(*by, "_block").sortWithinPartitions(*by, "_block", "_at")
+    named = lambda df: df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in df.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    found_schema = T.StructType([*keys, T.StructField("_block", T.LongType()), T.StructField("_to", T.ArrayType(T.LongType())), T.StructField("_jumps", T.ArrayType(T.LongType()))])
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        to = to_arrow_schema(found_schema)
+        for table in _in_blocks(batches):
+            w = _Walk(table, position, reach, on_jump, block)
+            ends = np.flatnonzero(w.own)
+            ends = ends[np.append(w.segment[ends][1:] != w.segment[ends][:-1], True)] if len(ends) else ends
+            after, jumps = [], []
+            for state in range(len(_STATES)):
+                what, left = w.steps(state)
+                after.append(left[ends])
+                jumps.append(np.bincount(w.segment, (what == _JUMP) & w.own, w.segment[-1] + 1)[w.segment[ends]].astype(np.int64))
+            lists = [pa.array(list(np.array(x).T), pa.list_(pa.int64())) for x in (after, jumps)]
+            held = table.select([*by, "_block"]).take(pa.array(ends)).columns
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks().cast(f.type) for c, f in zip(held, to)], *[x.cast(to.field(i).type) for x, i in zip(lists, (-2 + len(to), -1 + len(to)))]], schema=to)
 
     def begins(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("_block")
         state, runs, out = 0, 0, []
-        for to, jumps in df.sort_values("_block")[["_to", "_jumps"]].itertuples(index=False):
+        for to, jumps in df[["_to", "_jumps"]].itertuples(index=False):
             out.append((state, runs))
-            state, runs = int(to[state]) + 1, runs + int(jumps[state])
-        return df.sort_values("_block")[[*by, "_block"]].assign(_state=[s for s, _ in out], _runs=[r for _, r in out])
-
-    found = written(dealt.groupBy(*by, "_block").applyInPandas(outcomes, f"{keys}, _block long, _to array<int>, _jumps array<long>"), "outcomes")
-    known = found.groupBy(*by).applyInPandas(begins, f"{keys}, _block long, _state int, _runs long")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
-    entry = known.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), "_state", "_runs")
-    on = F.col("_block") == F.col("_b")
-    for c in same:
-        on = on & c
-    entered = dealt.join(entry, on).select(*dealt.columns, "_state", "_runs")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_run", T.LongType())])
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        w, df, lo, hi = walk(df)
-        state = [None, *_STATES][int(df["_state"].iloc[0])]
-        run, runs = int(df["_runs"].iloc[0]), []
-        for i in range(lo, min(hi + 2, w.n)):
-            back = state[0] if state else 0
-            what, state = w.step(i, state)
-            if what == "restart" and i - back >= lo:
-                runs[i - back - lo] = None
-            run += what == "jump"
-            runs.append(None if what == "skip" else run)
-        out = df.iloc[lo:hi][columns].copy()
-        out["_run"] = pd.array(runs[: hi - lo], dtype="Int64")
-        return out
-
-    return entered.groupBy(*by, "_block").applyInPandas(fold, schema)
+            state, runs = int(to[state]), runs + int(jumps[state])
+        return df[[*by, "_block"]].assign(_state=[s for s, _ in out], _runs=[r for _, r in out])
+
+    long = written(dealt.where((F.col("_at") == block) & (F.col("_block") == 1)).select(*by), "long")
+    if long.isEmpty():
+        entered = dealt.withColumns({"_state": F.lit(0).cast("long"), "_runs": F.lit(0).cast("long")})
+    else:
+        found = written(together(dealt.join(named(long), same, "left_semi")).mapInArrow(outcomes, found_schema), "outcomes")
+        known = found.groupBy(*by).applyInPandas(begins, T.StructType([*found_schema.fields[:-2], T.StructField("_state", T.LongType()), T.StructField("_runs", T.LongType())]))
+        entry = written(named(known.withColumnRenamed("_block", "_b")), "entries")
+        entered = dealt.join(entry, same & (F.col("_block") == F.col("_b")), "left").select(*dealt.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_state", "_runs")])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _in_blocks(batches):
+            w = _Walk(table, position, reach, on_jump, block)
+            what, after = w.steps(table["_state"].to_numpy()[w.entry])
+            kept = w.own & (what != _SKIP)
+            again = np.flatnonzero((what == _RESTART) & w.late)
+            again = again[~np.isin(again, w.entry)]
+            kept[again - np.where(after[again - 1] > 2, 2, 1)] = False
+            jumps = (what == _JUMP) & w.own
+            runs = np.cumsum(jumps)
+            before = np.zeros(w.segment[-1] + 1, np.int64)
+            before[w.segment[w.entry]] = runs[w.entry] - jumps[w.entry]
+            run = table["_runs"].to_numpy() + runs - before[w.segment]
+            yield from table.select(columns).append_column("_run", pa.array(run, pa.int64())).filter(pa.array(kept)).to_batches()
+
+    return together(entered).mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("_run", T.LongType())]))
 
 
 def drop_spikes(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop, block: int = BLOCK) -> DataFrame:
     """Drops a point out of reach of the last kept one if the next is within its reach, and a bad first point.
 
-    ``position`` names what ``reach`` is given of two points: (seconds, latitude, longitude) for :func:`hop`.
+    ``position`` names what ``reach`` is given of points and of others, as arrays: (seconds, latitude, longitude) for :func:`hop`.
     """
-    return _walked(rows, by, order, position, reach, False, block).where("_run IS NOT NULL").drop("_run")
+    return _walked(rows, by, order, position, reach, False, block).drop("_run")
 
 
 def plausible_runs(rows: DataFrame, by: list[str], order: list[str], position: list[str], reach=hop, block: int = BLOCK) -> DataFrame:
     """As :func:`drop_spikes`, but any other jump begins a new ``run``; runs of one point go unless there is no other (then the last one stays)."""
-    walked = written(_walked(rows, by, order, position, reach, True, block).where("_run IS NOT NULL"), "walked")
+    walked = written(_walked(rows, by, order, position, reach, True, block), "walked")
     sizes = walked.groupBy(*by, "_run").agg(F.count("*").alias("_n"))
     of_group = sizes.groupBy(*by).agg(F.max("_n").alias("_most"), F.max("_run").alias("_last"))
     same = lambda columns: reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])

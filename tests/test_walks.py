@@ -61,3 +61,15 @@ def test_positions_without_time_or_place(spark):
     rows = spark.createDataFrame([("t", 0, 0.0, 10.0, 10.0), ("t", 1, None, 40.0, 10.0), ("t", 2, 20.0, 10.0, None), ("t", 3, 30.0, 40.0, 10.0)], "k string, i int, s double, lat double, lon double")
     assert sorted(r["i"] for r in Q.drop_spikes(rows, ["k"], ["i"], ["s", "lat", "lon"], block=3).collect()) == [0, 1, 3]
     assert Q.plausible_runs(rows.limit(0), ["k"], ["i"], ["s", "lat", "lon"]).count() == 0
+
+
+@pytest.mark.parametrize("records", [2, 10_000])
+def test_many_short_histories_share_a_call(spark, records):
+    """Groups of a few points come by the batch, not by a call each, and batches may end anywhere in them."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    groups = {k: line(k, 1 + k % 9 if k else 60) for k in range(50)}
+    rows = own.createDataFrame([(k, i, v) for k, vs in groups.items() for i, v in enumerate(vs)], "k int, i int, v double").repartition(3)
+    kept = Q.drop_spikes(rows, ["k"], ["i"], ["v"], Q.within(10.0), 16)
+    assert "InPandas" not in kept._jdf.queryExecution().toString()
+    assert {(r["k"], r["i"]) for r in kept.collect()} == {(k, i) for k, vs in groups.items() for i, x in enumerate(loop([(v,) for v in vs], Q.within(10.0), False)) if x is not None}
