@@ -59,6 +59,8 @@ MEMO = 400_000
 ID_BITS = 1 << 23, 1 << 28
 #: Members of a key that are compared directly; more go by their rarest shingles.
 GROUP = 1000
+#: Of a key with more members, only pairs that join parts of it are verified, in ``ROUNDS`` rounds at most before all others are.
+SPARE, ROUNDS = 64, 3
 #: For each so many pairs, a class's pairs are dealt to one part more.
 PAIRS = 50_000
 
@@ -366,46 +368,89 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc
     return rows.mapInArrow(run, schema).toDF("a", "b").distinct()
 
 
-def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
-    """Pairs (a, b: digests) of different components that meet in a key and may link by their sizes and short sketches.
+def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY, spare: int | None = SPARE) -> DataFrame:
+    """(key, a, b): digests of different components that meet in a key and may link by their sizes and short sketches.
 
-    ``members``: (key, digest, component as long, n, sketch), at most ``GROUP`` of a key, sorted by key within partitions that keep a key together.
+    Of a key with more than ``spare`` members, a pair is left out if others of the key join its two members, so there are fewer
+    pairs than members. ``members``: (key, digest, component as long, n, sketch, never: digests that it doesn't link with), at most
+    ``GROUP`` of a key, sorted by key within partitions that keep a key together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(keys, columns):
-            a, b = [], []
-            edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(1 << 62) else keys[0] + 1))
-            d, c, n, s = columns
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            at, a, b = [], [], []
+            keys, d, c, n = (table.column(i).to_numpy() for i in range(4))
+            s = table.column(4).combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(len(keys), -1)
+            never, edges = table.column(5), np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)]):
+                part, few = c[lo:hi].copy(), spare is not None and hi - lo > spare
                 for i in range(lo, hi - 1):
                     j = slice(i + 1, hi)
                     most = (q - p) * (n[i] + n[j]) // (q + p)
-                    near = np.flatnonzero((c[j] != c[i]) & (np.abs(n[j] - n[i]) <= most))
+                    near = np.flatnonzero((part[i + 1 - lo :] != part[i - lo]) & (np.abs(n[j] - n[i]) <= most))
                     if len(near):
                         near += i + 1
                         near = near[like.arrays(s, i, near, most[near - i - 1])]
+                    if len(near) and (no := never[i].as_py()):
+                        near = near[~np.isin(d[near], no)]
+                    if len(near) and few:
+                        joined, first = np.unique(part[near - lo], return_index=True)
+                        near = near[first]
+                        part[np.isin(part, joined)] = part[i - lo]
+                    if len(near):
+                        at.append(np.full(len(near), keys[i]))
                         a.append(np.full(len(near), d[i]))
                         b.append(d[near])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            at, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, a, b))
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
 
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [batch.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(len(keys), -1)]
-            if rest is not None:
-                keys, columns = np.concatenate([rest[0], keys]), [np.concatenate(x) for x in zip(rest[1], columns)]
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            keys = table.column(0).to_numpy()
             whole = int(np.searchsorted(keys, keys[-1]))  # where the last key, which may go on, begins
             if whole:
-                yield pairs(keys[:whole], [x[:whole] for x in columns])
-            rest = keys[whole:], [x[whole:] for x in columns]
+                yield pairs(table.slice(0, whole))
+            rest = table.slice(whole)
         if rest is not None:
-            yield pairs(*rest)
+            yield pairs(rest)
+
+    return members.select("key", "digest", "component", "n", "sketch", "never").mapInArrow(run, "key long, a long, b long")
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+
+def _joined(documents: DataFrame, classes: DataFrame, labels: DataFrame, links: DataFrame, groups: DataFrame, *, like: Likeness, **how) -> DataFrame:
+    """The components (id, label) of ``links`` and of what links in ``groups`` (key, digest, m).
+
+    A group whose pairs all link is done: they join all that may link in it. Where some don't, the group is gone through
+    again without them; the last round has all pairs that are left.
+    """
+    never = None
+    ids = classes.select("digest", "id")
+    for left in reversed(range(ROUNDS)):
+        of_class = classes.join(labels, "id", "left").select("digest", "n", "sketch", F.xxhash64(F.coalesce("label", "id")).alias("component"))
+        members = groups.select("key", "digest").join(of_class, "digest")
+        if never is None:
+            members = members.withColumn("never", F.array().cast("array<long>"))
+        else:
+            members = members.join(never.groupBy(F.col("a").alias("digest")).agg(F.collect_set("b").alias("never")), "digest", "left")
+        met = written(_compared(members.repartition("key").sortWithinPartitions("key"), how["p"], how["q"], like, SPARE if left else None), "compared")
+        more = written(_verified(documents, classes, met.select("a", "b").distinct(), like=like, **how), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        if not left or groups.where(F.col("m") > SPARE).isEmpty():
+            break
+        large = met.join(groups.where(F.col("m") > SPARE).select("key").distinct(), "key", "left_semi")
+        named = large.join(ids.toDF("a", "ida"), "a").join(ids.toDF("b", "idb"), "b")
+        failed = written(named.join(more.toDF("ida", "idb"), ["ida", "idb"], "left_anti").select("key", "a", "b"), "failed")
+        if failed.isEmpty():
+            break
+        both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        never = both if never is None else never.unionByName(both)
+        groups = written(groups.join(failed.select("key").distinct(), "key", "left_semi"), "groups")
+    return labels
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -451,21 +496,22 @@ def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame
     same = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same).where(F.col("lo") != F.col("hi")).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
     unsure = written(members.join(open_keys.select("key", "m"), "key"), "unsure")
-    few = unsure.where(F.col("m") <= GROUP).select("key", "digest", F.xxhash64("component").alias("component")).join(classes.select("digest", "n", "sketch"), "digest")
-    compared = _compared(few.select("key", "digest", "component", "n", "sketch").repartition("key").sortWithinPartitions("key"), p, q, like)
+    groups = unsure.where(F.col("m") <= GROUP).select("key", "digest", "m")
     many = written(unsure.where(F.col("m") > GROUP).select("digest", "component").distinct().join(classes, "digest"), "unsure-many")
     if not many.isEmpty():
-        compared = compared.unionByName(_by_prefix(documents, many, like=like, **how)).distinct()
-    more = written(_verified(documents, classes, compared, like=like, **how), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        prefix = _prefixes(documents, many, **how)
+        sizes = prefix.groupBy("shingle").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+        groups = groups.unionByName(_dealt(prefix.join(sizes, "shingle")))
+    groups = written(groups, "groups")
+    if not groups.isEmpty():
+        labels = _joined(documents, classes, labels, links, groups, like=like, **how)
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = sketched.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
-    """Pairs of digests of different components that share one of their rarest shingles."""
+def _prefixes(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
+    """The rarest shingles of the classes, of which linked ones share one at least: ``shingle`` and the columns of ``unsure`` without ``id``."""
     texts = _texts_of(documents, unsure.select("id", "digest"), doc_id, text).drop("doc_id").join(unsure.select("digest", "component", "n"), "digest").select("text", "digest", "component", "n")
     schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
 
@@ -486,12 +532,16 @@ def _by_prefix(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: st
     most = F.floor(F.lit(q - p) * (F.col("n") + F.floor(F.lit(q) * F.col("n") / F.lit(p))) / F.lit(q + p)).cast("int")
     rarest = each.join(frequency.where(F.col("df") > 1), "shingle", "left").groupBy("digest", "component", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
     prefix = rarest.select("digest", "component", "n", F.explode(F.slice("s", F.lit(1), most + 1)).alias("x")).where(F.col("x.df") > 1).select("digest", "component", "n", F.col("x.shingle").alias("shingle"))
-    prefix = written(prefix.join(unsure.select("digest", "sketch"), "digest"), "prefixes")
-    left = prefix.select("shingle", *[F.col(c).alias(f"a_{c}") for c in prefix.columns if c != "shingle"])
-    right = prefix.select("shingle", *[F.col(c).alias(f"b_{c}") for c in prefix.columns if c != "shingle"])
-    near = (F.col("a_component") < F.col("b_component")) & (F.lit(q) * F.least("a_n", "b_n") >= F.lit(p) * F.greatest("a_n", "b_n"))
-    near &= like.columns(F.col("a_sketch"), F.col("b_sketch"), F.floor(F.lit(q - p) * (F.col("a_n") + F.col("b_n")) / F.lit(q + p)))
-    return left.join(right, "shingle").where(near).select(F.least("a_digest", "b_digest").alias("a"), F.greatest("a_digest", "b_digest").alias("b")).distinct()
+    return written(prefix.join(unsure.select("digest", "sketch"), "digest"), "prefixes")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(key, digest, m) from (shingle, digest, m): a shingle of more than ``GROUP`` classes is dealt to parts of half that, of which any two make a group."""
+    parts = F.when(F.col("m") > GROUP, F.ceil(2 * F.col("m") / GROUP)).otherwise(1)
+    own = F.pmod(F.xxhash64("digest"), F.col("_parts"))
+    at = members.withColumn("_parts", parts.cast("long")).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    key = F.xxhash64("shingle", F.least("_own", "_with"), F.greatest("_own", "_with"))
+    return at.select(key.alias("key"), "digest", F.least("m", F.lit(GROUP)).alias("m"))
 
 
 def jaccard_report(documents: DataFrame) -> DataFrame:

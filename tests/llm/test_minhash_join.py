@@ -43,6 +43,16 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(report(spark, texts)) == sorted((d, n, c, d == c) for d, (n, c) in expected.items())
 
 
+def test_a_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """Members of many components that all link: pairs of them are fewer than members, not their square; those that don't link are gone through again."""
+    one = [(7, d, d, 100, [5] * 64, []) for d in range(200)]
+    members = spark.createDataFrame(one, "key long, digest long, component long, n long, sketch array<long>, never array<long>").coalesce(1).sortWithinPartitions("key")
+    assert pj._compared(members, 85, 100, mj.likeness(23)).count() == 199
+    assert pj._compared(members, 85, 100, mj.likeness(23), None).count() == 200 * 199 // 2
+    monkeypatch.setattr(pj, "SPARE", 2)
+    test_a_large_group_of_near_copies(spark, monkeypatch)
+
+
 def test_rows_without_id_repeated_rows_and_no_rows(spark):
     text = "one two three four five six seven"
     assert sorted(report(spark, [(5, text), (5, text), (3, text.upper())])) == [(3, 3, 3, True), (5, 3, 3, False), (5, 3, 3, False)]
