@@ -16,6 +16,11 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, wherever the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_string(v: Column) -> Column:
     return F.coalesce(_kind(v) == "STRING", F.lit(False))
 
@@ -45,12 +50,13 @@ def items_of(v: Column) -> Column:
 
 def answer(text: Column) -> Column:
     """The object or array that a model's answer holds, as VARIANT: bare or in a fence, else the outermost braces; null if there is none."""
-    trimmed = _trimmed(text)
-    inner = F.btrim(trimmed, F.lit("`"))
-    cleaned = F.when(trimmed.startswith("```"), F.when(F.lower(inner).startswith("json"), _trimmed(F.substring(inner, F.lit(5), F.char_length(inner)))).otherwise(inner)).otherwise(trimmed)
+    def bare(trimmed: Column) -> Column:
+        inner = lambda t: F.when(F.lower(t).startswith("json"), _trimmed(F.substring(t, F.lit(5), F.char_length(t)))).otherwise(t)
+        return F.when(trimmed.startswith("```"), bound(F.btrim(trimmed, F.lit("`")), inner)).otherwise(trimmed)
+
     parsed = lambda s: F.try_parse_json(F.nullif(s, F.lit("")))
-    shaped = lambda v: F.when(is_object(v) | is_array(v), v)
-    return F.coalesce(shaped(parsed(cleaned)), shaped(parsed(F.regexp_extract(cleaned, r"(?s)\{.*\}", 0))))
+    shaped = lambda s: bound(parsed(s), lambda v: F.when(is_object(v) | is_array(v), v))
+    return bound(bound(_trimmed(text), bare), lambda s: F.coalesce(shaped(s), shaped(F.regexp_extract(s, r"(?s)\{.*\}", 0))))
 
 
 def answer_tags(v: Column) -> Column:
@@ -62,8 +68,8 @@ def answer_tags(v: Column) -> Column:
 
 def first_of(items: Column, key) -> Column:
     """The first item of each key."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    chosen = lambda xs, keys: F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return bound(items, lambda xs: bound(F.transform(xs, key), lambda keys: chosen(xs, keys)))
 
 
 def answer_keywords(v: Column, most: int = 20) -> Column:

@@ -119,3 +119,10 @@ def test_keyword_classes(spark):
     words = ["Two  People", "no people", "manual", " March ", "march walk", "House pet", "puppy", "petunia", "someone"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", G.is_people_keyword(F.col("w")), G.is_calendar_keyword(F.col("w")), G.is_pet_keyword(F.col("w"))).collect()
     assert [w for w, p, _, _ in rows if p] == ["Two  People", "someone"] and [w for w, _, c, _ in rows if c] == [" March "] and [w for w, _, _, p in rows if p] == ["House pet", "puppy"]
+
+
+def test_an_answer_is_parsed_once():
+    """A value that an expression uses several times is bound, not written out each time."""
+    assert str(V.answer(F.col("t"))._jc.toString()).count("try_parse_json") == 2
+    keys = str(V.first_of(F.col("x"), lambda x: F.md5(x))._jc.toString())
+    assert keys.count("md5") == 1
