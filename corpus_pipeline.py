@@ -51,8 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = classes.join(numbered.select("_number", F.col("_row.doc_id").alias("id")), "_number")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_number"))
     kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._number").alias("_number"))
-    gone = classes.join(kept, "_number", "left_anti").select("_number")
-    return numbered.join(gone, "_number", "left_anti").select("_row.*")
+    gone = written(classes.join(kept, "_number", "left_anti").select("_number"), "gone")
+    # Rows that surely stay pass where they are; no text but those of the others is dealt out.
+    may_go, stay = parity_join.may_hold(numbered, gone, "_number")
+    return stay.unionByName(may_go.join(gone, "_number", "left_anti")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

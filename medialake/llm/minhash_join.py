@@ -78,7 +78,7 @@ def signature(s: np.ndarray, k: int = COORDINATES) -> np.ndarray:
 def likeness(t: int, k: int = COORDINATES) -> Likeness:
     """Pairs whose signatures agree in ``t`` of the first ``k`` numbers of a sketch, and whose parity sketches, the numbers behind them, don't differ too much.
 
-    The parity of a set's shingles at a place differs only where the sets do, so the second test loses nothing.
+    The second test loses a link with a chance below 1e-9 (see :func:`medialake.llm.parity_join.short_sketch`).
     """
     agree = lambda a, b: F.size(F.filter(F.zip_with(F.slice(a, 1, k), F.slice(b, 1, k), lambda x, y: x == y), lambda z: z)) >= t
 

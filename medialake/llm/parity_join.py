@@ -52,8 +52,8 @@ WIDTH = 5
 P, Q = 8, 10
 #: Below this D, empty blocks are refined.
 REFINED = 24
-#: 64-bit words of the short parity sketch.
-SHORT = 16
+#: 64-bit words of each of the two short parity sketches, of both and what is said of them, and the size from which on sets are sampled for them.
+HALF, SHORT, SAMPLED = 7, 15, 512
 MEMO = 400_000
 #: Bits of the map of wanted ids that is sent to the workers, at least and at most (32 MB).
 ID_BITS = 1 << 23, 1 << 28
@@ -61,8 +61,8 @@ ID_BITS = 1 << 23, 1 << 28
 GROUP = 1000
 #: Of a key with more members, only pairs that join parts of it are verified, in ``ROUNDS`` rounds at most before all others are.
 SPARE, ROUNDS = 64, 3
-#: For each so many pairs, a class's pairs are dealt to one part more.
-PAIRS = 50_000
+#: For each so many of its pairs, a class's pairs are dealt to one part more.
+PAIRS = 64
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -164,10 +164,20 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def short_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of 64 * SHORT bits: its Hamming distance is at most the symmetric difference."""
-    h = mix(s ^ _U(0xD1B54A32D192ED03)) >> _U(40)
-    bits = np.bincount((h % _U(64 * SHORT)).astype(np.int64), minlength=64 * SHORT) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parities of the shingles at each of 64 * HALF bits, for two samples of them, and a number that says which.
+
+    A parity sketch's Hamming distance is at most the symmetric difference, which says nothing where that is larger than the sketch. So of sets from
+    ``SAMPLED`` shingles on, each twice that size halves the sample (by hash, so it's the same of all sets); the second sketch has the next sample, for sets that
+    begin there. Sets too small to link with one that is sampled have an empty second one. The number: twice the halvings, and one if there's a second.
+    """
+    h = mix(s ^ _U(0xD1B54A32D192ED03))
+    level, second = (len(s) // SAMPLED).bit_length(), len(s) >= 3 * SAMPLED // 4
+    parts = []
+    for i in (level, level + 1) if second else (level,):
+        of = h[h & _U((1 << i) - 1) == 0] >> _U(40)
+        parts.append((np.bincount((of % _U(64 * HALF)).astype(np.int64), minlength=64 * HALF) & 1).astype(np.uint8))
+    bits = np.concatenate([*parts, *[np.zeros(64 * HALF, np.uint8)] * (2 - len(parts))])
+    return np.append(np.packbits(bits).view(np.int64), 2 * level + second)
 
 
 @dataclass(frozen=True)
@@ -182,10 +192,29 @@ class Likeness:
     arrays: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
 
 
-PARITY = Likeness(
-    lambda a, b, most: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int")) <= most,
-    lambda s, i, near, most: np.bitwise_count(s[near] ^ s[i]).sum(axis=1, dtype=np.int64) <= most,
-)
+def _differ_columns(a: Column, b: Column, most: Column) -> Column:
+    la, lb = (F.shiftright(x[SHORT - 1].cast("int"), 1) for x in (a, b))
+    level = F.greatest(la, lb)
+    half = lambda x, own: F.slice(x, F.when(own == level, 1).otherwise(HALF + 1), F.lit(HALF))
+    unknown = (level - F.least(la, lb) > 1) | (la != lb) & (F.least(a[SHORT - 1], b[SHORT - 1]) % 2 == 0)
+    apart = F.aggregate(F.zip_with(half(a, la), half(b, lb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x.cast("int"))
+    mean = most / F.pow(F.lit(2.0), level)
+    return unknown | (apart <= F.when(level == 0, most.cast("double")).otherwise(mean + 7 + F.sqrt(48 + 42 * mean)))
+
+
+def _differ_arrays(s: np.ndarray, i: int, near: np.ndarray, most: np.ndarray) -> np.ndarray:
+    tag = s[:, SHORT - 1].astype(np.int64)
+    own, others = tag[i] >> 1, tag[near] >> 1
+    level = np.maximum(own, others)
+    unknown = (level - np.minimum(own, others) > 1) | (own != others) & (np.minimum(tag[i], tag[near]) % 2 == 0)
+    a = np.where((level == own)[:, None], s[i, :HALF], s[i, HALF : 2 * HALF])
+    b = np.where((level == others)[:, None], s[near, :HALF], s[near, HALF : 2 * HALF])
+    mean = most / 2.0**level
+    return unknown | (np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= np.where(level == 0, most, mean + 7 + np.sqrt(48 + 42 * mean)))
+
+
+#: By the sample that both sets have; of at most ``most`` shingles a sample has more than the limit with a chance below 1e-9 (Bernstein's bound). Sets without a common one may link.
+PARITY = Likeness(_differ_columns, _differ_arrays)
 
 
 def _sketched(documents: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -298,38 +327,32 @@ def _meetings(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, first long, other long")
 
 
-def _wanted(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text) of documents whose id may be in ``ids``, a written table: a map of hashed ids leaves out most others before the join.
+def may_hold(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``column`` may be in ``ids`` (a written table with that column), and those that surely aren't.
 
-    The map has 32 bits an id within ``ID_BITS``; beyond the upper bound more of the other documents reach the join, which leaves them out.
+    A map of hashed ids tells them apart where they are, so only the first, few others among them, have to be joined. The map
+    has 32 bits an id within ``ID_BITS`` and is sent to the workers in pieces of 4 kB; beyond the upper bound more rows reach the join.
     """
     size = min(max(ID_BITS[0], 1 << (32 * ids.count()).bit_length()), ID_BITS[1])
-    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int").alias("b")).distinct()
-    words = bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b") % 32)).alias("v"))
-    table = np.zeros(size // 32, np.uint32)
-    found = words.toArrow()
-    table[found["w"].to_numpy().astype(np.int64)] = found["v"].to_numpy().astype(np.uint32)
-    shared = documents.sparkSession.sparkContext.broadcast(table)
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(size)).cast("int").alias("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for batch in batches:
-            b = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((t[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1))
-
-    return rows.mapInArrow(run, rows.drop("b").schema)
+    at = F.pmod(F.xxhash64(column), F.lit(size)) + 1  # these functions count from 1
+    bits = ids.select(F.bitmap_bucket_number(at).alias("_piece"), F.bitmap_bit_position(at).alias("_bit")).repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.bitmap_bucket_number(F.col("_at")) == F.col("_piece"), "left")
+    place = F.bitmap_bit_position(F.col("_at")).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) != 0, F.lit(False))
+    return marked.where(held).select(*rows.columns), marked.where(~held).select(*rows.columns)
 
 
 def _texts_of(documents: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, text) of the classes ``ids`` (id, digest), one row a class unless rows of one id differ."""
-    return written(_wanted(documents, ids.select(F.col("id").alias("doc_id")), doc_id, text).join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "digest", "text").dropDuplicates(), "jaccard-texts")
+    """(doc_id, text) of rows whose id may be in ``ids`` (a written table), dealt out by their ids; one row an id unless its texts differ."""
+    wanted, _ = may_hold(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ids, "doc_id")
+    return wanted.repartition("doc_id").dropDuplicates()
 
 
 def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int, like: Likeness = PARITY) -> DataFrame:
     """The pairs (a, b: digests) that link, as (a, b) of class ids.
 
-    The pairs of an ``a`` are dealt to parts. ``a``'s text goes once to each of
+    The pairs of an ``a`` with many are dealt to parts. ``a``'s text goes once to each of
     its parts and is followed there by the texts of its ``b``, so that no
     pair carries two texts and a class with many pairs is many tasks' work.
     """
@@ -337,14 +360,13 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc
     both = pairs.join(c.toDF("a", "na", "sa", "ida"), "a").join(c.toDF("b", "nb", "sb", "idb"), "b")
     most = F.floor(F.lit(q - p) * (F.col("na") + F.col("nb")) / F.lit(q + p))
     may = written(both.where((F.abs(F.col("na") - F.col("nb")) <= most) & like.columns(F.col("sa"), F.col("sb"), most)).select("a", "b", "ida", "idb"), "jaccard-pairs")
-    parts = 16 + may.count() // PAIRS
-    ids = written(may.select(F.explode(F.array(F.struct(F.col("ida").alias("id"), F.col("a").alias("digest")), F.struct(F.col("idb").alias("id"), F.col("b").alias("digest")))).alias("x")).select("x.*").distinct(), "jaccard-ids")
-    texts = _texts_of(documents, ids, doc_id, text)
-    dealt = may.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
-    nothing = F.lit(None).cast(texts.schema["doc_id"].dataType)
-    pivots = dealt.select("a", "part", "ida").distinct().join(texts.toDF("ida", "a", "text"), ["ida", "a"]).select("a", "part", F.col("a").alias("own"), "ida", nothing.alias("idb"), "text")
-    others = dealt.join(texts.toDF("idb", "b", "text"), ["idb", "b"]).select("a", "part", F.col("b").alias("own"), "ida", "idb", "text")
-    rows = pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("idb").isNotNull())
+    parts = may.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > PAIRS).select("a", F.ceil(F.col("m") / PAIRS).alias("parts"))
+    dealt = may.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    kind = documents.schema[doc_id].dataType
+    pivots = dealt.select(F.col("ida").alias("doc_id"), "a", "part", F.col("a").alias("own"), "ida", F.lit(None).cast(kind).alias("idb")).distinct()
+    asked = written(pivots.unionByName(dealt.select(F.col("idb").alias("doc_id"), "a", "part", F.col("b").alias("own"), "ida", "idb")), "jaccard-asked")
+    # Texts are dealt out by their ids once, and from there to their pairs.
+    rows = _texts_of(documents, asked, doc_id, text).join(asked, "doc_id").select("a", "part", "own", "ida", "idb", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("idb").isNotNull())
     schema = T.StructType([rows.schema["ida"], rows.schema["idb"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +534,8 @@ def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame
 
 def _prefixes(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
     """The rarest shingles of the classes, of which linked ones share one at least: ``shingle`` and the columns of ``unsure`` without ``id``."""
-    texts = _texts_of(documents, unsure.select("id", "digest"), doc_id, text).drop("doc_id").join(unsure.select("digest", "component", "n"), "digest").select("text", "digest", "component", "n")
+    ids = unsure.select(F.col("id").alias("doc_id"), "digest", "component", "n")
+    texts = _texts_of(documents, ids, doc_id, text).join(ids, "doc_id").select("text", "digest", "component", "n")
     schema = T.StructType([T.StructField("digest", T.LongType()), texts.schema["component"], T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,39 @@ def test_sketches_bound_the_difference():
         b = np.unique(np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, 3).astype(np.uint64)]))
         x, y = pj.short_sketch(a), pj.short_sketch(b)
         assert sum(int(v).bit_count() for v in np.bitwise_xor(x.view(np.uint64), y.view(np.uint64))) <= len(np.setxor1d(a, b))
+
+
+def test_sketches_tell_large_sets_apart(spark):
+    """Unrelated large sets aren't verified, linked ones are, and columns say what arrays say."""
+    rng = np.random.default_rng(2)
+    new = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for n in (300, 450, 500, 700, 1200, 6000, 20_000):
+        a, other = new(n), new(n)
+        near = np.unique(np.concatenate([a[: n - n // 9], new(n // 10)]))
+        larger = np.unique(np.concatenate([a, new(n // 4)]))
+        assert len(a) >= 0.8 * len(larger)
+        s = np.array([pj.short_sketch(x) for x in (a, other, near, larger)]).view(np.uint64)
+        most = np.array([2 * (len(a) + len(x)) // 18 for x in (other, near, larger)])
+        got = pj.PARITY.arrays(s, 0, np.array([1, 2, 3]), most).tolist()
+        assert got == [False, True, True]
+        rows = spark.createDataFrame([(s[0].view(np.int64).tolist(), x.view(np.int64).tolist(), int(m)) for x, m in zip(s[1:], most)], "a array<long>, b array<long>, most long")
+        assert [r[0] for r in rows.select(pj.PARITY.columns(rows.a, rows.b, rows.most)).collect()] == got
+
+
+def test_rows_that_may_be_held_are_told_apart(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(None, "null")], "k long, t string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 7)], "k long")
+    may, rest = pj.may_hold(rows, ids, "k")
+    found, others = [r["k"] for r in may.collect()], [r["k"] for r in rest.collect()]
+    assert sorted(found + others, key=str) == sorted([*range(3000), None], key=str)
+    assert set(range(0, 3000, 7)) <= set(found) and len(found) < 600
+
+
+def test_near_copies_of_long_texts(spark):
+    """Links of sets that are sampled for their sketches, and of those beside them, stay."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (480, 560, 2000)]
+    texts = [" ".join(b[: len(b) - k] + [f"x{k}_{j}" for j in range(k)]) for b in base for k in range(0, 60, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in pj.linked_classes(docs).collect()}
+    assert got == brute(list(enumerate(texts)), 5, 8, 10)
