@@ -6,8 +6,8 @@ states. So points are dealt to blocks, each block is walked from all four states
 outcomes are put together in order (a row for each block), and each block is walked again from the state that it
 really begins in. A history of any length is many tasks' work.
 
-*Stays* keep a running mean, which has no few states: a track comes to one call
-(``applyInPandas``); longer histories are split where a track is silent (``idle_s``, or by date).
+*Stays* keep a running mean, which has no few states: a track is one task's, point by point as its batches
+come, and a task has many; longer histories are split by date.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import repeat
 from statistics import median
 
 import numpy as np
@@ -285,14 +286,33 @@ class StayFold:
 
 def stays(rows: DataFrame, by: list[str], radius_m: float = 500.0, merge_s: float = 2700.0, idle_s: float | None = None) -> DataFrame:
     """Stays of tracks (``time`` in seconds, ``lat``, ``lon``, and ``alt`` if there is one): first and last time, median place and altitude (see :class:`StayFold`)."""
-    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     alt = ["alt"] if "alt" in rows.columns else []
+    schema = T.StructType([*[rows.schema[c] for c in by], *[T.StructField(c, T.DoubleType()) for c in ("start", "end", "lat", "lon", "alt")]])
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_{c}") for c in ("time", "lat", "lon", *alt)]
+    tracks = rows.select(*by, *values).repartition(*by).sortWithinPartitions(*by, "_time", "_lat", "_lon")
+    same = lambda a, b: all(x == y or x != x and y != y for x, y in zip(a, b))
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["time", "lat", "lon"], kind="stable")
-        track, out = StayFold(radius_m, merge_s, idle_s), []
-        for p in df[["time", "lat", "lon", *alt]].itertuples(index=False):
-            out += track.add(*p, *[None] * (not alt))
-        return pd.DataFrame([[*(df[c].iloc[0] for c in by), *s] for s in out + track.close()], columns=[*by, "start", "end", "lat", "lon", "alt"]).astype({"alt": "float64"})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    return rows.groupBy(*by).applyInPandas(fold, f"{fields}, start double, end double, lat double, lon double, alt double")
+        to, n = to_arrow_schema(schema), len(by)
+        key, track, out = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)] if out else [pa.array([], f.type) for f in to], schema=to)
+            out.clear()
+            return found
+
+        for batch in batches:
+            points = zip(*[batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(n, batch.num_columns)])
+            for own, p in zip(zip(*[batch.column(i).to_pylist() for i in range(n)]) if n else repeat(()), points):
+                if track is None or not same(own, key):
+                    out += [(*key, *s) for s in track.close()] if track else []
+                    key, track = own, StayFold(radius_m, merge_s, idle_s)
+                out += [(*key, *s) for s in track.add(*p, *[None] * (not alt))]
+            yield flush()
+        if track:
+            out += [(*key, *s) for s in track.close()]
+            yield flush()
+
+    return tracks.mapInArrow(fold, schema)

@@ -78,3 +78,14 @@ def test_more_points_than_a_batch(spark, tmp_path, seed):
     run(spark, root)
     expected = as_set(stays(spark.createDataFrame(rows[:-1], SCHEMA).withColumnRenamed("s", "time"), ["track"], idle_s=20_000))
     assert as_set(spark.read.parquet(f"{root}/out")) == expected
+
+
+def test_tracks_go_by_the_batch(spark):
+    """Tracks are folded as batches come, not by a call each, and batches may end anywhere in them."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = points(3, 60)
+    expected = as_set(stays(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("s", "time").coalesce(1), ["track"]))
+    found = stays(own.createDataFrame(rows, SCHEMA).withColumnRenamed("s", "time").repartition(5), ["track"])
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert as_set(found) == expected and {r[0] for r in expected} == {"", "a", "b"}
