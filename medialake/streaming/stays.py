@@ -24,6 +24,8 @@ from medialake.operators.sequences import StayFold
 _SUMMARY = "n long, sum_lat double, sum_lon double, start double, t double, lat double, lon double, has_pending boolean, p_start double, p_end double, p_lat double, p_lon double, p_alt double, timer long"
 _POINT = "lat double, lon double, alt double"
 _OUT = ["start", "end", "lat", "lon", "alt"]
+#: The summary of a track none of whose points is folded yet, without its timer.
+_NEW = (0, 0.0, 0.0, None, None, None, None, False, *[None] * 5)
 
 
 def _known(x: float | None) -> float | None:
@@ -44,19 +46,31 @@ class StayProcessor(StatefulProcessor):
         new = [(float(t), float(lat), float(lon), _known(alt)) for df in rows for t, lat, lon, alt in zip(df["time"], df["lat"], df["lon"], df["alt"])]
         if new:
             self.waiting.appendList(new)
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        old = self.summary.get()
+        timer = old[-1] if old else None
+        first = min((p[0] for p in new), default=None)
+        if first is not None and first >= now_ms / 1000 and (timer is None or timer > now_ms):
+            # Nothing is due, neither of these points nor of those that wait: they only wait with them, and are not read.
+            wake = max(int(first * 1000) + 1, now_ms + 1)
+            if timer is None or wake < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(wake)
+                self.summary.update((*(old[:-1] if old else _NEW), wake))
+            return
         # The points that the watermark has passed by now are folded with the others that wait.
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, now_ms, old)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), fired=expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), self.summary.get(), fired=expiredTimerInfo.getExpiryTimeInMs())
 
-    def _advance(self, key, now_ms: int, fired: int | None = None) -> pd.DataFrame:
+    def _advance(self, key, now_ms: int, old: tuple | None, fired: int | None = None) -> Iterator[pd.DataFrame]:
         now = now_ms / 1000
-        held = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
+        held = [tuple(p) for p in self.waiting.get()]
         ready = sorted((p for p in held if p[0] < now), key=lambda p: p[:3])
         rest = [p for p in held if p[0] >= now]
-        old = self.summary.get() if self.summary.exists() else None
-        fold = StayFold(*self.how, earlier=lambda: [tuple(p) for p in self.current.get()] if self.current.exists() else [])
+        fold = StayFold(*self.how, earlier=lambda: [tuple(p) for p in self.current.get()] if old and old[0] else [])
         timer = None
         if old:
             n, a, b, start, t, lat, lon, has, *pending, timer = old
@@ -69,7 +83,7 @@ class StayProcessor(StatefulProcessor):
             self.waiting.put(rest)
         elif ready:
             self.waiting.clear()
-        if fold.ended:
+        if fold.ended and old and old[0]:
             self.current.clear()
         if fold.points:
             self.current.appendList(fold.points)
@@ -86,7 +100,8 @@ class StayProcessor(StatefulProcessor):
         else:
             pending = fold.pending or (None,) * 5
             self.summary.update((fold.n, *fold.sums, fold.start, *(fold.last or (None,) * 3), fold.pending is not None, *pending, wake))
-        return pd.DataFrame([[*key, *s] for s in out], columns=[*self.by, *_OUT]).astype({"alt": "float64"})
+        if out:
+            yield pd.DataFrame([[*key, *s] for s in out], columns=[*self.by, *_OUT]).astype({"alt": "float64"})
 
     def close(self) -> None:
         pass

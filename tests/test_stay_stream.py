@@ -89,3 +89,40 @@ def test_tracks_go_by_the_batch(spark):
     found = stays(own.createDataFrame(rows, SCHEMA).withColumnRenamed("s", "time").repartition(5), ["track"])
     assert "InPandas" not in found._jdf.queryExecution().toString()
     assert as_set(found) == expected and {r[0] for r in expected} == {"", "a", "b"}
+
+
+def test_points_that_only_wait_are_not_read():
+    """A batch none of whose points is due costs no look at those that wait."""
+    import pandas as pd
+
+    from medialake.streaming import stays as S
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def act(*args):
+                calls.append((self.name, call))
+                if call == "update":
+                    self.value = args[0]
+                return self.value if call == "get" else None
+
+            return act
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 1000
+
+    p = S.StayProcessor(["track"], 500.0, 2700.0, 100.0)
+    p.handle, p.summary, p.current, p.waiting = State("handle"), State("summary"), State("current"), State("waiting")
+    batch = lambda t: [pd.DataFrame({"time": [t, t + 1], "lat": [1.0, 1.0], "lon": [2.0, 2.0], "alt": [None, None]})]
+    assert list(p.handleInputRows(("a",), iter(batch(50.0)), Timers())) == []
+    assert calls == [("waiting", "appendList"), ("summary", "get"), ("handle", "registerTimer"), ("summary", "update")] and p.summary.value[-1] == 50_001
+    calls.clear()
+    assert list(p.handleInputRows(("a",), iter(batch(70.0)), Timers())) == []
+    assert calls == [("waiting", "appendList"), ("summary", "get")]
+    list(p.handleInputRows(("a",), iter(batch(20.0)), Timers()))
+    assert ("handle", "deleteTimer") in calls and p.summary.value[-1] == 20_001
