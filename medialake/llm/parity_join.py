@@ -452,11 +452,11 @@ def _joined(documents: DataFrame, classes: DataFrame, labels: DataFrame, links:
     ids = classes.select("digest", "id")
     for left in reversed(range(ROUNDS)):
         of_class = classes.join(labels, "id", "left").select("digest", "n", "sketch", F.xxhash64(F.coalesce("label", "id")).alias("component"))
-        members = groups.select("key", "digest").join(of_class, "digest")
         if never is None:
-            members = members.withColumn("never", F.array().cast("array<long>"))
-        else:
-            members = members.join(never.groupBy(F.col("a").alias("digest")).agg(F.collect_set("b").alias("never")), "digest", "left")
+            of_class = of_class.withColumn("never", F.array().cast("array<long>"))
+        else:  # a class's list is found once, not for each of its keys
+            of_class = of_class.join(never.groupBy(F.col("a").alias("digest")).agg(F.collect_set("b").alias("never")), "digest", "left")
+        members = groups.select("key", "digest").join(of_class, "digest")
         met = written(_compared(members.repartition("key").sortWithinPartitions("key"), how["p"], how["q"], like, SPARE if left else None), "compared")
         more = written(_verified(documents, classes, met.select("a", "b").distinct(), like=like, **how), "links")
         if not more.isEmpty():
