@@ -39,7 +39,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,32 +73,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 14
+_BASE = 0xD1342543DE82EF95
+_DIGITS = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_PLACES, _DIVISORS = (np.cumprod(np.append(_U(1), np.full(PIECE - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order.
+
+    A word's bytes are the digits of a number in an odd base, modulo 2**64. Sums of all digits by their places in the text give every word's
+    number at once, and an odd base can be divided by, which takes a word's place out again.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = (b == 0x20) | (b - np.uint8(0x09) < 5)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, sums = edges[::2], np.zeros(len(edges), np.uint64)
+    factors, total, lo = _DIVISORS[starts % PIECE], 0, 0
+    for at in range(0, len(b), PIECE):
+        part = b[at : at + PIECE]
+        c = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_DIGITS[part] * _PLACES[: len(part)], out=c[1:])
+        hi = int(np.searchsorted(edges, at + PIECE, "right"))
+        scale = pow(_BASE, at, 1 << 64)
+        sums[lo:hi] = c[edges[lo:hi] - at] * _U(scale) + _U(total)
+        total, lo = (total + scale * int(c[-1])) % (1 << 64), hi
+    if len(b) > PIECE:
+        factors = factors * np.array([pow(_BASE, -at, 1 << 64) for at in range(0, len(b), PIECE)], np.uint64)[starts // PIECE]
+    return mix((sums[1::2] - sums[::2]) * factors)
+
+
 class Shingler:
-    """Distinct shingle hashes of a text; remembers the hashes of words."""
+    """Distinct shingle hashes of a text."""
 
     def __init__(self, width: int):
         self.width = width
-        self.words: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > MEMO:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            known.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist()))
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = word_hashes(text.encode().lower()) if text else np.zeros(0, np.uint64)
+        if not len(h):
+            return h
         n = min(self.width, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = (out ^ (out >> _U(29))) * _ODD + h[i : i + len(out)]
         out = np.sort(mix(out))
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def digest(s: np.ndarray) -> int:
@@ -399,8 +420,12 @@ def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY, spare
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            at, a, b = [], [], []
+        def found(at: list, a: list, b: list) -> pa.RecordBatch:
+            at, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, a, b))
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            at, a, b, held = [], [], [], 0
             keys, d, c, n = (table.column(i).to_numpy() for i in range(4))
             s = table.column(4).combine_chunks().flatten().to_numpy().astype(np.int64).view(np.uint64).reshape(len(keys), -1)
             never, edges = table.column(5), np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -423,8 +448,11 @@ def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY, spare
                         at.append(np.full(len(near), keys[i]))
                         a.append(np.full(len(near), d[i]))
                         b.append(d[near])
-            at, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, a, b))
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+                        held += len(near)
+                        if held > 100_000:
+                            yield found(at, a, b)
+                            at, a, b, held = [], [], [], 0
+            yield found(at, a, b)
 
         rest = None
         for batch in batches:
@@ -434,16 +462,16 @@ def _compared(members: DataFrame, p: int, q: int, like: Likeness = PARITY, spare
             keys = table.column(0).to_numpy()
             whole = int(np.searchsorted(keys, keys[-1]))  # where the last key, which may go on, begins
             if whole:
-                yield pairs(table.slice(0, whole))
+                yield from pairs(table.slice(0, whole))
             rest = table.slice(whole)
         if rest is not None:
-            yield pairs(rest)
+            yield from pairs(rest)
 
     return members.select("key", "digest", "component", "n", "sketch", "never").mapInArrow(run, "key long, a long, b long")
 
 
-def _joined(documents: DataFrame, classes: DataFrame, labels: DataFrame, links: DataFrame, groups: DataFrame, *, like: Likeness, **how) -> DataFrame:
-    """The components (id, label) of ``links`` and of what links in ``groups`` (key, digest, m).
+def _joined(documents: DataFrame, classes: DataFrame, labels: DataFrame, groups: DataFrame, *, like: Likeness, **how) -> DataFrame:
+    """The components (id, label), from those of ``labels`` and what links in ``groups`` (key, digest, m).
 
     A group whose pairs all link is done: they join all that may link in it. Where some don't, the group is gone through
     again without them; the last round has all pairs that are left.
@@ -460,8 +488,7 @@ def _joined(documents: DataFrame, classes: DataFrame, labels: DataFrame, links:
         met = written(_compared(members.repartition("key").sortWithinPartitions("key"), how["p"], how["q"], like, SPARE if left else None), "compared")
         more = written(_verified(documents, classes, met.select("a", "b").distinct(), like=like, **how), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = _grown(labels, more)
         if not left or groups.where(F.col("m") > SPARE).isEmpty():
             break
         large = met.join(groups.where(F.col("m") > SPARE).select("key").distinct(), "key", "left_semi")
@@ -493,6 +520,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("id", "label")
 
 
+def _grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (id, label) after further ``links`` (a, b), which are followed from component to component only."""
+    ends = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = components(ends.where(F.col("a") != F.col("b")))
+    known = labels.join(more.toDF("label", "further"), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
+    return written(known.unionByName(more.join(labels, "id", "left_anti")), "labels")
+
+
 def linked_classes(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     sketched = written(_sketched(documents, doc_id, text, width), "sketches")
@@ -526,7 +561,7 @@ def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame
         groups = groups.unionByName(_dealt(prefix.join(sizes, "shingle")))
     groups = written(groups, "groups")
     if not groups.isEmpty():
-        labels = _joined(documents, classes, labels, links, groups, like=like, **how)
+        labels = _joined(documents, classes, labels, groups, like=like, **how)
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = sketched.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -113,3 +113,26 @@ def test_near_copies_of_long_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in pj.linked_classes(docs).collect()}
     assert got == brute(list(enumerate(texts)), 5, 8, 10)
+
+
+def test_words_are_told_apart_wherever_they_stand(monkeypatch):
+    """A word's hash is that of its bytes, in texts of one piece and of many; no memory of words is kept."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc\u00e9 \t\n\x0b\x00\x1f", k=rng.randrange(60))).encode() for _ in range(300)] + [b"", b" ", b"x" * 40]
+    whole = [pj.word_hashes(raw).tolist() for raw in texts]
+    known = {}
+    for raw, hashes in zip(texts, whole):
+        assert len(hashes) == len(raw.split())
+        assert all(known.setdefault(w, h) == h for w, h in zip(raw.split(), hashes))
+    assert len(set(known.values())) == len(known) > 400
+    monkeypatch.setattr(pj, "PIECE", 7)
+    monkeypatch.setattr(pj, "_PLACES", pj._PLACES[:7])
+    monkeypatch.setattr(pj, "_DIVISORS", pj._DIVISORS[:7])
+    assert [pj.word_hashes(raw).tolist() for raw in texts] == whole
+
+
+def test_components_grow(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (5, 5), (6, 5), (9, 9), (12, 9)], "id long, label long")
+    links = spark.createDataFrame([(4, 6), (12, 20), (3, 20), (30, 31), (5, 6)], "a long, b long")
+    got = {r["id"]: r["label"] for r in pj._grown(labels, links).collect()}
+    assert got == {1: 1, 4: 1, 5: 1, 6: 1, 9: 3, 12: 3, 20: 3, 3: 3, 30: 30, 31: 30}
