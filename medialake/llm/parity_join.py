@@ -551,9 +551,9 @@ def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     members = written(members.join(of_class, "digest"), "members")
     same = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same).where(F.col("lo") != F.col("hi")).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
-    unsure = written(members.join(open_keys.select("key", "m"), "key"), "unsure")
-    groups = unsure.where(F.col("m") <= GROUP).select("key", "digest", "m")
+    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("digest").alias("head"), *same).where(F.col("lo") != F.col("hi")).groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("head").alias("head"))
+    unsure = written(members.join(open_keys.select("key", "m", "head"), "key"), "unsure")
+    groups = _merged(unsure.where(F.col("m") <= GROUP))
     many = written(unsure.where(F.col("m") > GROUP).select("digest", "component").distinct().join(classes, "digest"), "unsure-many")
     if not many.isEmpty():
         prefix = _prefixes(documents, many, **how)
@@ -567,6 +567,19 @@ def linked_by_keys(documents: DataFrame, sketched: DataFrame, classes: DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _merged(members: DataFrame) -> DataFrame:
+    """(key, digest, m) groups from (key, digest, m, head): keys of one head, the smallest class of each, become one group.
+
+    Near copies share hundreds of keys, few of which have the same members, and would be compared in each of them. What a head
+    meets is compared once; a head of more than ``GROUP`` is dealt to parts as a shingle is, unless that makes more rows than its keys have.
+    """
+    each = members.groupBy("head", "digest").agg(F.count("*").alias("keys"))
+    parts = F.when(F.col("size") > GROUP, F.ceil(2 * F.col("size") / GROUP)).otherwise(1)
+    heads = each.groupBy("head").agg(F.count("*").alias("size"), F.sum("keys").alias("rows")).withColumn("one", F.col("size") * parts <= F.col("rows"))
+    one = each.select("head", "digest").join(heads.where("one").select("head", F.col("size").alias("m")), "head")
+    return _dealt(one.withColumnRenamed("head", "shingle")).unionByName(members.join(heads.where(~F.col("one")).select("head"), "head").select("key", "digest", "m"))
+
+
 def _prefixes(documents: DataFrame, unsure: DataFrame, *, doc_id: str, text: str, width: int, p: int, q: int) -> DataFrame:
     """The rarest shingles of the classes, of which linked ones share one at least: ``shingle`` and the columns of ``unsure`` without ``id``."""
     ids = unsure.select(F.col("id").alias("doc_id"), "digest", "component", "n")

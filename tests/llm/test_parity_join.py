@@ -131,6 +131,34 @@ def test_words_are_told_apart_wherever_they_stand(monkeypatch):
     assert [pj.word_hashes(raw).tolist() for raw in texts] == whole
 
 
+@pytest.mark.parametrize("group", [1000, 16])
+def test_near_copies_are_not_compared_in_each_key(spark, monkeypatch, group):
+    """Copies that share many keys, of which some link and others nearly do, are few pairs, also where a head has too many."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(400), 3):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    made, written = [], pj.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "compared":
+            made.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(pj, "written", counted)
+    monkeypatch.setattr(pj, "GROUP", group)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in pj.linked_classes(docs, width=3, p=92, q=100).collect()}
+    assert got == brute(list(enumerate(texts)), 3, 92, 100)
+    if group == 1000:
+        assert sum(rows for rows, _ in made) <= 12 * sum(pairs for _, pairs in made)
+
+
 def test_components_grow(spark):
     labels = spark.createDataFrame([(1, 1), (4, 1), (5, 5), (6, 5), (9, 9), (12, 9)], "id long, label long")
     links = spark.createDataFrame([(4, 6), (12, 20), (3, 20), (30, 31), (5, 6)], "a long, b long")
