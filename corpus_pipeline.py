@@ -14,7 +14,7 @@ from medialake.llm.common import table, written
 
 
 #: Bytes of an Arrow batch. Rows carry whole texts, and a task holds several batches on either side of its Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:

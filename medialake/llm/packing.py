@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; when there are more, it starts anew.
-MEMO = 400_000
-FLUSH_BYTES = 8 << 20
+#: Words and pieces whose ids a task remembers; when there are more, it starts anew.
+MEMO = 200_000
+FLUSH_BYTES = 2 << 20
 
 #: Texts of these characters alone are split at white space and looked up word by word.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -77,12 +77,14 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         model, letters = self.tokenizer.model, _byte_letters()
-        pieces = _Memo(lambda p: array.array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes())
 
         def word(w: str) -> bytes:
             found = _PIECE.findall(w)
-            return pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
+            if len(found) > 1:
+                return b"".join(map(self.words.__getitem__, found))
+            return array.array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
 
+        # A piece is a word of one piece, so one memory serves both.
         self.words = _Memo(word)
 
     def __call__(self, text: str) -> bytes:
@@ -95,7 +97,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
-    """One tokenizer for each Python worker."""
+    """One tokenizer for each Python worker, which lives on after the task."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -200,17 +202,21 @@ def pack(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
                 yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
         out, held = [], 0
-        for i, window in enumerate(pack_rows(rows(), tokenizer_of(tokenizer or default_tokenizer()), capacity, end_id)):
-            offset = 0
-            for key, start, tokens, total in window:
-                out.append((key, start, len(tokens) // 4, tokens, total, first + i, offset))
-                offset += len(tokens) // 4
-                held += len(tokens) + 64
-            if held >= FLUSH_BYTES:
+        tokenize = tokenizer_of(tokenizer or default_tokenizer())
+        try:
+            for i, window in enumerate(pack_rows(rows(), tokenize, capacity, end_id)):
+                offset = 0
+                for key, start, tokens, total in window:
+                    out.append((key, start, len(tokens) // 4, tokens, total, first + i, offset))
+                    offset += len(tokens) // 4
+                    held += len(tokens) + 64
+                if held >= FLUSH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+                    out, held = [], 0
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
+        finally:
+            tokenize.words.clear()  # the worker goes on to other tasks, which may need the memory
 
     return documents.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 

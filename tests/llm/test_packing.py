@@ -63,3 +63,20 @@ def test_level_choice_is_the_least_sum_of_squares():
             return int((after[1:10] ** 2).sum())
         options = [0] + [x for x in range(1, 10) if levels.counts[x] and x + size <= 10]
         assert cost(levels.best_level(size)) == min(map(cost, options))
+
+
+def test_words_are_remembered_once_and_for_the_task_only(spark):
+    words = [a + b + c for a in "bcdfghklmn" for b in "aeiou" for c in ("zq", "xv", "wj")]
+    own = packing.WordTokenizer(packing.default_tokenizer())
+    own(" ".join([*words, "baz-bazq"]))
+    held = [x for x in [own.words, *[c.cell_contents for c in own.words.make.__closure__]] if isinstance(x, dict) and "bazq" in x]
+    assert len(held) == 1 and set(words) <= set(held[0])
+
+    def remembered(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(t.words) for t in packing._tokenizers.values())]})
+
+    packing.packing_report(spark.createDataFrame([(i, " ".join(words)) for i in range(8)], "doc_id long, text string").repartition(4)).collect()
+    assert {r["n"] for r in spark.range(0, 8, 1, 4).mapInArrow(remembered, "n long").collect()} == {0}
